@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat
+from . import chat, licenses, secrets
 
 QUERIES = {
     "op3_chat_formatting": chat.op3_chat_formatting,
+    "op6_license_scans": licenses.op6_license_scans,
+    "op9_secret_scans": secrets.op9_secret_scans,
 }
 ORACLES = {
     "op3_chat_formatting": chat.ORACLE,
