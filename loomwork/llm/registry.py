@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, secrets
+from . import chat, fingerprints, licenses, quality, secrets
 
 QUERIES = {
+    "op2_quality_classifier": quality.op2_quality_classifier,
+    "op4_document_fingerprints": fingerprints.op4_document_fingerprints,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op6_license_scans": licenses.op6_license_scans,
     "op9_secret_scans": secrets.op9_secret_scans,
