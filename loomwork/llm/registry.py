@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, licenses, quality, secrets
+from . import chat, fingerprints, licenses, neardup, quality, secrets, substrings
 
 QUERIES = {
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op4_document_fingerprints": fingerprints.op4_document_fingerprints,
     "op3_chat_formatting": chat.op3_chat_formatting,
+    "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_license_scans": licenses.op6_license_scans,
+    "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
     "op9_secret_scans": secrets.op9_secret_scans,
 }
 ORACLES = {
+    "op5_substring_dedup": substrings.ORACLE,
+    "op7_minhash_near_dedup": neardup.ORACLE,
     "op3_chat_formatting": chat.ORACLE,
 }
