@@ -1,8 +1,53 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: five operators of loomwork.llm over documents, each stage on all that the one before kept."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loomwork.llm import mixing, neardup, pieces, quality, secrets
+from loomwork.llm._common import table, written
+
+#: The classifier, the mixing and the pieces are no SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five words, similarity 0.8 or more."""
+    return neardup.one_of_each(docs)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, live-looking secrets replaced."""
+    return secrets.redact(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their rate says; toxic tokens go down to one in a hundred, good ones are not lost."""
+    return mixing.mixed(docs, table(spark, sf_dir, "labels"), {"good": 0.98, "poor": 0.01, "toxic": 0.01}, keep="good")
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document."""
+    return pieces.encode(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("near-dedup", near_dedup_stage),
+    ("secret scans", secret_stage),
+    ("mixing", mixing_stage),
+    ("sentencepiece", pieces_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, licenses, neardup, quality, secrets, substrings
+from . import chat, fingerprints, licenses, mixing, neardup, neighbours, pieces, quality, secrets, substrings
 
 QUERIES = {
+    "op1_nearest_neighbours": neighbours.op1_nearest_neighbours,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op4_document_fingerprints": fingerprints.op4_document_fingerprints,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_license_scans": licenses.op6_license_scans,
     "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
+    "op8_mixing_to_targets": mixing.op8_mixing_to_targets,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
     "op9_secret_scans": secrets.op9_secret_scans,
 }
 ORACLES = {

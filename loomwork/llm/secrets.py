@@ -126,25 +126,39 @@ def secret_spans(docs: DataFrame, max_owners: int = 2, doc_id: str = "doc_id", r
 def redact(docs: DataFrame, max_owners: int = 2, mark: str = "[SECRET]") -> DataFrame:
     """docs with each live span of text replaced by mark, and n_chars to match; other columns as they were.
 
-    Examples, which many owners hold, stay. Null texts stay null.
+    Examples, which many owners hold, stay. Null texts stay null. Only rows with a candidate are joined to verdicts.
     """
-    columns = docs.columns
-    kept = written(docs.withColumn("_row", F.monotonically_increasing_id()), "secrets-docs")
-    found = secret_spans(kept.select(F.col("_row").alias("doc_id"), "source", "text", F.col("doc_id").alias("_repo")), max_owners, repo="_repo")
-    live = found.select(F.col("doc_id").alias("_of"), F.expr("filter(spans, x -> x.live)").alias("_live")).where("size(_live) > 0")
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("digest", pa.string()), ("base", pa.bool_())]))
+    keys = ("kind", "start", "end", "digest", "base")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [[dict(zip(keys, x, strict=True)) for x in spans_of(t.as_py() or "")] for t in b.column("text")]
+            yield b.append_column("_spans", pa.array(found, span))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    kept = written(rows.mapInArrow(each, f"{fields}, _spans array<{SPAN}>"), "secrets-docs")
+    some = kept.where(F.size("_spans") > 0)
+    owner = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("owner")
+    c = some.select("_row", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("repo"), owner, F.explode("_spans").alias("s")).select("_row", "repo", "owner", "s.*")
+    live = c.join(ownership(c), "digest").where(F.col("n_owners") <= max_owners)
+    live = live.groupBy(F.col("_row").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_live"))
 
     def step(state: Column, x: Column) -> Column:
         fresh = x["end"] > state["at"]
+        inside = x["start"] < state["at"]
         begin = F.greatest(x["start"], state["at"])
-        add = F.concat(state["out"], F.substring(F.col("text"), (state["at"] + 1).cast("int"), (begin - state["at"]).cast("int")), F.when(begin == x["start"], F.lit(mark)).otherwise(F.lit("")))
+        add = F.concat(state["out"], F.substring(F.col("text"), (state["at"] + 1).cast("int"), (begin - state["at"]).cast("int")), F.when(inside, F.lit("")).otherwise(F.lit(mark)))
         return F.struct(F.when(fresh, add).otherwise(state["out"]).alias("out"), F.greatest(state["at"], x["end"]).alias("at"))
 
     clean = F.aggregate(
-        F.coalesce("_live", F.array()), F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step,
+        "_live", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step,
         lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))),
     )
-    out = kept.join(live, F.col("_row") == F.col("_of"), "left").withColumn("text", F.when(F.col("_live").isNull(), F.col("text")).otherwise(clean))
-    return out.withColumn("n_chars", F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*columns)
+    out = some.join(live, F.col("_row") == F.col("_of"), "left").withColumn("text", F.when(F.col("_live").isNull(), F.col("text")).otherwise(clean))
+    out = out.withColumn("n_chars", F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return kept.where(F.size("_spans") == 0).select(*docs.columns).unionByName(out.select(*docs.columns))
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
