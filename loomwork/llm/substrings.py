@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import table
-from ._words import U, grams, mix, slices, words
+from ._words import U, grams, slices, words
 
 WINDOW, ANCHOR = 13, 4
 LAST = (1 << 63) - 1
@@ -51,13 +51,14 @@ def _unique(keys: np.ndarray, docs: np.ndarray, *more: np.ndarray) -> tuple[np.n
 
 def _rows(keys: np.ndarray, docs: np.ndarray, first: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
     """Rows for the corpus-wide comparison. The first document of a key here stands for the others, which are already
-    known to have a smaller one with the key; they go under keys of their own, so a common key makes few rows."""
+    known to have a smaller one with the key; they go under their documents, so a common key makes few rows. A value
+    that equals its key is left out."""
     run = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0)) if len(keys) else np.zeros(0, int)
     shared = ~first
     shared[run[~first]] = True
-    own = np.where(first, keys, mix(keys ^ mix(docs.astype(U))))
+    own = np.where(first, keys.view(np.int64), docs)
     return pa.RecordBatch.from_arrays(
-        [pa.array(own.view(np.int64)), pa.array(docs), pa.array(value), pa.array(~first), pa.array(shared)], names=["key", "doc", "value", "later", "shared"]
+        [pa.array(own), pa.array(docs), pa.array(value, mask=first & (value == own)), pa.array(~first), pa.array(shared)], names=["key", "doc", "value", "later", "shared"]
     )
 
 
@@ -68,7 +69,7 @@ def _sieve(rows: DataFrame) -> DataFrame:
     """rows whose key is in two documents, with whether a smaller document has it."""
     w = Window.partitionBy("key")
     least, most = F.min("doc").over(w), F.max("doc").over(w)
-    return rows.select("doc", "value", (F.col("later") | (F.col("doc") > least)).alias("later"), (F.col("shared") | (most > least)).alias("shared"))
+    return rows.select("doc", F.coalesce("value", "key").alias("value"), (F.col("later") | (F.col("doc") > least)).alias("later"), (F.col("shared") | (most > least)).alias("shared"))
 
 
 def anchors(docs: DataFrame, size: int) -> DataFrame:
@@ -87,10 +88,10 @@ def anchors(docs: DataFrame, size: int) -> DataFrame:
 def repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc and places: starts (words from 0) of windows that also start in a document with a smaller doc.
 
-    docs: doc (long, not null), text. Of a window that a document holds more than once one place is given. Documents
+    docs: doc (long, not null), text; other columns are ignored. Of a window that a document holds more than once one place is given. Documents
     without such windows have no row.
     """
-    with_anchors = docs.join(anchors(docs, size), "doc", "left")
+    with_anchors = docs.join(anchors(docs.select("doc", "text"), size), "doc", "left")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,7 +161,7 @@ def cleaned(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     and have no order among themselves; equal doc_ids are not smaller than each other.
     """
     own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    both = own.join(repeats(own.select("doc", "text"), size), "doc", "left")
+    both = own.join(repeats(own, size), "doc", "left")  # the same columns, so that one exchange of texts serves both joins
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
