@@ -245,10 +245,10 @@ def ordered_digest(t):
     return R.ordered_digest(t("customer"), "c_custkey", "c_name")
 
 
-@query("SELECT l_orderkey, round(sum(0.5 * l_quantity + 0.3 * l_discount + 0.2 * l_tax), 4) AS composite, round(sum(l_quantity * l_discount) / greatest(sum(l_quantity), 1e-8), 5) AS weighted FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, round(sum(0.5 * l_quantity + 0.3 * l_discount + 0.2 * l_tax), 4) AS composite, round(sum(l_quantity * l_discount) / greatest(sum(l_quantity), 1e-8) + 1e-9, 6) AS weighted FROM lineitem GROUP BY 1")
 def weighted_composite(t):
     q, d, x = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
-    return t("lineitem").groupBy("l_orderkey").agg(F.round(F.sum(0.5 * q + 0.3 * d + 0.2 * x), 4).alias("composite"), F.round(F.sum(q * d) / F.greatest(F.sum(q), F.lit(1e-8)), 5).alias("weighted"))
+    return t("lineitem").groupBy("l_orderkey").agg(F.round(F.sum(0.5 * q + 0.3 * d + 0.2 * x), 4).alias("composite"), r6(F.sum(q * d) / F.greatest(F.sum(q), F.lit(1e-8)) + F.lit(1e-9)).alias("weighted"))
 
 
 @query("SELECT p_brand, round(avg(m), 4) AS mean_of_means FROM (SELECT p_brand, p_size, avg(p_retailprice) AS m FROM part GROUP BY 1, 2) GROUP BY 1")
