@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, table, written
+from ._common import table, written
 
 #: Buckets of word hashes, labelled rows that the fit takes at most, steps at most and the residual that ends them.
 BUCKETS, MOST_LABELLED, STEPS, CLOSE = 1 << 14, 20_000, 40, 1e-3
@@ -21,13 +21,17 @@ BUCKETS, MOST_LABELLED, STEPS, CLOSE = 1 << 14, 20_000, 40, 1e-3
 TARGETS = {"good": 0.85, "poor": 0.1, "toxic": 0.05}
 
 
-def _words(docs: DataFrame) -> DataFrame:
-    w = docs.select("row", F.explode_outer(F.split(F.trim(F.regexp_replace(ascii_lower(F.coalesce("text", F.lit(""))), r"[\x09-\x0D ]+", " ")), " ")).alias("w"))
-    return w.select("row", (F.col("w") != "").cast("int").alias("one"), F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+#: Upper-case letters and white space, and what they become.
+FOLD = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     "
+
+
+def _words(docs: DataFrame, *carried: str) -> DataFrame:
+    w = docs.select("row", *carried, F.explode(F.split(F.translate(F.coalesce("text", F.lit("")), *FOLD), " ")).alias("w"))
+    return w.select("row", *carried, (F.col("w") != "").cast("int").alias("one"), F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket"))
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> DataFrame:
-    """row, tokens and p, an array of posteriors in the order of domains, for every row of docs (row, doc_id, text).
+    """row, doc_id, tokens and p, an array of posteriors in the order of domains, for every row of docs (row, doc_id, text).
 
     labelled: doc_id, domain. The fit is naive Bayes over hashed words of at most MOST_LABELLED labelled rows, by
     the order of a hash of doc_id. A domain without labelled words has only its smoothed prior; a text without
@@ -36,20 +40,20 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Data
     chosen = labelled.where("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     chosen = chosen.select("doc_id", "domain", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(MOST_LABELLED).drop("h")
     known = docs.join(F.broadcast(chosen), "doc_id").select("row", "domain", "text")  # at most MOST_LABELLED ids
-    own = _words(known).where("one = 1").join(known.select("row", "domain"), "row")
+    own = _words(known, "domain").where("one = 1")
     counts = written(own.groupBy("bucket").agg(*(F.count_if(F.col("domain") == d).alias(f"c{k}") for k, d in enumerate(domains))), "counts")
     totals = counts.agg(*(F.coalesce(F.sum(f"c{k}"), F.lit(0)).alias(f"c{k}") for k in range(len(domains)))).first()
     rows = known.agg(*(F.count_if(F.col("domain") == d) for d in domains)).first()
     prior = [math.log((r + 1) / (sum(rows) + len(domains))) for r in rows]
     none = [math.log(1 / (t + BUCKETS)) for t in totals]
     tables = counts.select("bucket", *(F.log((F.col(f"c{k}") + 1) / F.lit(float(t + BUCKETS))).alias(f"l{k}") for k, t in enumerate(totals)))
-    said = _words(docs).join(F.broadcast(tables), "bucket", "left")  # at most BUCKETS rows
-    z = said.groupBy("row").agg(
+    said = _words(docs, "doc_id").join(F.broadcast(tables), "bucket", "left")  # at most BUCKETS rows
+    z = said.groupBy("row", "doc_id").agg(
         F.sum("one").alias("tokens"), *((F.sum(F.col("one") * F.coalesce(f"l{k}", F.lit(none[k]))) + prior[k]).alias(f"z{k}") for k in range(len(domains)))
     )
     top = F.greatest(*(F.col(f"z{k}") for k in range(len(domains))))
     e = [F.exp(F.col(f"z{k}") - top) for k in range(len(domains))]
-    return z.select("row", "tokens", F.array(*(x / sum(e[1:], e[0]) for x in e)).alias("p"))
+    return z.select("row", "doc_id", "tokens", F.array(*(x / sum(e[1:], e[0]) for x in e)).alias("p"))
 
 
 def rates(soft: DataFrame, targets: list[float], total: float | None = None) -> DataFrame:
@@ -92,7 +96,7 @@ def op8_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     soft = written(posteriors(docs, labelled, names), "soft")
     out = rates(soft, [TARGETS[d] for d in names])
     named = [F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(names)]
-    return docs.select("row", "doc_id").join(out.select("row", F.col("tokens").alias("n_tokens"), *named, "rate"), "row").drop("row")
+    return out.select("doc_id", F.col("tokens").alias("n_tokens"), *named, "rate")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: str, spare: float = 1.1) -> DataFrame:

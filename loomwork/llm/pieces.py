@@ -24,8 +24,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of words that the fold takes; longer words are merged by a queue, to the same result.
 LONGEST = 60
-#: Words that are sent to every executor at most; rarer ones are joined.
-MOST_SENT = 1_000_000
+#: Words that are sent to every executor at most, their characters in all and in one; other words are joined.
+MOST_SENT, MOST_CHARS, MOST_IN_ONE = 200_000, 16_000_000, 1000
 HOLE = 0xFFFF
 
 
@@ -39,6 +39,8 @@ class Pieces:
         ordinary = [i for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
         self.ids = {m.id_to_piece(i): (i, m.get_score(i)) for i in ordinary}
         self.bytes = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        if m.get_piece_size() > HOLE:
+            raise ValueError(f"a model of at most {HOLE} pieces is expected")
         self.texts = [m.id_to_piece(i).encode() if i in set(ordinary) else b"" for i in range(m.get_piece_size())]
         for b, i in enumerate(self.bytes):
             self.texts[i] = bytes([b])
@@ -178,23 +180,25 @@ def encoded_words(words: DataFrame, model: Pieces) -> DataFrame:
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, ids, n_ids and round_trip (whether the ids decode to the text) for every row of docs.
 
-    Null texts count as empty and have no ids. Repeated rows stay apart. Words are encoded once each; the commonest,
-    MOST_SENT at most, are sent to every executor, the others are joined to their places.
+    Null texts count as empty and have no ids. Repeated rows stay apart. Words are encoded once each; the commonest, as
+    many as MOST_SENT, MOST_CHARS and MOST_IN_ONE let, are sent to every executor, the others are joined to their places.
     """
     model = Pieces(path)
     own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     words = written(_counted(own, model.pattern), "words")
     known = written(encoded_words(words, model).join(words, "word"), "encoded")
-    # The least count such that no more than MOST_SENT words have it.
-    sizes = known.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator()
-    total, least = 0, 1 << 62
+    # The least count such that the words that have it, or more, keep to the bounds.
+    sendable = known.where(F.length("word") <= MOST_IN_ONE)
+    sizes = sendable.groupBy("n").agg(F.count(F.lit(1)).alias("words"), F.sum(F.length("word")).alias("chars")).orderBy(F.desc("n")).toLocalIterator()
+    total, chars, least = 0, 0, 1 << 62
     for r in sizes:
-        total += r["count"]
-        if total > MOST_SENT:
+        total, chars = total + r["words"], chars + r["chars"]
+        if total > MOST_SENT or chars > MOST_CHARS:
             break
         least = r["n"]
-    sent = docs.sparkSession.sparkContext.broadcast({r["word"]: r["ids"] for r in known.where(F.col("n") >= least).select("word", "ids").toLocalIterator()})
+    is_sent = (F.col("n") >= least) & (F.length("word") <= MOST_IN_ONE)
+    sent = docs.sparkSession.sparkContext.broadcast({r["word"]: r["ids"] for r in known.where(is_sent).select("word", "ids").toLocalIterator()})
     pattern = model.pattern
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,10 +217,12 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 out.append({"row": row, "doc_id": doc, "ids": np.array(ids, np.uint16).tobytes(), "rare": rare, "digest": hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("row", pa.int64()), ("doc_id", b.column("doc_id").type), ("ids", pa.binary()), ("rare", pa.list_(pa.string())), ("digest", pa.binary())]))
 
-    begun = own.mapInArrow(each, f"row long, doc_id {kind}, ids binary, rare array<string>, digest binary")
-    rare = begun.select("row", F.posexplode("rare").alias("at", "word")).join(known.where(F.col("n") < least).select("word", F.col("ids").alias("x")), "word")
+    begun = written(own.mapInArrow(each, f"row long, doc_id {kind}, ids binary, rare array<string>, digest binary"), "begun")
+    some = begun.where(F.size("rare") > 0)
+    rare = some.select("row", F.posexplode("rare").alias("at", "word")).join(known.where(~is_sent).select("word", F.col("ids").alias("x")), "word")
     filled = rare.groupBy(F.col("row").alias("of")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda y: y["x"]).alias("fill"))
-    both = begun.drop("rare").join(filled, F.col("row") == F.col("of"), "left").drop("of")
+    whole = begun.where(F.size("rare") == 0).select("doc_id", "ids", F.lit(None).cast("array<array<int>>").alias("fill"), "digest")
+    both = whole.unionByName(some.join(filled, F.col("row") == F.col("of")).select("doc_id", "ids", "fill", "digest"))
 
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
