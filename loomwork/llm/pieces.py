@@ -26,6 +26,8 @@ SPACE = "▁"
 LONGEST = 60
 #: Words that are sent to every executor at most, their characters in all and in one; other words are joined.
 MOST_SENT, MOST_CHARS, MOST_IN_ONE = 200_000, 16_000_000, 1000
+#: Words in one partition of the lattice.
+WORDS_IN_PART = 50_000
 HOLE = 0xFFFF
 
 
@@ -123,14 +125,17 @@ def _best_merges(edges: Column, n: Column) -> Column:
 
 
 def lattice(words: DataFrame, pieces: DataFrame, most: int) -> DataFrame:
-    """word and edges: all places of pieces in it, best score first, then leftmost. pieces: piece, id, score (bounded by the model)."""
-    n = F.length("word")
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = starts.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + most))).alias("e"))
-    edges = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s"))).join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR e = s + 1")
+    """words with edges: all places of pieces in a word, best score first, then leftmost. pieces: piece, id, score (bounded by the model).
+
+    Words that come partitioned by word stay so: neither the explosion nor the grouping shuffles.
+    """
+    n, own = F.length("word"), words.columns
+    starts = words.select(*own, F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    spans = starts.select(*own, "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + most))).alias("e"))
+    edges = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s"))).join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("e") == F.col("s") + 1))
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x)
     edge = F.struct((-F.col("score")).alias("cost"), "s", "e", (bit(F.col("e")) - bit(F.col("s") + 1)).alias("inner"), "id")
-    return edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    return edges.groupBy(*own).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
 
 
 def viterbi(edges: Column, n: Column) -> Column:
@@ -150,10 +155,11 @@ def viterbi(edges: Column, n: Column) -> Column:
 
 
 def encoded_words(words: DataFrame, model: Pieces) -> DataFrame:
-    """word and ids for distinct words; characters without a piece become bytes."""
+    """word, n and ids for distinct words (word, n); characters without a piece become bytes."""
     spark = words.sparkSession
     pieces = spark.createDataFrame([(p, i, s) for p, (i, s) in model.ids.items()], "piece string, id int, score double")
-    short = lattice(words.where(F.length("word") <= LONGEST).select("word"), pieces, model.most).where("edges IS NOT NULL")
+    parts = 1 + words.count() // WORDS_IN_PART
+    short = lattice(words.where(F.length("word") <= LONGEST).repartition(parts, "word"), pieces, model.most).where("edges IS NOT NULL")
     n = F.length("word")
     short = short.withColumn("many", F.filter("edges", lambda x: x["e"] > x["s"] + 1))
     bits = _best_merges(F.col("many"), n)
@@ -166,14 +172,14 @@ def encoded_words(words: DataFrame, model: Pieces) -> DataFrame:
     byte = F.array(*map(F.lit, model.bytes))
     spelled = lambda t: F.transform(F.filter(F.split(F.hex(F.encode(t, "UTF-8")), "(?<=\\G..)"), lambda h: h != ""), lambda h: F.get(byte, F.conv(h, 16, 10).cast("int")))
     ids = F.flatten(F.transform(parts, lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(spelled(x["t"]))))
-    plain = hold.select("word", ids.alias("ids"))
+    plain = hold.select("word", "n", ids.alias("ids"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             w = b.column("word").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array([model.merged(x) for x in w], pa.list_(pa.int32()))], names=["word", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), b.column("n"), pa.array([model.merged(x) for x in w], pa.list_(pa.int32()))], names=["word", "n", "ids"])
 
-    long = words.where(F.length("word") > LONGEST).select("word").mapInArrow(each, "word string, ids array<int>")
+    long = words.where(F.length("word") > LONGEST).mapInArrow(each, "word string, n long, ids array<int>")
     return plain.unionByName(long)
 
 
@@ -187,7 +193,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     words = written(_counted(own, model.pattern), "words")
-    known = written(encoded_words(words, model).join(words, "word"), "encoded")
+    known = written(encoded_words(words, model), "encoded")
     # The least count such that the words that have it, or more, keep to the bounds.
     sendable = known.where(F.length("word") <= MOST_IN_ONE)
     sizes = sendable.groupBy("n").agg(F.count(F.lit(1)).alias("words"), F.sum(F.length("word")).alias("chars")).orderBy(F.desc("n")).toLocalIterator()
