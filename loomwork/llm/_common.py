@@ -33,3 +33,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def ascii_lower(column):
     """Lower-case A-Z alone."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores put first until df has no such column (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out

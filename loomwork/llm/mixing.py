@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, written
+from ._common import fresh, table, written
 
 #: Buckets of word hashes, labelled rows that the fit takes at most, steps at most and the residual that ends them.
 BUCKETS, MOST_LABELLED, STEPS, CLOSE = 1 << 14, 20_000, 40, 1e-3
@@ -103,13 +103,15 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: s
     """docs, each row as often as its rate says, all columns as they were.
 
     A rate of 2.3 gives two copies and, by a hash of doc_id, a third for three in ten. The total is set so
-    that the domain `keep` has `spare` times its tokens, so rows of it are not lost.
+    that the domain `keep` has `spare` times its tokens, so rows of it are not lost. Null and empty texts have no tokens and the
+    priors as posteriors; repeated rows count each; no rows in give no rows out.
     """
     names = sorted(targets)
-    own = written(docs.withColumn("_row", F.monotonically_increasing_id()), "mixing")
-    soft = written(posteriors(own.select(F.col("_row").alias("row"), "doc_id", "text"), labels.select("doc_id", _domain().alias("domain")), names), "soft")
+    row, rate, many, nth = fresh(docs, "_row", "_rate", "_n", "_copy")
+    own = written(docs.withColumn(row, F.monotonically_increasing_id()), "mixing")
+    soft = written(posteriors(own.select(F.col(row).alias("row"), "doc_id", "text"), labels.select("doc_id", _domain().alias("domain")), names), "soft")
     mass = soft.agg(F.sum(F.col("tokens") * F.get("p", F.lit(names.index(keep))))).first()[0] or 0.0
     out = rates(soft, [targets[d] for d in names], spare * mass / targets[keep] or None)
-    luck = (F.pmod(F.xxhash64("doc_id", "_row"), F.lit(1 << 20)) + 0.5) / (1 << 20)
-    copies = own.join(out.select(F.col("row").alias("_row"), "rate"), "_row").withColumn("_n", F.floor(F.col("rate") + luck).cast("int")).where("_n >= 1")
-    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    luck = (F.pmod(F.xxhash64("doc_id", row), F.lit(1 << 20)) + 0.5) / (1 << 20)
+    copies = own.join(out.select(F.col("row").alias(row), F.col("rate").alias(rate)), row).withColumn(many, F.floor(F.col(rate) + luck).cast("int")).where(F.col(many) >= 1)
+    return copies.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(many)))).select(*docs.columns)

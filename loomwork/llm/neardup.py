@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, written
+from ._common import fresh, table, written
 from ._words import U, grams, mix, slices, words
 
 BINS, ROWS = 128, 4
@@ -215,8 +215,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay when one document of each group does; of rows with one doc_id and text one stays."""
-    gone = near_duplicates(docs, k, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    (gone,) = fresh(docs, "_gone")
+    others = near_duplicates(docs, k, percent).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(others, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, written
+from ._common import fresh, table, written
 
 #: Labelled rows that the fit takes at most, by the order of a hash of doc_id.
 MOST_LABELLED = 20_000
@@ -193,4 +193,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
         return pd.Series(model.score(np.array([features(t) for t in texts], float).reshape(-1, len(FEATURES))))
 
-    return docs.withColumn("_score", score("text")).where(F.col("_score") >= threshold).drop("_score")
+    (name,) = fresh(docs, "_score")
+    return docs.withColumn(name, score("text")).where(F.col(name) >= threshold).drop(name)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, written
+from ._common import fresh, table, written
 
 #: Base kinds, in the order in which spans at one start are listed: pattern, group of the value, least length of it.
 BASE = {
@@ -128,22 +128,23 @@ def redact(docs: DataFrame, max_owners: int = 2, mark: str = "[SECRET]") -> Data
 
     Examples, which many owners hold, stay. Null texts stay null. Only rows with a candidate are joined to verdicts.
     """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    row, spans, of, hits = fresh(docs, "_row", "_spans", "_of", "_live")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("digest", pa.string()), ("base", pa.bool_())]))
     keys = ("kind", "start", "end", "digest", "base")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [[dict(zip(keys, x, strict=True)) for x in spans_of(t.as_py() or "")] for t in b.column("text")]
-            yield b.append_column("_spans", pa.array(found, span))
+            yield b.append_column(spans, pa.array(found, span))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    kept = written(rows.mapInArrow(each, f"{fields}, _spans array<{SPAN}>"), "secrets-docs")
-    some = kept.where(F.size("_spans") > 0)
+    kept = written(rows.mapInArrow(each, f"{fields}, `{spans}` array<{SPAN}>"), "secrets-docs")
+    some = kept.where(F.size(spans) > 0)
     owner = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("owner")
-    c = some.select("_row", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("repo"), owner, F.explode("_spans").alias("s")).select("_row", "repo", "owner", "s.*")
+    c = some.select(F.col(row).alias("_row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("repo"), owner, F.explode(spans).alias("s")).select("_row", "repo", "owner", "s.*")
     live = c.join(ownership(c), "digest").where(F.col("n_owners") <= max_owners)
-    live = live.groupBy(F.col("_row").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_live"))
+    live = live.groupBy(F.col("_row").alias(of)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(hits))
 
     def step(state: Column, x: Column) -> Column:
         fresh = x["end"] > state["at"]
@@ -153,12 +154,12 @@ def redact(docs: DataFrame, max_owners: int = 2, mark: str = "[SECRET]") -> Data
         return F.struct(F.when(fresh, add).otherwise(state["out"]).alias("out"), F.greatest(state["at"], x["end"]).alias("at"))
 
     clean = F.aggregate(
-        "_live", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step,
+        hits, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step,
         lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))),
     )
-    out = some.join(live, F.col("_row") == F.col("_of"), "left").withColumn("text", F.when(F.col("_live").isNull(), F.col("text")).otherwise(clean))
-    out = out.withColumn("n_chars", F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return kept.where(F.size("_spans") == 0).select(*docs.columns).unionByName(out.select(*docs.columns))
+    out = some.join(live, F.col(row) == F.col(of), "left").withColumn("text", F.when(F.col(hits).isNull(), F.col("text")).otherwise(clean))
+    out = out.withColumn("n_chars", F.when(F.col(hits).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return kept.where(F.size(spans) == 0).select(*docs.columns).unionByName(out.select(*docs.columns))
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

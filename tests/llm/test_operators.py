@@ -195,3 +195,39 @@ def test_viterbi_fold(spark):
         return cost[len(w)][1]
 
     assert got == {w: best(w) for w in ("aba", "abab")}
+
+
+CLASHING = ("_row", "_rate", "_n", "_copy", "_gone", "_spans", "_of", "_live", "rate", "row", "word")
+
+
+def clashing(df):
+    from pyspark.sql import functions as F
+
+    return df.select("*", *(F.lit(f"own {c}").alias(c) for c in CLASHING))
+
+
+@pytest.mark.parametrize("stage", ["near", "secrets", "mixing"])
+def test_stages_keep_columns_that_clash(spark, odd, stage):
+    labels = spark.createDataFrame([(1, 1, 0), (6, 0, 0), (7, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    targets = {"good": 0.5, "poor": 0.3, "toxic": 0.2}
+    apply = {"near": neardup.one_of_each, "secrets": secrets.redact, "mixing": lambda d: mixing.mixed(d, labels, targets, keep="good")}[stage]
+    d = clashing(odd)
+    got = apply(d).collect()
+    assert got and all(r[c] == f"own {c}" for r in got for c in CLASHING) and set(got[0].asDict()) == set(d.columns)
+    if stage == "secrets":
+        assert len(got) == 12
+    assert apply(d.where("doc_id < 0")).collect() == []
+
+
+def test_posteriors_equal_plain_bayes(spark):
+    texts = [(0, "Good words here"), (1, "bad bad words"), (2, "good\tbad  unseen"), (3, None), (4, " "), (5, "good good")]
+    domains = {0: "g", 1: "b", 5: "g"}
+    d = spark.createDataFrame([(i, i, t) for i, t in texts], "row long, doc_id long, text string")
+    labelled = spark.createDataFrame([*domains.items(), (None, "g"), (2, None)], "doc_id long, domain string")
+    names, words = ["b", "g"], {i: (t or "").lower().split() for i, t in texts}
+    seen = {n: [w for i, x in domains.items() if x == n for w in words[i]] for n in names}
+    rows = {n: list(domains.values()).count(n) for n in names}
+    for r in mixing.posteriors(d, labelled, names).collect():
+        z = [math.log((rows[n] + 1) / 5) + sum(math.log((seen[n].count(w) + 1) / (len(seen[n]) + mixing.BUCKETS)) for w in words[r["row"]]) for n in names]
+        e = np.exp(np.array(z) - max(z))
+        assert r["tokens"] == len(words[r["row"]]) and r["doc_id"] == r["row"] and np.allclose(r["p"], e / e.sum())
