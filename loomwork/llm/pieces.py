@@ -117,11 +117,14 @@ def _best_merges(edges: Column, n: Column) -> Column:
     bit = lambda x: F.expr("1L").cast("long") if x is None else F.call_function("shiftleft", F.lit(1).cast("long"), x)
     open_ = lambda mask: lambda x: (mask.bitwiseAND(bit(x["s"])) != 0) & (mask.bitwiseAND(bit(x["e"])) != 0) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1)
 
-    def merge(mask: Column, _: Column) -> Column:
-        first = F.get(F.filter(edges, open_(mask)), F.lit(0))
-        return F.coalesce(mask.bitwiseAND(F.bitwise_not(first["inner"])), mask)
-
-    return F.aggregate(F.sequence(F.lit(1), n), bit(n + 1) - 1, merge)
+    def merge(state: Column, _: Column) -> Column:
+        first = F.get(F.filter(edges, open_(state["mask"])), F.lit(0))["inner"]
+        # Once no edge is open, the rest of the turns look at none.
+        return F.when(state["ended"], state).otherwise(
+            F.struct(F.coalesce(state["mask"].bitwiseAND(F.bitwise_not(first)), state["mask"]).alias("mask"), first.isNull().alias("ended"))
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), n), F.struct((bit(n + 1) - 1).alias("mask"), F.lit(False).alias("ended")), merge, lambda x: x["mask"])
 
 
 def lattice(words: DataFrame, pieces: DataFrame, most: int) -> DataFrame:
