@@ -3,18 +3,19 @@
 Words of the corpus, split where no piece can lie across, are exploded into substrings of bounded length and
 joined to the piece table; the edges of a word are grouped, and a Spark aggregate folds over them. A unigram model is
 folded by Viterbi. A BPE model is not a shortest path, so its fold takes the best merge that is open, again
-and again, over the same edges.
+and again, over the same edges; one turn over the edges in order of score is enough unless a piece is `late` (below).
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +25,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of words that the fold takes; longer words are merged by a queue, to the same result.
 LONGEST = 60
-#: Words that are sent to every executor at most, their characters in all and in one; other words are joined.
-MOST_SENT, MOST_CHARS, MOST_IN_ONE = 200_000, 16_000_000, 1000
-#: Words in one partition of the lattice.
-WORDS_IN_PART = 50_000
+#: Words, of LONGEST characters at most, that are sent to every executor at most; other words are joined.
+MOST_SENT = 200_000
+#: Distinct words that a task keeps before it hands their counts or ids on.
+MOST_KEPT = 400_000
+#: A run of spaces and what follows it; no piece lies across its ends.
+COARSE = re.compile(" *[^ ]+| +")
 HOLE = 0xFFFF
 
 
@@ -43,19 +46,42 @@ class Pieces:
         self.bytes = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if m.get_piece_size() > HOLE:
             raise ValueError(f"a model of at most {HOLE} pieces is expected")
-        self.texts = [m.id_to_piece(i).encode() if i in set(ordinary) else b"" for i in range(m.get_piece_size())]
+        texts = [b""] * m.get_piece_size()
+        for i in ordinary:
+            texts[i] = m.id_to_piece(i).replace(SPACE, " ").encode()
         for b, i in enumerate(self.bytes):
-            self.texts[i] = bytes([b])
+            texts[i] = bytes([b])
+        self.flat, self.sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+        self.begins = np.cumsum(self.sizes) - self.sizes
         self.most = max(map(len, self.ids))
         inside = {(a, b) for p in self.ids for a, b in zip(p, p[1:])}
         # Characters that may follow a letter in a piece count as letters; so a cut after letters splits no piece.
         letters = {c for pair in inside for c in pair if c.isalpha()}
         while more := {b for a, b in inside if a in letters and b != SPACE} - letters:
             letters |= more
-        own = "".join(regex.escape(c) for c in sorted(letters))
+        own = "".join(re.escape(c) for c in sorted(letters))
         assert not any(b == SPACE and a != SPACE for a, b in inside)
         self.pattern = f"{SPACE}*[^{SPACE}{own}]*[{own}]*"
 
+    def late(self) -> list[str]:
+        """Pieces that one turn over the edges, best score first, may miss.
+
+        Alone, merged by better pieces only, such a piece is not yet two parts when its own turn comes, or it shares its
+        score. Whether a place's boundaries stay depends on nothing inside it, so what holds for a piece alone
+        holds wherever it stands.
+        """
+        many, found = Counter(s for p, (_, s) in self.ids.items() if len(p) > 1), []
+        for p, (_, score) in self.ids.items():
+            left = set(range(len(p) + 1))
+            spans = ((s, e) for s in range(len(p)) for e in range(s + 2, len(p) + 1))
+            for _, s, e in sorted((-self.ids[t][1], s, e) for s, e in spans if (t := p[s:e]) in self.ids and self.ids[t][1] > score):
+                inside = left.intersection(range(s + 1, e))
+                if s in left and e in left and len(inside) == 1:
+                    left -= inside
+            if len(p) > 1 and (len(left) != 3 or many[score] > 1):
+                found.append(p)
+        return found
+
     def merged(self, word: str) -> list[int]:
         """Ids of one word by a queue of merges; for words too long for the fold."""
         s: list[str | None] = list(word)
@@ -80,42 +106,78 @@ class Pieces:
             offer(before[i])
         return [x for t in s if t is not None for x in ([self.ids[t][0]] if t in self.ids else [self.bytes[b] for b in t.encode()])]
 
+    def spelt(self, ids: np.ndarray) -> bytes:
+        """UTF-8 of the text of ids, without the space that encoding puts first."""
+        size = self.sizes[ids]
+        ends = np.cumsum(size)
+        at = np.repeat(self.begins[ids] - (ends - size), size) + np.arange(size.sum())
+        text = self.flat[at].tobytes()
+        return text[1:] if text[:1] == b" " else text
+
     def decode(self, ids: list[int]) -> str:
         """Text of ids, without the space that encoding puts first."""
-        text = b"".join(self.texts[i] for i in ids).decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if text[:1] == " " else text
+        return self.spelt(np.array(ids, np.int64)).decode("utf-8", "replace")
 
 
-def split(pattern: regex.Pattern, text: str) -> list[str]:
+def split(pattern: re.Pattern, text: str) -> list[str]:
     """Words of a text; an empty text has none."""
     return [w for w in pattern.findall(SPACE + text.replace(" ", SPACE)) if w] if text else []
 
 
+def _coarse(text: str) -> list[str]:
+    """Parts of a text, cut before spaces, each without its first space; found faster than words, which lie within."""
+    text = text.replace(SPACE, " ")
+    if text[:1] != " " and "  " not in text:
+        return text.split(" ") if text else []
+    return [x[1:] for x in COARSE.findall(" " + text)]
+
+
+def _fine(pattern: re.Pattern, part: str) -> list[str]:
+    """Words of a part that _coarse gives."""
+    return [w for w in pattern.findall(SPACE + part.replace(" ", SPACE)) if w]
+
+
 def _counted(docs: DataFrame, pattern: str) -> DataFrame:
-    """word and n, its places in the corpus."""
+    """word and n, its places in the corpus, of words that the fold takes."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
+        own, parts = re.compile(pattern), Counter()
+
+        def handed() -> pa.RecordBatch:
+            found: Counter = Counter()
+            for part, n in parts.items():
+                for w in _fine(own, part):
+                    if len(w) <= LONGEST:
+                        found[w] += n
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
-        own, found = regex.compile(pattern), Counter()
         for b in batches:
-            for t in b.column("text"):
-                found.update(split(own, t.as_py() or ""))
-            if len(found) > 400_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-                found.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+            for t in b.column("text").to_pylist():
+                parts.update(_coarse(t or ""))
+                if len(parts) > MOST_KEPT:
+                    yield handed()
+        yield handed()
 
     return docs.select("text").mapInArrow(each, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _bit(x: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), x)
+
+
+def _one_turn(edges: Column, n: Column) -> Column:
+    """What _best_merges gives, by one look at each edge, where no edge's piece is late."""
+    open_ = lambda mask, x: (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1)
+    return F.aggregate(edges, _bit(n + 1) - 1, lambda mask, x: F.when(open_(mask, x), mask.bitwiseAND(F.bitwise_not(x["inner"]))).otherwise(mask))
+
+
 def _best_merges(edges: Column, n: Column) -> Column:
     """Bits of the boundaries that are left when the open edge with the best score has been merged until none is.
 
     edges: structs with s, e and inner (bits of the boundaries between), best score first, leftmost first.
     """
-    bit = lambda x: F.expr("1L").cast("long") if x is None else F.call_function("shiftleft", F.lit(1).cast("long"), x)
-    open_ = lambda mask: lambda x: (mask.bitwiseAND(bit(x["s"])) != 0) & (mask.bitwiseAND(bit(x["e"])) != 0) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1)
+    open_ = lambda mask: lambda x: (mask.bitwiseAND(_bit(x["s"])) != 0) & (mask.bitwiseAND(_bit(x["e"])) != 0) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1)
 
     def merge(state: Column, _: Column) -> Column:
         first = F.get(F.filter(edges, open_(state["mask"])), F.lit(0))["inner"]
@@ -124,33 +186,36 @@ def _best_merges(edges: Column, n: Column) -> Column:
             F.struct(F.coalesce(state["mask"].bitwiseAND(F.bitwise_not(first)), state["mask"]).alias("mask"), first.isNull().alias("ended"))
         )
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.struct((bit(n + 1) - 1).alias("mask"), F.lit(False).alias("ended")), merge, lambda x: x["mask"])
+    return F.aggregate(F.sequence(F.lit(1), n), F.struct((_bit(n + 1) - 1).alias("mask"), F.lit(False).alias("ended")), merge, lambda x: x["mask"])
 
 
-def lattice(words: DataFrame, pieces: DataFrame, most: int) -> DataFrame:
-    """words with edges: all places of pieces in a word, best score first, then leftmost. pieces: piece, id, score (bounded by the model).
+def lattice(words: DataFrame, pieces: DataFrame, most: int, least: int = 1) -> DataFrame:
+    """words with edges: places of pieces of `least` characters or more in a word, best score first, then leftmost.
 
-    Words that come partitioned by word stay so: neither the explosion nor the grouping shuffles.
+    pieces: piece, id, score and perhaps late (bounded by the model). The first character always has an edge, if only one without an id, so
+    every word stays; with `least` 1 every character has. Words that come partitioned by word stay so: neither the
+    explosion nor the grouping shuffles.
     """
     n, own = F.length("word"), words.columns
-    starts = words.select(*own, F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = starts.select(*own, "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + most))).alias("e"))
-    edges = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s"))).join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("e") == F.col("s") + 1))
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x)
-    edge = F.struct((-F.col("score")).alias("cost"), "s", "e", (bit(F.col("e")) - bit(F.col("s") + 1)).alias("inner"), "id")
-    return edges.groupBy(*own).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    starts = words.select(*own, F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), n - least))).alias("s"))
+    first = F.col("s") + F.when(F.col("s") == 0, 1).otherwise(least)
+    spans = starts.select(*own, "s", F.explode(F.sequence(first, F.least(n, F.greatest(first, F.col("s") + most)))).alias("e"))
+    kept = F.col("id").isNotNull() | ((F.col("e") == F.col("s") + 1) & ((F.col("s") == 0) | F.lit(least == 1)))
+    edges = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s"))).join(F.broadcast(pieces), "piece", "left").where(kept)
+    edge = F.struct((-F.col("score")).alias("cost"), "s", "e", (_bit(F.col("e")) - _bit(F.col("s") + 1)).alias("inner"), "id", (_bit(F.col("s")) + _bit(F.col("e"))).alias("ends"), *(c for c in ("late",) if c in pieces.columns))
+    return edges.groupBy(*own).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def viterbi(edges: Column, n: Column) -> Column:
     """Boundaries' bits of the best-scoring path of a unigram model, folded over the edges by end; n below 61."""
-    by_end = F.array_sort(F.transform(F.filter(edges, lambda x: x["id"].isNotNull()), lambda x: F.struct(x["e"], x["s"], x["cost"])))
+    by_end = F.sort_array(F.transform(F.filter(edges, lambda x: x["id"].isNotNull()), lambda x: F.struct(x["e"], x["s"], x["cost"])))
     start = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(1).cast("long").alias("bits")))
     start = F.concat(start, F.array_repeat(F.lit(None).cast("struct<cost:double,bits:bigint>"), n))
 
     def step(best: Column, x: Column) -> Column:
         to, here = F.get(best, x["s"]), F.get(best, x["e"])
         cost = to["cost"] + x["cost"]
-        path = F.struct(cost.alias("cost"), to["bits"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["e"])).alias("bits"))
+        path = F.struct(cost.alias("cost"), to["bits"].bitwiseOR(_bit(x["e"])).alias("bits"))
         better = to.isNotNull() & (here.isNull() | (cost < here["cost"]))
         return F.transform(best, lambda y, i: F.when((i == x["e"]) & better, path).otherwise(y))
 
@@ -158,94 +223,112 @@ def viterbi(edges: Column, n: Column) -> Column:
 
 
 def encoded_words(words: DataFrame, model: Pieces) -> DataFrame:
-    """word, n and ids for distinct words (word, n); characters without a piece become bytes."""
-    spark = words.sparkSession
-    pieces = spark.createDataFrame([(p, i, s) for p, (i, s) in model.ids.items()], "piece string, id int, score double")
-    parts = 1 + words.count() // WORDS_IN_PART
-    short = lattice(words.where(F.length("word") <= LONGEST).repartition(parts, "word"), pieces, model.most).where("edges IS NOT NULL")
+    """word, n and ids for distinct words (word, n) of LONGEST characters at most; characters without a piece become bytes."""
+    late = set(model.late())
+    pieces = words.sparkSession.createDataFrame([(p, i, s, p in late) for p, (i, s) in model.ids.items()], "piece string, id int, score double, late boolean")
     n = F.length("word")
-    short = short.withColumn("many", F.filter("edges", lambda x: x["e"] > x["s"] + 1))
-    bits = _best_merges(F.col("many"), n)
-    left = lambda m, i: F.call_function("shiftleft", F.lit(1).cast("long"), i).bitwiseAND(m) != 0
-    hold = short.withColumn("bits", bits)
-    parts = F.array_sort(F.transform(
-        F.filter("edges", lambda x: left(F.col("bits"), x["s"]) & left(F.col("bits"), x["e"]) & (F.bit_count(F.col("bits").bitwiseAND(x["inner"])) == 0)),
-        lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"), F.substring(F.col("word"), x["s"] + 1, x["e"] - x["s"]).alias("t")),
-    ))
+    # Edges of one character take no part in merges; their ids are looked up by code point for the few that are left.
+    found = lattice(words, pieces, model.most, least=2).withColumn("many", F.filter("edges", lambda x: x["e"] > x["s"] + 1))
+    hold = found.select("word", "n", "many", F.when(F.exists("many", lambda x: x["late"]), _best_merges(F.col("many"), n)).otherwise(_one_turn(F.col("many"), n)).alias("bits"))
+    bits = F.col("bits")
+    left = lambda i: _bit(i).bitwiseAND(bits) != 0
+    merged = F.transform(
+        F.filter("many", lambda x: (bits.bitwiseAND(x["ends"]) == x["ends"]) & (bits.bitwiseAND(x["inner"]) == 0)), lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))
+    )
+    single = {ord(p): i for p, (i, _) in model.ids.items() if len(p) == 1}
+    by_point = F.split(F.lit(",".join(str(single.get(c, "")) for c in range(max(single, default=0) + 1))), ",")  # folded to one constant
+    char = lambda s: F.substring(F.col("word"), s + 1, F.lit(1))
+    alone = F.transform(
+        F.filter(F.sequence(F.lit(0), n - 1), lambda s: left(s) & left(s + 1)),
+        lambda s: F.struct(s.alias("s"), F.get(by_point, F.ascii(char(s))).try_cast("int").alias("id")),
+    )
     byte = F.array(*map(F.lit, model.bytes))
     spelled = lambda t: F.transform(F.filter(F.split(F.hex(F.encode(t, "UTF-8")), "(?<=\\G..)"), lambda h: h != ""), lambda h: F.get(byte, F.conv(h, 16, 10).cast("int")))
-    ids = F.flatten(F.transform(parts, lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(spelled(x["t"]))))
-    plain = hold.select("word", "n", ids.alias("ids"))
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            w = b.column("word").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), b.column("n"), pa.array([model.merged(x) for x in w], pa.list_(pa.int32()))], names=["word", "n", "ids"])
-
-    long = words.where(F.length("word") > LONGEST).mapInArrow(each, "word string, n long, ids array<int>")
-    return plain.unionByName(long)
+    ids = F.flatten(F.transform(F.sort_array(F.concat(merged, alone)), lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(spelled(char(x["s"])))))
+    return hold.select("word", "n", ids.alias("ids"))
 
 
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, ids, n_ids and round_trip (whether the ids decode to the text) for every row of docs.
 
-    Null texts count as empty and have no ids. Repeated rows stay apart. Words are encoded once each; the commonest, as
-    many as MOST_SENT, MOST_CHARS and MOST_IN_ONE let, are sent to every executor, the others are joined to their places.
+    Null texts count as empty and have no ids. Repeated rows stay apart. Words are encoded once each; the commonest,
+    MOST_SENT at most, are sent to every executor, the others are joined to their places. Words of over LONGEST
+    characters are merged where they stand.
     """
     model = Pieces(path)
     own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    words = written(_counted(own, model.pattern), "words")
-    known = written(encoded_words(words, model), "encoded")
-    # The least count such that the words that have it, or more, keep to the bounds.
-    sendable = known.where(F.length("word") <= MOST_IN_ONE)
-    sizes = sendable.groupBy("n").agg(F.count(F.lit(1)).alias("words"), F.sum(F.length("word")).alias("chars")).orderBy(F.desc("n")).toLocalIterator()
-    total, chars, least = 0, 0, 1 << 62
-    for r in sizes:
-        total, chars = total + r["words"], chars + r["chars"]
-        if total > MOST_SENT or chars > MOST_CHARS:
+    known = written(encoded_words(_counted(own, model.pattern), model), "encoded")
+    # The least count such that the words that have it, or more, keep to the bound.
+    total, least = 0, 1 << 62
+    for r in known.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        total += r["words"]
+        if total > MOST_SENT:
             break
         least = r["n"]
-    is_sent = (F.col("n") >= least) & (F.length("word") <= MOST_IN_ONE)
-    sent = docs.sparkSession.sparkContext.broadcast({r["word"]: r["ids"] for r in known.where(is_sent).select("word", "ids").toLocalIterator()})
-    pattern = model.pattern
+    sent = docs.sparkSession.sparkContext.broadcast({r["word"]: np.array(r["ids"], np.uint16).tobytes() for r in known.where(F.col("n") >= least).select("word", "ids").toLocalIterator()})
+    hole = np.array([HOLE], np.uint16).tobytes()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, common = regex.compile(pattern), sent.value
-        for b in batches:
-            out = []
-            for row, doc, text in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "text"))):
-                ids, rare = [], []
-                for w in split(p, text):
-                    x = common.get(w)
-                    if x is None:
-                        rare.append(w)
-                        ids.append(HOLE)
+        p, common = re.compile(model.pattern), sent.value
+        rare: dict[str, list[str]] = {}
+
+        class Kept(dict):
+            """Packed ids by part; `rare` has the words of those with holes."""
+
+            def __missing__(self, part: str) -> bytes:
+                ids, joined = [], []
+                for w in _fine(p, part):
+                    if len(w) > LONGEST:
+                        ids.append(np.array(model.merged(w), np.uint16).tobytes())
+                    elif w in common:
+                        ids.append(common[w])
                     else:
-                        ids += x
-                out.append({"row": row, "doc_id": doc, "ids": np.array(ids, np.uint16).tobytes(), "rare": rare, "digest": hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("row", pa.int64()), ("doc_id", b.column("doc_id").type), ("ids", pa.binary()), ("rare", pa.list_(pa.string())), ("digest", pa.binary())]))
+                        ids.append(hole)
+                        joined.append(w)
+                self[part] = found = b"".join(ids)
+                if joined:
+                    rare[part] = joined
+                return found
+
+        kept = Kept()
+        for b in batches:
+            packed, rares, digests = [], [], []
+            for text in b.column("text").to_pylist():
+                if len(kept) > MOST_KEPT:
+                    kept.clear()
+                    rare.clear()
+                parts = _coarse(text)
+                packed.append(b"".join(map(kept.__getitem__, parts)))
+                rares.append([w for x in filter(rare.__contains__, parts) for w in rare[x]])
+                digests.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("row"), b.column("doc_id"), pa.array(packed, pa.binary()), pa.array(rares, pa.list_(pa.string())), pa.array(digests, pa.binary())], names=["row", "doc_id", "ids", "rare", "digest"]
+            )
 
     begun = written(own.mapInArrow(each, f"row long, doc_id {kind}, ids binary, rare array<string>, digest binary"), "begun")
     some = begun.where(F.size("rare") > 0)
-    rare = some.select("row", F.posexplode("rare").alias("at", "word")).join(known.where(~is_sent).select("word", F.col("ids").alias("x")), "word")
-    filled = rare.groupBy(F.col("row").alias("of")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda y: y["x"]).alias("fill"))
+    others = known.where(F.col("n") < least).select("word", F.col("ids").alias("x"))
+    rare = some.select("row", F.posexplode("rare").alias("at", "word")).join(others, "word")
+    filled = rare.groupBy(F.col("row").alias("of")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda y: y["x"]).alias("fill"))
     whole = begun.where(F.size("rare") == 0).select("doc_id", "ids", F.lit(None).cast("array<array<int>>").alias("fill"), "digest")
     both = whole.unionByName(some.join(filled, F.col("row") == F.col("of")).select("doc_id", "ids", "fill", "digest"))
 
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for doc, packed, fill, digest in zip(*(b.column(c).to_pylist() for c in ("doc_id", "ids", "fill", "digest"))):
+            out, same = [], []
+            for packed, fill, digest in zip(*(b.column(c).to_pylist() for c in ("ids", "fill", "digest"))):
                 ids = np.frombuffer(packed, np.uint16)
-                parts, holes, last = [], np.flatnonzero(ids == HOLE), 0
-                for h, x in zip(holes, fill or ()):
-                    parts += [ids[last:h], np.array(x)]
+                parts, last = [], 0
+                for h, x in zip(np.flatnonzero(ids == HOLE).tolist(), fill or ()):
+                    parts += [ids[last:h], np.array(x, np.uint16)]
                     last = h + 1
-                ids = np.concatenate([*parts, ids[last:]]).astype(np.int32).tolist()
-                same = hashlib.sha256(model.decode(ids).encode("utf-8", "surrogatepass")).digest() == digest
-                out.append({"doc_id": doc, "ids": ids, "n_ids": len(ids), "round_trip": same})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", b.column("doc_id").type), ("ids", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("round_trip", pa.bool_())]))
+                ids = np.concatenate([*parts, ids[last:]]).astype(np.int32)
+                out.append(ids)
+                same.append(hashlib.sha256(model.spelt(ids)).digest() == digest)
+            n = np.array([len(x) for x in out], np.int64)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *out])))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(n), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_ids", "round_trip"])
 
     return both.mapInArrow(end, f"doc_id {kind}, ids array<int>, n_ids long, round_trip boolean")
 
