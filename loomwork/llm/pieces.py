@@ -28,7 +28,7 @@ LONGEST = 60
 #: Words, of LONGEST characters at most, that are sent to every executor at most; other words are joined.
 MOST_SENT = 200_000
 #: Distinct words that a task keeps before it hands their counts or ids on.
-MOST_KEPT = 400_000
+MOST_KEPT = 200_000
 #: A run of spaces and what follows it; no piece lies across its ends.
 COARSE = re.compile(" *[^ ]+| +")
 HOLE = 0xFFFF
@@ -248,6 +248,16 @@ def encoded_words(words: DataFrame, model: Pieces) -> DataFrame:
     return hold.select("word", "n", ids.alias("ids"))
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+
+
+def _halves(names: list[bytes]) -> list[pa.Array]:
+    """The two longs of names of 16 bytes."""
+    both = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+    return [pa.array(both[:, 0]), pa.array(both[:, 1])]
+
+
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, ids, n_ids and round_trip (whether the ids decode to the text) for every row of docs.
 
@@ -256,7 +266,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     characters are merged where they stand.
     """
     model = Pieces(path)
-    own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     known = written(encoded_words(_counted(own, model.pattern), model), "encoded")
     # The least count such that the words that have it, or more, keep to the bound.
@@ -269,50 +279,69 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast({r["word"]: np.array(r["ids"], np.uint16).tobytes() for r in known.where(F.col("n") >= least).select("word", "ids").toLocalIterator()})
     hole = np.array([HOLE], np.uint16).tobytes()
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, common = re.compile(model.pattern), sent.value
-        rare: dict[str, list[str]] = {}
-
-        class Kept(dict):
-            """Packed ids by part; `rare` has the words of those with holes."""
-
-            def __missing__(self, part: str) -> bytes:
-                ids, joined = [], []
-                for w in _fine(p, part):
-                    if len(w) > LONGEST:
-                        ids.append(np.array(model.merged(w), np.uint16).tobytes())
-                    elif w in common:
-                        ids.append(common[w])
-                    else:
-                        ids.append(hole)
-                        joined.append(w)
-                self[part] = found = b"".join(ids)
-                if joined:
-                    rare[part] = joined
-                return found
-
-        kept = Kept()
+    class Kept(dict):
+        """Packed ids by part of a text; `rare` has the words of those with holes."""
+
+        def __init__(self) -> None:
+            super().__init__()
+            self.pattern, self.common, self.rare = re.compile(model.pattern), sent.value, {}
+
+        def __missing__(self, part: str) -> bytes:
+            ids, joined = [], []
+            for w in _fine(self.pattern, part):
+                if len(w) > LONGEST:
+                    ids.append(np.array(model.merged(w), np.uint16).tobytes())
+                elif w in self.common:
+                    ids.append(self.common[w])
+                else:
+                    ids.append(hole)
+                    joined.append(w)
+            self[part] = found = b"".join(ids)
+            if joined:
+                self.rare[part] = joined
+            return found
+
+        def packed(self, text: str) -> tuple[bytes, list[str]]:
+            """Ids of a text with a hole for each rare word, and its rare words."""
+            if len(self) > MOST_KEPT:
+                self.clear()
+                self.rare.clear()
+            parts = _coarse(text)
+            return b"".join(map(self.__getitem__, parts)), [w for x in filter(self.rare.__contains__, parts) for w in self.rare[x]]
+
+    # Both passes name a text by 128 bits of its digest, so they agree however the rows of docs come.
+    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, seen = Kept(), set()
         for b in batches:
-            packed, rares, digests = [], [], []
+            names, rares = [], []
             for text in b.column("text").to_pylist():
-                if len(kept) > MOST_KEPT:
-                    kept.clear()
-                    rare.clear()
-                parts = _coarse(text)
-                packed.append(b"".join(map(kept.__getitem__, parts)))
-                rares.append([w for x in filter(rare.__contains__, parts) for w in rare[x]])
-                digests.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("row"), b.column("doc_id"), pa.array(packed, pa.binary()), pa.array(rares, pa.list_(pa.string())), pa.array(digests, pa.binary())], names=["row", "doc_id", "ids", "rare", "digest"]
-            )
-
-    begun = written(own.mapInArrow(each, f"row long, doc_id {kind}, ids binary, rare array<string>, digest binary"), "begun")
-    some = begun.where(F.size("rare") > 0)
+                name = _digest(text)[:16]
+                if name not in seen and (rare := kept.packed(text)[1]):
+                    if len(seen) > MOST_KEPT:
+                        seen.clear()
+                    seen.add(name)  # copies ask once in a task
+                    names.append(name)
+                    rares.append(rare)
+            yield pa.RecordBatch.from_arrays([*_halves(names), pa.array(rares, pa.list_(pa.string()))], names=["h1", "h2", "rare"])
+
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = Kept()
+        for b in batches:
+            names, ids, digests = [], [], []
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                x, rare = kept.packed(text)
+                digest = _digest(text)
+                ids.append(x)
+                digests.append(digest)
+                # A text that lacks nothing gets a name by its row, so copies are not dealt to one task.
+                names.append((digest if rare else _digest(f"{digest} {doc}"))[:16])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_halves(names), pa.array(ids, pa.binary()), pa.array(digests, pa.binary())], names=["doc_id", "h1", "h2", "ids", "digest"])
+
     others = known.where(F.col("n") < least).select("word", F.col("ids").alias("x"))
-    rare = some.select("row", F.posexplode("rare").alias("at", "word")).join(others, "word")
-    filled = rare.groupBy(F.col("row").alias("of")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda y: y["x"]).alias("fill"))
-    whole = begun.where(F.size("rare") == 0).select("doc_id", "ids", F.lit(None).cast("array<array<int>>").alias("fill"), "digest")
-    both = whole.unionByName(some.join(filled, F.col("row") == F.col("of")).select("doc_id", "ids", "fill", "digest"))
+    rare = own.select("text").mapInArrow(missing, "h1 long, h2 long, rare array<string>").select("h1", "h2", F.posexplode("rare").alias("at", "word")).join(others, "word")
+    filled = rare.groupBy("h1", "h2").agg(F.transform(F.sort_array(F.collect_set(F.struct("at", "x"))), lambda y: y["x"]).alias("fill"))
+    # One row of rare words' ids for each text: by hash, the larger side with all ids is not sorted.
+    both = own.mapInArrow(begun, f"doc_id {kind}, h1 long, h2 long, ids binary, digest binary").join(filled.hint("shuffle_hash"), ["h1", "h2"], "left")
 
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -320,7 +349,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
             for packed, fill, digest in zip(*(b.column(c).to_pylist() for c in ("ids", "fill", "digest"))):
                 ids = np.frombuffer(packed, np.uint16)
                 parts, last = [], 0
-                for h, x in zip(np.flatnonzero(ids == HOLE).tolist(), fill or ()):
+                for h, x in zip(np.flatnonzero(ids == HOLE).tolist(), fill or (), strict=True):
                     parts += [ids[last:h], np.array(x, np.uint16)]
                     last = h + 1
                 ids = np.concatenate([*parts, ids[last:]]).astype(np.int32)
@@ -330,7 +359,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *out])))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(n), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_ids", "round_trip"])
 
-    return both.mapInArrow(end, f"doc_id {kind}, ids array<int>, n_ids long, round_trip boolean")
+    return both.select("doc_id", "ids", "fill", "digest").mapInArrow(end, f"doc_id {kind}, ids array<int>, n_ids long, round_trip boolean")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,6 +180,23 @@ def test_pieces_equal_the_library(spark):
     assert all(r["round_trip"] for i, r in got.items() if "▁" not in (texts[i] or ""))
 
 
+def test_pieces_of_rare_words_in_copies(spark, monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "MOST_SENT", 3)
+    m = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = ["one two three two two", "one two three two two", None, " x", " x", "漢字 fooo barr bazz   qux", "漢字 fooo barr bazz   qux", "one two three two two"]
+    rows = [(i // 2, t, "s") for i, t in enumerate(texts)]
+    got = sorted((r["doc_id"], list(r["ids"]), r["round_trip"]) for r in pieces.encode(docs(spark, rows)).collect())
+    assert got == sorted((i, m.encode(t or ""), True) for i, t, _ in rows)
+
+
+def test_one_turn_is_enough_without_late_pieces(spark):
+    model = pieces.Pieces(pieces.MODEL)
+    late = set(model.late())
+    assert late and all(set(p) == {pieces.SPACE} for p in late)
+
+
 def test_viterbi_fold(spark):
     from pyspark.sql import functions as F
 
