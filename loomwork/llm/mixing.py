@@ -1,22 +1,29 @@
 """Mixing sources to target weights by soft membership, on DataFrame functions alone.
 
-A classifier fitted on a labelled table gives every document posteriors over domains. Projected-gradient least
-squares then finds a nonnegative rate for each document such that the expected tokens of the domains meet their
-targets. A step needs one sum for each domain over all documents; a document's rate follows from its
-posteriors and the steps so far, so no rates are stored between steps.
+A classifier fitted on a labelled table gives every document posteriors over domains. Least squares then finds a
+nonnegative rate for each document such that the expected tokens of the domains meet their targets. Gradient steps,
+each scaled by the domains' gram matrix over the documents that are not at 0 (so a rare domain moves as fast as
+a common one), go on until every target is met or cannot be. A step needs a few sums for each domain over all
+documents; a document's rate is 1 + p * m projected to 0 and above, with one multiplier m for each domain, so no
+rates are stored between steps.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import fresh, table, written
 
-#: Buckets of word hashes, labelled rows that the fit takes at most, steps at most and the residual that ends them.
-BUCKETS, MOST_LABELLED, STEPS, CLOSE = 1 << 14, 20_000, 40, 1e-3
+#: Buckets of word hashes, labelled rows that the fit takes at most.
+BUCKETS, MOST_LABELLED = 1 << 14, 20_000
+#: Steps after which rates count as not converging, the slope relative to a target that ends them, weight of the rates' distance from 1, and the miss relative to a target that is warned of.
+STEPS, CLOSE, EDGE, FAR = 100, 1e-5, 1e-10, 1e-3
 #: Shares of tokens.
 TARGETS = {"good": 0.85, "poor": 0.1, "toxic": 0.05}
 
@@ -56,32 +63,66 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Data
     return z.select("row", "doc_id", "tokens", F.array(*(x / sum(e[1:], e[0]) for x in e)).alias("p"))
 
 
+def _solved(at: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], goal: np.ndarray) -> np.ndarray:
+    """m with sums(m) + EDGE * m = goal, by Newton steps with a line search on the convex function of which this is the gradient.
+
+    at(m): half the sum of squared rates, the domains' sums and their gram matrix over rates above 0, all a token.
+    """
+    scale = np.maximum(np.abs(goal), 1e-6)
+    value = lambda x, half: half - goal @ x + EDGE / 2 * (x @ x)
+    m = np.zeros(len(goal))
+    half, sums, gram = at(m)
+    for _ in range(STEPS):
+        slope = sums - goal + EDGE * m
+        if np.all(np.abs(slope) < CLOSE * scale):
+            return m
+        way = -np.linalg.solve(gram + EDGE * np.eye(len(goal)), slope)
+        fall, now, length = slope @ way, value(m, half), 1.0
+        for _ in range(STEPS):
+            half, sums, gram = at(m + length * way)
+            end = (sums - goal + EDGE * (m + length * way)) @ way
+            if value(m + length * way, half) <= now + 1e-4 * length * fall or abs(end) <= 0.5 * abs(fall):
+                break
+            length *= min(0.5, max(0.05, fall / (fall - end))) if end > fall else 0.5
+        else:
+            break
+        m = m + length * way
+    raise ArithmeticError(f"rates have not converged: off by {(sums - goal).tolist()} from {goal.tolist()}")
+
+
 def rates(soft: DataFrame, targets: list[float], total: float | None = None) -> DataFrame:
     """soft (row, tokens, p) with rate: nonnegative, such that the sums of rate * tokens * p come as near to
-    targets * total as least squares can, from rates of 1. Without tokens the rates stay 1.
+    targets * total as least squares can, and of such rates those nearest to 1. Without tokens the rates stay 1.
 
-    total: tokens wanted in all, as many as there are if None.
+    total: tokens wanted in all, as many as there are if None. Targets out of reach (a domain that no document is
+    likely of) are warned of with what was reached; steps that do not converge raise ArithmeticError.
     """
     k = len(targets)
     p = [F.get("p", F.lit(i)) for i in range(k)]
-    mass = [F.sum(F.col("tokens") * p[i] * p[j]) for i in range(k) for j in range(i, k)]
-    tokens, *gram = soft.agg(F.coalesce(F.sum("tokens"), F.lit(0)), *mass).first()
+    tokens = soft.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     if not tokens:
         return soft.withColumn("rate", F.lit(1.0))
-    goal = [(total or tokens) / tokens * t for t in targets]
-    at = {}
-    for i in range(k):
-        for j in range(i, k):
-            at[i, j] = at[j, i] = gram[len(at) - len([x for x in at if x[0] > x[1]])] / tokens
-    step = 1 / max(sum(abs(at[i, j]) for j in range(k)) for i in range(k))  # no longer than the inverse of the largest eigenvalue
-    rate: Column = F.lit(1.0)
-    for _ in range(STEPS):
-        sums = soft.select((F.col("tokens") * rate).alias("t"), "p").agg(*(F.sum(F.col("t") * x) for x in p)).first()
-        off = [s / tokens - g for s, g in zip(sums, goal)]
-        if max(map(abs, off)) < CLOSE:
-            break
-        rate = F.greatest(F.lit(0.0), rate - sum((x * F.lit(step * o) for x, o in zip(p[1:], off[1:])), p[0] * F.lit(step * off[0])))
-    return soft.withColumn("rate", rate)
+    goal = (total or tokens) / tokens * np.array(targets)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    last: list[np.ndarray] = []
+
+    def rate(m: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), sum((x * F.lit(float(y)) for x, y in zip(p, m)), F.lit(1.0)))
+
+    def at(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        t = soft.select("p", "tokens", rate(m).alias("rate")).where("rate > 0")
+        held = [F.col("tokens") * F.col("rate") * F.col("rate") / 2, *(F.col("tokens") * F.col("rate") * x for x in p), *(F.col("tokens") * p[i] * p[j] for i, j in pairs)]
+        half, *rest = (float(x) / tokens for x in t.agg(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in held)).first())
+        gram = np.zeros((k, k))
+        for (i, j), x in zip(pairs, rest[k:]):
+            gram[i, j] = gram[j, i] = x
+        last[:] = [np.array(rest[:k])]
+        return half, last[0], gram
+
+    m = _solved(at, goal)
+    if np.any(np.abs(last[0] - goal) > FAR * np.abs(goal)):
+        warnings.warn(f"targets out of reach: {goal.tolist()} tokens a token wanted, {last[0].tolist()} reached", stacklevel=2)
+    return soft.withColumn("rate", rate(m))
 
 
 def _domain() -> Column:

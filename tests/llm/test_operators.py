@@ -169,6 +169,27 @@ def test_rates_meet_targets(spark):
     assert all(abs(t / 40000 - 0.5) < 0.01 for t in total) and min(r["rate"] for r in out) >= 0
 
 
+@pytest.mark.parametrize("shares", [(0.93, 0.05, 0.02), (0.97, 0.02, 0.01), (0.97, 0.005, 0.025)])
+@pytest.mark.parametrize("targets", [(0.85, 0.1, 0.05), (0.98, 0.01, 0.01)])
+def test_rates_meet_targets_of_rare_domains(spark, shares, targets):
+    rows = [(k, 1000 * int(1000 * s), [0.998 if j == k else 0.001 for j in range(3)]) for k, s in enumerate(shares)]
+    out = mixing.rates(spark.createDataFrame(rows, "row long, tokens long, p array<double>"), list(targets)).collect()
+    total = sum(r["tokens"] for r in out)
+    for k, t in enumerate(targets):
+        assert abs(sum(r["rate"] * r["tokens"] * r["p"][k] for r in out) / total / t - 1) < 0.001
+    assert min(r["rate"] for r in out) >= 0
+
+
+def test_rates_out_of_reach_are_least_squares_and_warned_of(spark):
+    rows = [(0, 900, [0.9, 0.08, 0.02]), (1, 100, [0.3, 0.6, 0.1])]
+    with pytest.warns(UserWarning, match="out of reach"):
+        out = {r["row"]: r for r in mixing.rates(spark.createDataFrame(rows, "row long, tokens long, p array<double>"), [0.2, 0.2, 0.6]).collect()}
+    p, goal = np.array([x[2] for x in rows]), np.array([0.2, 0.2, 0.6])
+    w = np.array([out[i]["rate"] * t / 1000 for i, t, _ in rows])
+    slope = p @ (w @ p - goal)
+    assert (w >= 0).all() and (slope > -1e-5).all() and abs(w @ slope) < 1e-5
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 
