@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import table, written
 from ._words import U, grams, slices, words
 
 WINDOW, ANCHOR = 13, 4
 LAST = (1 << 63) - 1
+#: Ids that are sent to every executor at most.
+MOST_SENT = 200_000
 
 
 def _windows(texts: list[bytes], size: int) -> tuple[np.ndarray, ...]:
@@ -38,76 +40,80 @@ def _windows(texts: list[bytes], size: int) -> tuple[np.ndarray, ...]:
     return h, of, w, inside, least
 
 
-def _unique(keys: np.ndarray, docs: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct (key, doc) by key, then doc, with the first of the rest; and whether a row is the key's first."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
+def _unique(keys: np.ndarray, docs: np.ndarray, rows: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (key, doc, row) in that order, with the first of the rest; and whether one is the key's first."""
+    order = np.lexsort((rows, docs, keys)) if rows.any() else np.lexsort((docs, keys))
+    keys, docs, rows = keys[order], docs[order], rows[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     keep = new.copy()
-    keep[1:] |= docs[1:] != docs[:-1]
-    return keys[keep], docs[keep], new[keep], *(x[order][keep] for x in more)
+    keep[1:] |= (docs[1:] != docs[:-1]) | (rows[1:] != rows[:-1])
+    return keys[keep], docs[keep], rows[keep], new[keep], *(x[order][keep] for x in more)
 
 
-def _rows(keys: np.ndarray, docs: np.ndarray, first: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-    """Rows for the corpus-wide comparison. The first document of a key here stands for the others, which are already
-    known to have a smaller one with the key; they go under their documents, so a common key makes few rows. A value
+def _rows(keys: np.ndarray, docs: np.ndarray, rows: np.ndarray, first: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    """Rows for the corpus-wide comparison. The least document of a key here stands for those after it, which are already
+    known to have a smaller one with the key; they go under their documents (or texts), so a common key makes few rows. A value
     that equals its key is left out."""
     run = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0)) if len(keys) else np.zeros(0, int)
-    shared = ~first
-    shared[run[~first]] = True
-    own = np.where(first, keys.view(np.int64), docs)
+    later = docs > docs[run]
+    shared = np.zeros(len(keys), bool)
+    shared[run[later]] = True
+    shared = shared[run]
+    own = np.where(later, np.where(rows == 0, docs, rows), keys.view(np.int64))
     return pa.RecordBatch.from_arrays(
-        [pa.array(own), pa.array(docs), pa.array(value, mask=first & (value == own)), pa.array(~first), pa.array(shared)], names=["key", "doc", "value", "later", "shared"]
-    )
+        [pa.array(own), pa.array(docs), pa.array(value, mask=~later & (value == own)), pa.array(rows), pa.array(later), pa.array(shared)],
+        names=["key", "doc", "value", "row", "later", "shared"],
+    )
 
 
-SCHEMA = "key long, doc long, value long, later boolean, shared boolean"
+SCHEMA = "key long, doc long, value long, row long, later boolean, shared boolean"
 
 
 def _sieve(rows: DataFrame) -> DataFrame:
     """rows whose key is in two documents, with whether a smaller document has it."""
     w = Window.partitionBy("key")
     least, most = F.min("doc").over(w), F.max("doc").over(w)
-    return rows.select("doc", F.coalesce("value", "key").alias("value"), (F.col("later") | (F.col("doc") > least)).alias("later"), (F.col("shared") | (most > least)).alias("shared"))
+    return rows.select("doc", "row", F.coalesce("value", "key").alias("value"), (F.col("later") | (F.col("doc") > least)).alias("later"), (F.col("shared") | (most > least)).alias("shared"))
 
 
 def anchors(docs: DataFrame, size: int) -> DataFrame:
-    """doc and anchors: hashes of those of its anchors that two documents have."""
+    """doc, row and anchors: hashes of those of its anchors that two documents have."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, texts in slices(b.column("doc").to_pylist(), b.column("text").to_pylist()):
+            for ids, texts in slices(list(zip(b.column("doc").to_pylist(), b.column("row").to_pylist())), b.column("text").to_pylist()):
                 _, of, w, inside, least = _windows(texts, size)
-                keys, d, first = _unique(least[inside], np.array(ids, np.int64)[of[: len(w)][inside]])
-                yield _rows(keys, d, first, keys.view(np.int64))
+                at = of[: len(w)][inside]
+                keys, d, r, first = _unique(least[inside], *(np.array(x, np.int64)[at] for x in zip(*ids)))
+                yield _rows(keys, d, r, first, keys.view(np.int64))
 
-    return _sieve(docs.mapInArrow(each, SCHEMA)).where("shared").groupBy("doc").agg(F.collect_set("value").alias("anchors"))
+    return _sieve(docs.mapInArrow(each, SCHEMA)).where("shared").groupBy("doc", "row").agg(F.collect_set("value").alias("anchors"))
 
 
 def repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc and places: starts (words from 0) of windows that also start in a document with a smaller doc.
+    """doc, row and places: starts (words from 0) of windows that also start in a document with a smaller doc.
 
-    docs: doc (long, not null), text; other columns are ignored. Of a window that a document holds more than once one place is given. Documents
-    without such windows have no row.
+    docs: doc and row (long, not null), text; other columns are ignored. Texts of one doc have different rows unless they are
+    equal. Of a window that a text holds more than once one place is given. Texts without such windows have no row.
     """
-    with_anchors = docs.join(anchors(docs.select("doc", "text"), size), "doc", "left")
+    with_anchors = docs.join(anchors(docs.select("doc", "row", "text"), size), ["doc", "row"], "left")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held = dict(zip(range(len(b)), b.column("anchors").to_pylist()))
             for at, texts in slices([i for i in range(len(b)) if held[i]], [t for t, a in zip(b.column("text").to_pylist(), held.values()) if a]):
                 _, of, w, inside, least = _windows(texts, size)
-                ids = np.array([b.column("doc")[i].as_py() for i in at], np.int64)
+                ids, rows = (np.array([b.column(c)[i].as_py() for i in at], np.int64) for c in ("doc", "row"))
                 # an anchor counts in the documents that are listed for it; as it is shared, that is all that hold it
                 listed = np.array(list({x for i in at for x in held[i]}), np.int64).view(U)
                 ok = inside & np.isin(least, listed)
                 begins = np.searchsorted(of, np.arange(len(texts)))
                 place = np.arange(len(w)) - begins[of[: len(w)]] if len(w) else np.zeros(0, int)
-                keys, d, first, value = _unique(w[ok], ids[of[: len(w)][ok]], place[ok].astype(np.int64))
-                yield _rows(keys, d, first, value)
+                keys, d, r, first, value = _unique(w[ok], ids[of[: len(w)][ok]], rows[of[: len(w)][ok]], place[ok].astype(np.int64))
+                yield _rows(keys, d, r, first, value)
 
-    return _sieve(with_anchors.mapInArrow(each, SCHEMA)).where("later").groupBy("doc").agg(F.collect_list("value").alias("places"))
+    return _sieve(with_anchors.mapInArrow(each, SCHEMA)).where("later").groupBy("doc", "row").agg(F.collect_list("value").alias("places"))
 
 
 def _letters(h: np.ndarray) -> str:
@@ -153,6 +159,21 @@ def _covered(texts: list[bytes], docs: list[int], places: list[list[int] | None]
     return np.cumsum(starts[:-1]) > 0, of
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, doc, text) with row: a hash of the text where texts of one doc may differ, else 0, which takes next to no
+    room in what is shuffled. It follows from the row's content alone, so it is the same whenever docs are read, and equal
+    rows, whose results are equal, share it."""
+    h = F.xxhash64("text")
+    several = docs.where(F.col("doc") < LAST).groupBy("doc").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo < hi").select("doc", F.lit(True).alias("several"))
+    several = written(several, "several")
+    n = several.limit(MOST_SENT + 1).count()
+    apart = F.col("doc") == LAST
+    if n:
+        docs = docs.join(F.broadcast(several) if n <= MOST_SENT else several, "doc", "left")
+        apart = apart | F.col("several").isNotNull()
+    return docs.select("doc_id", "doc", F.when(apart, h).otherwise(F.lit(0)).alias("row"), "text")
+
+
 def cleaned(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept, the words that stay, joined by one space.
 
@@ -161,7 +182,8 @@ def cleaned(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     and have no order among themselves; equal doc_ids are not smaller than each other.
     """
     own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    both = own.join(repeats(own, size), "doc", "left")  # the same columns, so that one exchange of texts serves both joins
+    own = _told_apart(own)
+    both = own.join(repeats(own, size), ["doc", "row"], "left")  # the same columns, so that one exchange of texts serves both joins
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -48,6 +48,17 @@ def test_substrings(spark, odd):
     assert substrings.cleaned(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sent", [0, 10])
+def test_substrings_of_rows_that_share_an_id(spark, monkeypatch, sent):
+    monkeypatch.setattr(substrings, "MOST_SENT", sent, raising=False)
+    other, third = [f"u{i}" for i in range(40)], [f"t{i}" for i in range(30)]
+    rows = [(1, BASE), (None, BASE), (None, other), (None, [*third, *BASE, *third[:3], *BASE]), (None, []), (None, other), (5, []), (5, [*third, *BASE[:14]]), (5, third),
+            (5, ["x", *BASE, *BASE]), (5, third), (7, [*other[:20], *third]), (None, None)]
+    rows = [(i, None if w is None else " ".join(w)) for i, w in rows]
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substrings.cleaned(docs(spark, [(i, t, "a") for i, t in rows]).coalesce(1)).collect()), key=str)
+    assert got == plain_substrings(rows)
+
+
 def plain_groups(rows, k, percent):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
