@@ -214,10 +214,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay when one document of each group does; of rows with one doc_id and text one stays."""
-    (gone,) = fresh(docs, "_gone")
-    others = near_duplicates(docs, k, percent).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(others, F.col("doc_id") == F.col(gone), "left_anti")
+    """docs with one row of each group of near-duplicate rows: that of least doc_id (a row without one comes last), then row.
+
+    Every row is a text of its own here, so rows without doc_id are compared as all others are, and rows with one
+    doc_id but texts that are not alike all stay. Of rows without words one stays for each doc_id (null too) and text.
+    """
+    row, doc, text, of = fresh(docs, "_row", "_doc", "_text", "_of")
+    own = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-docs")
+    found = near_duplicates(own.select(F.col(row).alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias(row), "n_shingles", "component_id")
+    ids = own.select(row, F.col("doc_id").alias(doc), F.xxhash64("text").alias(text))
+    words = F.col("n_shingles") > 0
+    groups = found.join(ids, row).groupBy(
+        F.when(words, F.col("component_id")).alias("a"), F.when(~words, F.col(doc)).alias("b"), F.when(~words, F.col(text)).alias("c")
+    )
+    stay = groups.agg(F.min(F.struct(F.col(doc).isNull().alias("n"), F.col(doc).alias("d"), F.col(row).alias("r"))).alias("m")).select(F.col("m.r").alias(of))
+    return own.join(stay, F.col(row) == F.col(of), "left_semi").select(*docs.columns)
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,6 +92,20 @@ def test_near_duplicates(spark, odd, k, percent):
     assert got == plain_groups(rows, k, percent)
 
 
+def test_one_row_of_each_group_stays(spark):
+    near, alone = " ".join([*BASE, "more"]), " ".join(f"u{i}" for i in range(20))
+    rows = [(None, " ".join(BASE), "n"), (3, near, "a"), (2, " ".join(BASE), "b"), (2, " ".join(BASE), "c"), (None, near, "n"), (2, alone, "d"), (2, alone, "e"),
+            (None, "only here", "f"), (None, "only here", "g"), (None, "Only HERE", "h"), (4, "", "i"), (4, "", "j"), (5, "", "k"), (None, None, "l"), (None, None, "m")]
+    got = [(r["doc_id"], r["text"], r["source"]) for r in neardup.one_of_each(docs(spark, rows).coalesce(1)).collect()]
+    want = [(2, " ".join(BASE), "b"), (2, alone, "d"), (None, "only here", "f"), (4, "", "i"), (5, "", "k"), (None, None, "l")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("rows", [[(7, " ".join(BASE), "s")] * 6, [(None, " ".join(BASE), "s")] * 6])
+def test_one_of_repeated_rows_stays(spark, rows):
+    assert neardup.one_of_each(docs(spark, rows)).count() == 1
+
+
 def test_chat(spark):
     log = [("c", 1, "u1", "message", "user", "hi <|im_end|>"), ("c", 2, "a1", "message", "assistant", ""), ("c", 3, "a1", "delta", None, "bad"),
            ("c", 4, "a1", "regenerate", None, None), ("c", 5, "a1", "delta", None, "go"), ("c", 6, "a1", "delta", None, "od <\\|x|>"), ("c", 7, "u1", "edit", None, "hello"),
