@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Every text is scanned once for candidates. The digest of each candidate's value is then counted over the whole
-corpus by distinct repositories and owners: a value that many owners hold is an example that was copied around;
-one that few hold looks like a live credential.
+corpus by distinct repositories and owners: a value that many owners hold, or many repositories of few owners, is an
+example that was copied around; one that few hold looks like a live credential.
 """
 
 from __future__ import annotations
@@ -40,6 +40,10 @@ WORDS = ("passw", "secret", "token", "api")
 #: Bits a character that a value of the kind entropy needs, and digits.
 LEAST_BITS, LEAST_DIGITS = 3.6, 4
 
+#: Repositories that make a value live whatever their owners; and of each owner, repositories that a live value is in at
+#: most, or this share of those that an owner has on average, if that is more.
+ALONE, FEW_REPOS, SHARE = 1, 10, 1e-3
+
 SPAN = "struct<kind:string,start:long,end:long,digest:string,base:boolean>"
 
 
@@ -71,15 +75,20 @@ def spans_of(text: str) -> list[tuple[str, int, int, str, bool]]:
     return [(k, s, e, hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest(), base) for k, s, e, v, base in found]
 
 
+def _repo(repo: Column, row: Column) -> Column:
+    """Name of a row's repository."""
+    return F.coalesce(repo.cast("string"), F.concat(F.lit("\0"), row.cast("string")))
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", repo: str = "doc_id", owner: str = "source") -> DataFrame:
     """Candidates of every row: row long (one number for each input row), doc_id, repo, owner, spans.
 
-    A null text counts as empty. repo and owner are read as text; null ones are one repository and one owner.
-    Repeated rows stay apart.
+    A null text counts as empty. repo and owner are read as text; null owners are one owner, and a row without
+    repository is a repository of its own. Repeated rows stay apart.
     """
     own = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"),
-        F.coalesce(F.col(repo).cast("string"), F.lit("")).alias("repo"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
+        _repo(F.col(repo), F.monotonically_increasing_id()).alias("repo"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     kind = own.schema["doc_id"].dataType.simpleString()
@@ -104,17 +113,28 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.join(repos, "digest")
 
 
+def looks_live(rows: DataFrame, max_owners: int) -> Column:
+    """Verdict on n_owners and n_repos of a value; rows: repo and owner of every row of the corpus.
+
+    Live is what ALONE repositories hold at most, or what at most max_owners owners hold in few repositories of each
+    on average: FEW_REPOS, or SHARE of the repositories that the corpus has for each owner.
+    """
+    repos, owners = rows.agg(F.count_distinct("repo"), F.count_distinct("owner")).first()
+    few = max(FEW_REPOS, SHARE * repos / max(owners, 1))
+    return (F.col("n_repos") <= ALONE) | ((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= F.col("n_owners") * F.lit(float(few))))
+
+
 def secret_spans(docs: DataFrame, max_owners: int = 2, doc_id: str = "doc_id", repo: str = "doc_id", owner: str = "source") -> DataFrame:
     """Spans of every row of docs with their verdicts.
 
     Returns row, doc_id, spans: array of kind, start, end, base, n_owners, n_repos, live, by start, then by kind
-    as listed. A value is live if at most max_owners distinct owners hold it; else it is an example. Base spans
+    as listed. A value is live if few owners and few repositories hold it (looks_live); else it is an example. Base spans
     stay whatever their verdict; others only if live. Rows without spans have an empty array, and no rows in
     give no rows out.
     """
     scanned = written(scan(docs, doc_id, repo, owner), "secrets")
     c = scanned.where(F.size("spans") > 0).select("row", "repo", "owner", F.explode("spans").alias("s")).select("row", "repo", "owner", "s.*")
-    judged = c.join(ownership(c), "digest").withColumn("live", F.col("n_owners") <= max_owners).where("base OR live")
+    judged = c.join(ownership(c), "digest").withColumn("live", looks_live(scanned, max_owners)).where("base OR live")
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     kept = judged.groupBy(F.col("row").alias("of")).agg(
         F.array_sort(F.collect_list(F.struct("start", order.alias("rank"), "end", "kind", "base", "n_owners", "n_repos", "live"))).alias("spans")
@@ -126,7 +146,7 @@ def secret_spans(docs: DataFrame, max_owners: int = 2, doc_id: str = "doc_id", r
 def redact(docs: DataFrame, max_owners: int = 2, mark: str = "[SECRET]") -> DataFrame:
     """docs with each live span of text replaced by mark, and n_chars to match; other columns as they were.
 
-    Examples, which many owners hold, stay. Null texts stay null. Only rows with a candidate are joined to verdicts.
+    Examples, which many owners or repositories hold (looks_live), stay. Null texts stay null. Only rows with a candidate are joined to verdicts.
     """
     row, spans, of, hits = fresh(docs, "_row", "_spans", "_of", "_live")
     rows = docs.withColumn(row, F.monotonically_increasing_id())
@@ -142,8 +162,9 @@ def redact(docs: DataFrame, max_owners: int = 2, mark: str = "[SECRET]") -> Data
     kept = written(rows.mapInArrow(each, f"{fields}, `{spans}` array<{SPAN}>"), "secrets-docs")
     some = kept.where(F.size(spans) > 0)
     owner = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("owner")
-    c = some.select(F.col(row).alias("_row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("repo"), owner, F.explode(spans).alias("s")).select("_row", "repo", "owner", "s.*")
-    live = c.join(ownership(c), "digest").where(F.col("n_owners") <= max_owners)
+    repo = _repo(F.col("doc_id"), F.col(row)).alias("repo")
+    c = some.select(F.col(row).alias("_row"), repo, owner, F.explode(spans).alias("s")).select("_row", "repo", "owner", "s.*")
+    live = c.join(ownership(c), "digest").where(looks_live(kept.select(repo, owner), max_owners))
     live = live.groupBy(F.col("_row").alias(of)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(hits))
 
     def step(state: Column, x: Column) -> Column:

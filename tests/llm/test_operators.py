@@ -143,6 +143,28 @@ def test_redaction_follows_ownership(spark):
     assert got[10]["text"] == f"see {shared} end" and got[30]["text"] is None and len(got) == 8
 
 
+@pytest.mark.parametrize(("few", "share"), [(10, 1e-3), (1, 0.2)])
+def test_verdicts_equal_a_plain_count_of_owners_and_repositories(spark, monkeypatch, few, share):
+    monkeypatch.setattr(secrets, "FEW_REPOS", few, raising=False)
+    monkeypatch.setattr(secrets, "SHARE", share, raising=False)
+    key = {k: "AKIA" + k * 16 for k in "ABCDEFGH"}
+    holds = [*((i, "A", "hot") for i in range(40)), *((50 + i, "B", "hot") for i in range(8)), *((70, "C", s) for s in ("hot", "s1", "s2")), *((80 + i, "D", f"s{i}") for i in range(3)),
+             *((None, "E", "s1") for _ in range(30)), (90, "F", None), (91, "F", None), (92, "G", "s1"), (92, "G", "s1"), *((100 + i, "H", f"s{i % 2}") for i in range(21))]
+    d = docs(spark, [(i, f"see {key[k]} end", s) for i, k, s in holds])
+    repos, owners = {}, {}
+    for n, (i, k, s) in enumerate(holds):
+        repos.setdefault(k, set()).add(f"row {n}" if i is None else i)
+        owners.setdefault(k, set()).add(s)
+    most = max(few, share * len(set().union(*repos.values())) / len(set().union(*owners.values())))
+    live = {k: len(repos[k]) <= 1 or (len(owners[k]) <= 2 and len(repos[k]) <= most * len(owners[k])) for k in key}
+    if few == 10:
+        assert live == dict(zip("ABCDEFGH", (False, True, True, False, False, True, True, False)))
+    want = sorted((i or -1, len(owners[k]), len(repos[k]), live[k]) for i, k, _ in holds)
+    assert sorted((r["doc_id"] or -1, x["n_owners"], x["n_repos"], x["live"]) for r in secrets.secret_spans(d).collect() for x in r["spans"]) == want
+    texts = sorted((i or -1, "see [SECRET] end" if live[k] else f"see {key[k]} end") for i, k, _ in holds)
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in secrets.redact(d).collect()) == texts
+
+
 def test_licenses(spark):
     text = "Released under the MIT License. gnu GENERAL public license, CC BY! cc-by é mit  license"
     words = licenses.words_of
