@@ -58,3 +58,11 @@ def test_allocation_is_capped_and_whole(spark):
     s = spark.createDataFrame([("a", 1), ("b", 10), ("c", 89)], "k string, n long")
     got = {r["k"]: r["alloc"] for r in relational.allocate(s, 50, "k").collect()}
     assert sum(got.values()) == 50 and got["a"] <= 1
+
+
+def test_completeness_has_all_pairs_of_many_event_types(spark, tmp_path):
+    rows = [(i, f"type {i % 1200}", i % 3 or None) for i in range(1500)]
+    spark.createDataFrame(rows, "event_id long, event_type string, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalogue.QUERIES["completeness_cross_join"](spark, str(tmp_path)).collect()
+    want = duckdb.connect().execute(catalogue.ORACLES["completeness_cross_join"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'").replace("JOIN events", f"JOIN '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    assert len(got) == 3600 and sorted(map(str, want)) == sorted(str((r["event_type"], r["user_id"], r["n"])) for r in got)
