@@ -2,8 +2,8 @@
 
 Which windows of WINDOW words recur is found without moving every window: each window has an anchor, the least
 of its runs of ANCHOR words, and equal windows have equal anchors. Only windows whose anchor is in two documents
-are compared over the corpus. What recurs is joined to phrases; every shard of documents compiles its phrases
-into Aho-Corasick automata over words and streams its documents through them.
+are compared over the corpus. What recurs is joined to phrases; every shard of documents compiles its own phrases
+into an Aho-Corasick automaton over words and runs it over its documents; the hashes have decided the rows by then.
 """
 
 from __future__ import annotations
