@@ -4,6 +4,10 @@ Words of the corpus, split where no piece can lie across, are exploded into subs
 joined to the piece table; the edges of a word are grouped, and a Spark aggregate folds over them. A unigram model is
 folded by Viterbi. A BPE model is not a shortest path, so its fold takes the best merge that is open, again
 and again, over the same edges; one turn over the edges in order of score is enough unless a piece is `late` (below).
+
+Every distinct word goes through the lattice once. Words that a sample of texts holds twice go first and are sent to every task, so
+that most of a text is encoded where it stands; the others leave a hole, are grouped by word over the corpus, and come back
+to the run of texts (a chunk) that lacks them.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +30,13 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of words that the fold takes; longer words are merged by a queue, to the same result.
 LONGEST = 60
-#: Words, of LONGEST characters at most, that are sent to every executor at most; other words are joined.
-MOST_SENT = 200_000
-#: Distinct words that a task keeps before it hands their counts or ids on.
-MOST_KEPT = 200_000
+#: Texts whose words are looked at first, about, and words of LONGEST characters at most that are then sent to every task. Both
+#: decide where a word is encoded, not what comes out.
+SAMPLE, MOST_SENT = 20_000, 200_000
+#: Distinct parts of texts that a task keeps.
+MOST_KEPT = 150_000
+#: Bytes of text that are encoded together; a longer text is taken alone.
+CHUNK = 4 << 20
 #: A run of spaces and what follows it; no piece lies across its ends.
 COARSE = re.compile(" *[^ ]+| +")
 HOLE = 0xFFFF
@@ -51,17 +59,20 @@ class Pieces:
             texts[i] = m.id_to_piece(i).replace(SPACE, " ").encode()
         for b, i in enumerate(self.bytes):
             texts[i] = bytes([b])
-        self.flat, self.sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
-        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.flat, self.sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int32)
+        self.begins = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
         self.most = max(map(len, self.ids))
         inside = {(a, b) for p in self.ids for a, b in zip(p, p[1:])}
         # Characters that may follow a letter in a piece count as letters; so a cut after letters splits no piece.
         letters = {c for pair in inside for c in pair if c.isalpha()}
         while more := {b for a, b in inside if a in letters and b != SPACE} - letters:
             letters |= more
+        letters |= set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
         own = "".join(re.escape(c) for c in sorted(letters))
         assert not any(b == SPACE and a != SPACE for a, b in inside)
-        self.pattern = f"{SPACE}*[^{SPACE}{own}]*[{own}]*"
+        # Where no piece has a letter after anything else but a space, words end before such letters too.
+        apart = not any(b in letters and a not in letters and a != SPACE for a, b in inside)
+        self.pattern = f"{SPACE}*[{own}]+|{SPACE}*[^{SPACE}{own}]+|{SPACE}+" if apart else f"{SPACE}*[^{SPACE}{own}]*[{own}]*"
 
     def late(self) -> list[str]:
         """Pieces that one turn over the edges, best score first, may miss.
@@ -109,8 +120,10 @@ class Pieces:
     def spelt(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the text of ids, without the space that encoding puts first."""
         size = self.sizes[ids]
-        ends = np.cumsum(size)
-        at = np.repeat(self.begins[ids] - (ends - size), size) + np.arange(size.sum())
+        ends = np.cumsum(size, dtype=np.int64)
+        kind = np.int32 if ends[-1:].sum() < 1 << 31 else np.int64
+        at = np.repeat(self.begins[ids] - (ends - size).astype(kind), size)
+        at += np.arange(len(at), dtype=kind)
         text = self.flat[at].tobytes()
         return text[1:] if text[:1] == b" " else text
 
@@ -133,7 +146,9 @@ def _coarse(text: str) -> list[str]:
 
 
 def _fine(pattern: re.Pattern, part: str) -> list[str]:
-    """Words of a part that _coarse gives."""
+    """Words of a part that _coarse gives. Letters alone are one word; ASCII has the most of them, so they are told without the pattern."""
+    if part.isascii() and part.isalpha():
+        return [SPACE + part]
     return [w for w in pattern.findall(SPACE + part.replace(" ", SPACE)) if w]
 
 
@@ -223,13 +238,13 @@ def viterbi(edges: Column, n: Column) -> Column:
 
 
 def encoded_words(words: DataFrame, model: Pieces) -> DataFrame:
-    """word, n and ids for distinct words (word, n) of LONGEST characters at most; characters without a piece become bytes."""
+    """word and x, its ids in two bytes each, for distinct words (word) of LONGEST characters at most; characters without a piece become bytes."""
     late = set(model.late())
     pieces = words.sparkSession.createDataFrame([(p, i, s, p in late) for p, (i, s) in model.ids.items()], "piece string, id int, score double, late boolean")
     n = F.length("word")
     # Edges of one character take no part in merges; their ids are looked up by code point for the few that are left.
-    found = lattice(words, pieces, model.most, least=2).withColumn("many", F.filter("edges", lambda x: x["e"] > x["s"] + 1))
-    hold = found.select("word", "n", "many", F.when(F.exists("many", lambda x: x["late"]), _best_merges(F.col("many"), n)).otherwise(_one_turn(F.col("many"), n)).alias("bits"))
+    found = lattice(words.select("word"), pieces, model.most, least=2).withColumn("many", F.filter("edges", lambda x: x["e"] > x["s"] + 1))
+    hold = found.select("word", "many", F.when(F.exists("many", lambda x: x["late"]), _best_merges(F.col("many"), n)).otherwise(_one_turn(F.col("many"), n)).alias("bits"))
     bits = F.col("bits")
     left = lambda i: _bit(i).bitwiseAND(bits) != 0
     merged = F.transform(
@@ -245,121 +260,188 @@ def encoded_words(words: DataFrame, model: Pieces) -> DataFrame:
     byte = F.array(*map(F.lit, model.bytes))
     spelled = lambda t: F.transform(F.filter(F.split(F.hex(F.encode(t, "UTF-8")), "(?<=\\G..)"), lambda h: h != ""), lambda h: F.get(byte, F.conv(h, 16, 10).cast("int")))
     ids = F.flatten(F.transform(F.sort_array(F.concat(merged, alone)), lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(spelled(char(x["s"])))))
-    return hold.select("word", "n", ids.alias("ids"))
+    return hold.select("word", F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), 4, "0")), "")).alias("x"))
 
 
-def _digest(text: str) -> bytes:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+def _digest(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
-def _halves(names: list[bytes]) -> list[pa.Array]:
-    """The two longs of names of 16 bytes."""
-    both = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
-    return [pa.array(both[:, 0]), pa.array(both[:, 1])]
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Rows of a batch in runs of about CHUNK bytes of text, and their texts."""
+    ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(batch):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHUNK, "right")))
+        part = batch.slice(start, stop - start)
+        yield part, part.column("text").to_pylist()
+        start = stop
 
 
-def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, ids, n_ids and round_trip (whether the ids decode to the text) for every row of docs.
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers, compressed; ids take about a fifth less room at this level than at the fastest."""
+    import zstandard
 
-    Null texts count as empty and have no ids. Repeated rows stay apart. Words are encoded once each; the commonest,
-    MOST_SENT at most, are sent to every executor, the others are joined to their places. Words of over LONGEST
-    characters are merged where they stand.
-    """
-    model = Pieces(path)
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    kind = own.schema["doc_id"].dataType.simpleString()
-    known = written(encoded_words(_counted(own, model.pattern), model), "encoded")
-    # The least count such that the words that have it, or more, keep to the bound.
+    return zstandard.ZstdCompressor(level=5).compress(x.tobytes())
+
+
+def _unpacked(b: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+
+
+def _at_hand(own: DataFrame, model: Pieces) -> dict[str, bytes]:
+    """Ids of words that a sample of about SAMPLE texts holds twice or more, the commonest MOST_SENT at most."""
+    n = own.count()
+    some = own.sample(min(1.0, SAMPLE / n), seed=1) if n > SAMPLE else own
+    counted = written(_counted(some, model.pattern).where("n > 1"), "words")
     total, least = 0, 1 << 62
-    for r in known.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toLocalIterator():
+    for r in counted.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toLocalIterator():
         total += r["words"]
         if total > MOST_SENT:
             break
         least = r["n"]
-    sent = docs.sparkSession.sparkContext.broadcast({r["word"]: np.array(r["ids"], np.uint16).tobytes() for r in known.where(F.col("n") >= least).select("word", "ids").toLocalIterator()})
-    hole = np.array([HOLE], np.uint16).tobytes()
+    words = counted.where(F.col("n") >= least).select("word").repartition("word")
+    return {r["word"]: np.frombuffer(r["x"], ">u2").astype(np.uint16).tobytes() for r in encoded_words(words, model).toLocalIterator()}
 
-    class Kept(dict):
-        """Packed ids by part of a text; `rare` has the words of those with holes."""
 
-        def __init__(self) -> None:
-            super().__init__()
-            self.pattern, self.common, self.rare = re.compile(model.pattern), sent.value, {}
+class _Kept(dict):
+    """Ids by part of a text, two bytes each, with a hole for each word that is not at hand; `rare` has those words by part."""
 
-        def __missing__(self, part: str) -> bytes:
-            ids, joined = [], []
+    def __init__(self, model: Pieces, common: dict[str, bytes]) -> None:
+        super().__init__()
+        self.model, self.pattern, self.common, self.rare = model, re.compile(model.pattern), common, {}
+
+    def __missing__(self, part: str) -> bytes:
+        word = SPACE + part
+        if (found := self.common.get(word)) is None:
+            ids, lacking = [], []
             for w in _fine(self.pattern, part):
                 if len(w) > LONGEST:
-                    ids.append(np.array(model.merged(w), np.uint16).tobytes())
-                elif w in self.common:
-                    ids.append(self.common[w])
+                    ids.append(np.array(self.model.merged(w), np.uint16).tobytes())
+                elif (x := self.common.get(w)) is None:
+                    ids.append(b"\xff\xff")
+                    lacking.append(w)
                 else:
-                    ids.append(hole)
-                    joined.append(w)
-            self[part] = found = b"".join(ids)
-            if joined:
-                self.rare[part] = joined
-            return found
-
-        def packed(self, text: str) -> tuple[bytes, list[str]]:
-            """Ids of a text with a hole for each rare word, and its rare words."""
-            if len(self) > MOST_KEPT:
-                self.clear()
-                self.rare.clear()
-            parts = _coarse(text)
-            return b"".join(map(self.__getitem__, parts)), [w for x in filter(self.rare.__contains__, parts) for w in self.rare[x]]
-
-    # Both passes name a text by 128 bits of its digest, so they agree however the rows of docs come.
-    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, seen = Kept(), set()
+                    ids.append(x)
+            found = b"".join(ids)
+            if lacking:
+                self.rare[part] = lacking
+        self[part] = found
+        return found
+
+    def forget(self) -> None:
+        """After a chunk: parts with holes go, and all once there are MOST_KEPT."""
+        for part in self.rare:
+            del self[part]
+        self.rare.clear()
+        if len(self) > MOST_KEPT:
+            self.clear()
+
+
+def _name(rare: list[str], texts: list[str]) -> int:
+    """Name of a chunk by the words that it lacks; one that lacks none is named by its texts, so that no name is shared by many."""
+    return _digest("\0".join(rare or ["", *texts]).encode("utf-8", "surrogatepass"))
+
+
+def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
+    """doc_id, ids, n_ids and round_trip (whether the ids decode to the text) for every row of docs.
+
+    Null texts count as empty and have no ids. Repeated rows stay apart. Words of over LONGEST characters are merged
+    where they stand. docs is read twice and has to give the same rows in the same order, as a table does; a chunk that
+    differs raises an error.
+    """
+    model = Pieces(path)
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    kind = own.schema["doc_id"].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(_at_hand(own, model))
+
+    def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = _Kept(model, sent.value)
         for b in batches:
             names, rares = [], []
-            for text in b.column("text").to_pylist():
-                name = _digest(text)[:16]
-                if name not in seen and (rare := kept.packed(text)[1]):
-                    if len(seen) > MOST_KEPT:
-                        seen.clear()
-                    seen.add(name)  # copies ask once in a task
-                    names.append(name)
-                    rares.append(rare)
-            yield pa.RecordBatch.from_arrays([*_halves(names), pa.array(rares, pa.list_(pa.string()))], names=["h1", "h2", "rare"])
+            for _, texts in _chunks(b):
+                parts: set[str] = set()
+                for t in texts:
+                    parts.update(_coarse(t))
+                for p in parts.difference(kept):
+                    kept[p]
+                rares.append(sorted({w for rare in kept.rare.values() for w in rare}))
+                kept.forget()
+                names.append(_name(rares[-1], texts))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(rares, pa.list_(pa.string()))], names=["name", "rare"])
 
     def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = Kept()
+        kept = _Kept(model, sent.value)
         for b in batches:
-            names, ids, digests = [], [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                x, rare = kept.packed(text)
-                digest = _digest(text)
-                ids.append(x)
-                digests.append(digest)
-                # A text that lacks nothing gets a name by its row, so copies are not dealt to one task.
-                names.append((digest if rare else _digest(f"{digest} {doc}"))[:16])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_halves(names), pa.array(ids, pa.binary()), pa.array(digests, pa.binary())], names=["doc_id", "h1", "h2", "ids", "digest"])
-
-    others = known.where(F.col("n") < least).select("word", F.col("ids").alias("x"))
-    rare = own.select("text").mapInArrow(missing, "h1 long, h2 long, rare array<string>").select("h1", "h2", F.posexplode("rare").alias("at", "word")).join(others, "word")
-    filled = rare.groupBy("h1", "h2").agg(F.transform(F.sort_array(F.collect_set(F.struct("at", "x"))), lambda y: y["x"]).alias("fill"))
-    # One row of rare words' ids for each text: by hash, the larger side with all ids is not sorted.
-    both = own.mapInArrow(begun, f"doc_id {kind}, h1 long, h2 long, ids binary, digest binary").join(filled.hint("shuffle_hash"), ["h1", "h2"], "left")
+            for part, texts in _chunks(b):
+                parts = [_coarse(t) for t in texts]
+                ids = [b"".join(map(kept.__getitem__, x)) for x in parts]
+                rare = [w for x in parts for p in filter(kept.rare.__contains__, x) for w in kept.rare[p]]
+                kept.forget()
+                place = {w: i for i, w in enumerate(sorted(set(rare)))}
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_name(list(place), texts)], pa.int64()), pa.array([part.column("doc_id").to_pylist()], pa.list_(part.column("doc_id").type)),
+                     pa.array([[len(x) // 2 for x in ids]], pa.list_(pa.int32())), pa.array([_packed(np.frombuffer(b"".join(ids), np.uint16))], pa.binary()),
+                     pa.array([_packed(np.array([place[w] for w in rare], np.uint32))], pa.binary()),
+                     pa.array([[_digest(t.encode("utf-8", "surrogatepass")) for t in texts]], pa.list_(pa.int64()))],
+                    names=["name", "docs", "sizes", "ids", "places", "digests"],
+                )
+
+    # One exchange of the rare words' places serves both the grouping by word and the join: the tests for nulls, which always
+    # hold, keep columns and filters of both readings the same.
+    places = own.mapInArrow(lacking, "name long, rare array<string>").where("name IS NOT NULL").select("name", F.posexplode("rare").alias("at", "word"))
+    places = places.where("word IS NOT NULL").repartition("word")
+    distinct = places.groupBy("word").agg(F.min("at").alias("at"), F.min("name").alias("name")).where("at IS NOT NULL AND name IS NOT NULL")
+    others = encoded_words(distinct, model).select(F.col("word").alias("w"), "x")
+    filled = places.join(others.hint("shuffle_hash"), F.col("word") == F.col("w")).groupBy("name").agg(F.collect_list(F.concat(F.unhex(F.lpad(F.hex("at"), 8, "0")), "x")).alias("fill"))
+    whole = own.mapInArrow(begun, f"name long, docs array<{kind}>, sizes array<int>, ids binary, places binary, digests array<long>")
+    # By hash of the words that come back: the larger side with all ids is not sorted.
+    both = whole.join(filled.hint("shuffle_hash"), "name", "left").select("docs", "sizes", "ids", "places", "digests", "fill")
 
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, same = [], []
-            for packed, fill, digest in zip(*(b.column(c).to_pylist() for c in ("ids", "fill", "digest"))):
-                ids = np.frombuffer(packed, np.uint16)
-                parts, last = [], 0
-                for h, x in zip(np.flatnonzero(ids == HOLE).tolist(), fill or (), strict=True):
-                    parts += [ids[last:h], np.array(x, np.uint16)]
-                    last = h + 1
-                ids = np.concatenate([*parts, ids[last:]]).astype(np.int32)
-                out.append(ids)
-                same.append(hashlib.sha256(model.spelt(ids)).digest() == digest)
-            n = np.array([len(x) for x in out], np.int64)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *out])))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(n), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_ids", "round_trip"])
-
-    return both.select("doc_id", "ids", "fill", "digest").mapInArrow(end, f"doc_id {kind}, ids array<int>, n_ids long, round_trip boolean")
+            for i in range(len(b)):
+                row = b.slice(i, 1)
+                sizes, digests = (row.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("sizes", "digests"))
+                ids, ends = filled_in(_unpacked(row.column("ids")[0].as_py(), np.uint16), np.cumsum(sizes), _unpacked(row.column("places")[0].as_py(), np.uint32), row.column("fill")[0].values)
+                begins = np.r_[0, ends[:-1]]
+                same = [_digest(model.spelt(ids[s:e])) == d for s, e, d in zip(begins, ends, digests)]
+                yield pa.RecordBatch.from_arrays(
+                    [row.column("docs").flatten(), pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids.astype(np.int32))), pa.array((ends - begins).astype(np.int64)), pa.array(same, pa.bool_())],
+                    names=["doc_id", "ids", "n_ids", "round_trip"],
+                )
+
+    return both.mapInArrow(end, f"doc_id {kind}, ids array<int>, n_ids long, round_trip boolean")
+
+
+def filled_in(ids: np.ndarray, ends: np.ndarray, places: np.ndarray, fill: pa.Array | None) -> tuple[np.ndarray, np.ndarray]:
+    """ids with each hole replaced by the ids at its place in fill, and the texts' ends in the result.
+
+    fill: binaries, each a place in four bytes and its ids in two bytes each, the high byte first. A place that fill lacks is an error.
+    """
+    if not len(places):
+        return ids, ends
+    fill = pa.array([], pa.binary()) if fill is None else fill
+    begins = np.frombuffer(fill.buffers()[1], np.int32)[fill.offset : fill.offset + len(fill) + 1] // 2
+    flat = np.frombuffer(fill.buffers()[2] or b"", ">u2").astype(np.uint16)
+    at = flat[begins[:-1]].astype(np.int64) << 16 | flat[begins[:-1] + 1]
+    which = np.full(max(int(places.max()), int(at.max(initial=-1))) + 1, -1)
+    which[at] = np.arange(len(at))
+    which = which[places]
+    if which.min() < 0:
+        raise ValueError("a chunk came back without the ids of all its words: docs did not give the same rows twice")
+    many = np.diff(begins)[which] - 2
+    holes = ids == HOLE
+    size = np.ones(len(ids), np.int64)
+    size[holes] = many
+    after = np.cumsum(size)
+    out = np.empty(after[-1], np.uint16)
+    out[after[~holes] - 1] = ids[~holes]
+    steps = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    out[np.repeat(after[holes] - many, many) + steps] = flat[np.repeat(begins[which] + 2, many) + steps]
+    return out, np.r_[0, after][ends]
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
