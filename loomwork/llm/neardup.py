@@ -1,9 +1,10 @@
 """MinHash near-duplicates: one-permutation hashing, optimal densification, banded buckets, star-shaped candidates.
 
-Texts with one shingle set are one class. The classes' bands make buckets; in each bucket every member is
-a candidate with the bucket's least member alone. Candidates are confirmed on the full sets. Buckets whose members
-then still lie in more than one component are looked at again, member against member by sketch, so that no
-link is lost to the choice of a centre.
+Texts with one shingle set are one class. The classes' bands make buckets, and the least member of a bucket is its
+centre; every member is a candidate with the one centre that it meets in most buckets. Candidates are confirmed on
+the full sets. Buckets whose members then still lie in more than one component are looked at again by sketch: each
+member that is outside its bucket's commonest component looks for its likest partner in the largest of its buckets, until that links
+no more; then all pairs that are still apart and alike are candidates, so that no link is lost to the choice of a centre.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +19,16 @@ from pyspark.sql import functions as F
 from ._common import fresh, table, written
 from ._words import U, grams, mix, slices, words
 
-BINS, ROWS = 128, 4
-#: Members of a bucket in one task when it is looked at again, and ids that are sent to every executor at most.
+#: Bins of a sketch, bands, and rows of a band: texts of a similarity of 0.8 share no band in 5 of a million cases, of 0.85 in 6 of a billion.
+BINS, BANDS, ROWS = 256, 40, 6
+#: Least percentage that these bands serve.
+LEAST_PERCENT = 75
+#: Members of a bucket that are looked at together, and ids that are sent to every executor at most.
 PART, MOST_SENT = 4000, 200_000
-#: Least share of equal sketch bytes, far below any similarity that is asked for.
-NEAR = 0.66
+#: Most shingles of a set whose sketch also has two bytes of each, so that its similarity to another such set is known but for chance equals.
+SMALL = 512
+#: Standard errors by which the likeness of two sketches may lie below the similarity asked for.
+SLACK = 4.5
 TARGET = ("d1", "d2", "n")
 
 
@@ -49,7 +54,7 @@ def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
 def minhashes(g: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
     """One-permutation MinHash of n sets: least hash in each bin; an empty bin takes that of the first full bin in its own random order."""
     out, full = np.zeros((n, BINS), U), np.zeros((n, BINS), bool)
-    b = (g >> U(57)).astype(int)
+    b = (g >> U(56)).astype(int)
     first = np.ones(len(g), bool)
     first[1:] = (b[1:] != b[:-1]) | (d[1:] != d[:-1])
     out[d[first], b[first]], full[d[first], b[first]] = g[first], True
@@ -65,7 +70,8 @@ def minhashes(g: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), d1 and d2 (digest of the set), bands, sketch (a byte for each bin)."""
+    """doc_id, n (set size), d1 and d2 (digest of the set), bands, sketch (a byte for each bin) and small (two bytes for each
+    shingle of sets of SMALL or fewer, else empty)."""
     own = docs.select("doc_id", "text")
     kind = own.schema["doc_id"].dataType.simpleString()
 
@@ -79,18 +85,21 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 for s, x in zip(sums, (mix(g ^ U(11)), mix(g ^ U(13)))):
                     np.add.at(s, d, x)
                 mins = minhashes(g, d, m)
-                band = np.zeros((m, BINS // ROWS), U)
+                band = np.zeros((m, BANDS), U)
                 for i in range(ROWS):
-                    band = mix(band ^ mins.reshape(m, -1, ROWS)[:, :, i])
-                band = mix(band + np.arange(BINS // ROWS, dtype=U))
+                    band = mix(band ^ mins[:, i : BANDS * ROWS : ROWS])
+                band = mix(band + np.arange(BANDS, dtype=U))
                 sketch = (mins & U(255)).astype(np.uint8)
+                ends = np.cumsum(n)
+                codes = (g & U(0xFFFF)).astype(np.uint16)
+                small = [codes[e - x : e].tobytes() if x <= SMALL else b"" for x, e in zip(n.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, batch.column("doc_id").type), pa.array(n, pa.int64()), *(pa.array(s.view(np.int64)) for s in sums),
-                     pa.array(list(band.view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in sketch], pa.binary())],
-                    names=["doc_id", "n", "d1", "d2", "bands", "sketch"],
+                     pa.array(list(band.view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(small, pa.binary())],
+                    names=["doc_id", "n", "d1", "d2", "bands", "sketch", "small"],
                 )
 
-    return own.mapInArrow(each, f"doc_id {kind}, n long, d1 long, d2 long, bands array<long>, sketch binary")
+    return own.mapInArrow(each, f"doc_id {kind}, n long, d1 long, d2 long, bands array<long>, sketch binary, small binary")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -150,30 +159,110 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
 
 
-def _again(bands: DataFrame, sketches: DataFrame, roots: DataFrame, best: bool) -> DataFrame:
-    """Candidates (a, b) of different components in one bucket whose sketches are alike: for each member that is
-    not of its bucket's commonest component the likest such partner, or with best False all of them."""
-    label = sketches.join(roots, F.col("rep") == F.col("node"), "left").select("rep", "sketch", F.coalesce("root", "rep").alias("root"))
-    mixed = bands.join(label.select("rep", "root"), "rep").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    sized = bands.join(mixed, "key").join(label, "rep")
-    by_root = sized.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
-    main = by_root.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("all"))
-    rows = sized.join(main, "key").withColumn("parts", F.ceil(F.col("all") / PART).cast("int"))
-    held = rows.select("key", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep", "root", "sketch", F.lit(False).alias("asks"))
-    asks = rows.where("root <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rep", "root", "sketch", F.lit(True).alias("asks"))
-
-    def pairs(x: pd.DataFrame) -> pd.DataFrame:
-        q, m = x[x.asks], x[~x.asks]
-        s, qs = (np.frombuffer(b"".join(y.sketch), np.uint8).reshape(-1, BINS) for y in (m, q))
-        out: list[tuple[int, int]] = []
-        reps, roots = m.rep.to_numpy(), m.root.to_numpy()
-        for i in range(len(q)):
-            near = (s == qs[i]).mean(1) * (roots != q.root.iat[i])
-            at = [int(near.argmax())] if best and len(near) and near.max() >= NEAR else [] if best else np.flatnonzero(near >= NEAR)
-            out += [(min(q.rep.iat[i], reps[j]), max(q.rep.iat[i], reps[j])) for j in at]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return held.unionByName(asks).groupBy("key", "part").applyInPandas(pairs, "a long, b long").distinct()
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
+def _may_link(alike: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m shingles whose sketches agree in the share `alike` can have the similarity."""
+    least, p = np.minimum(n, m), percent / 100
+    return (100 * least >= percent * np.maximum(n, m)) & (alike >= p - SLACK * np.sqrt(p * (1 - p) / np.minimum(least, BINS)))
+
+
+def _tested(stars: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of stars (a, b) that may be linked by size and sketch."""
+    side = lambda c: sketches.select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
+    both = stars.join(side("a"), "a").join(side("b"), "b")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            same = (_sketches(x.column("sa")) == _sketches(x.column("sb"))).mean(1)
+            ok = _may_link(same, x.column("na").to_numpy(), x.column("nb").to_numpy(), percent)
+            yield x.select(["a", "b"]).filter(pa.array(ok))
+
+    return both.where("100 * least(na, nb) >= %d * greatest(na, nb)" % percent).mapInArrow(each, "a long, b long").distinct()
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    """The shingles' codes of small sets, a row for each set, filled up with 65536."""
+    values = column.to_pylist()
+    n = np.array([len(x) // 2 for x in values])
+    out = np.full((len(n), n.max(initial=0)), 65536, np.int32)
+    out[np.arange(out.shape[1]) < n[:, None]] = np.frombuffer(b"".join(values), np.uint16)
+    return out
+
+
+def _again(bands: DataFrame, sketches: DataFrame, roots: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Candidates (a, b) of different components in one bucket that may be linked: for each member that is not of its
+    bucket's commonest component the likest such partner in its largest bucket, or with best False all of them."""
+    label = sketches.join(roots, F.col("rep") == F.col("node"), "left").select("rep", "n", "sketch", "small", F.coalesce("root", "rep").alias("root"))
+    of = label.groupBy("rep").agg(F.min("root").alias("root"))
+    mixed = bands.join(of, "rep").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    placed = bands.join(mixed, "key").join(of, "rep")
+    main = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("all"))
+    rows = placed.join(main, "key").withColumn("parts", F.ceil(F.col("all") / PART).cast("int"))
+    asks = rows.where("root <> main")
+    if best:
+        asks = asks.groupBy("rep").agg(F.max_by(F.struct("key", "parts"), F.struct("all", "key")).alias("x")).select("rep", "x.*")
+        rows = rows.join(asks.select("key").distinct(), "key", "left_semi")
+    own, every = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    held = rows.select("key", "parts", "rep", own.alias("vp"), F.lit(False).alias("asks")).withColumn("qp", every)
+    asks = asks.select("key", "parts", "rep", own.alias("qp"), F.lit(True).alias("asks")).withColumn("vp", every)
+    columns = ["key", "qp", "vp", "rep", "asks"]
+    dealt = held.select(columns).unionByName(asks.select(columns)).join(label, "rep").repartition("key", "qp", "vp").sortWithinPartitions("key", "qp", "vp")
+
+    def group(x: pa.Table) -> list[tuple[np.ndarray, ...]]:
+        asking = x.column("asks").to_numpy()
+        rep, root, n = (x.column(c).to_numpy() for c in ("rep", "root", "n"))
+        at, out = np.flatnonzero(~asking), []
+        if not len(at) or len(at) == len(rep):
+            return out
+        sketch, codes = _sketches(x.column("sketch")), _codes(x.column("small"))
+        held, said = sketch[at], codes[at]
+        for q in np.flatnonzero(asking):
+            apart = root[at] != root[q]
+            same = (held == sketch[q]).mean(1)
+            ok = np.flatnonzero(apart & _may_link(same, n[at], n[q], percent))
+            if n[q] <= SMALL and len(ok):
+                known = np.zeros(65537, bool)
+                known[codes[q, : n[q]]] = True
+                few = n[at[ok]] <= SMALL
+                near = ok[few]
+                common = np.minimum(known[said[near]].sum(1), np.minimum(n[at[near]], n[q]))
+                same[near] = common / (n[at[near]] + n[q] - common)
+                ok = np.r_[ok[~few], near[100 * common >= percent * (n[at[near]] + n[q] - common)]]
+            if best and len(ok):
+                ok = ok[same[ok].argmax()][None]
+            low, high = np.minimum(rep[at[ok]], rep[q]), np.maximum(rep[at[ok]], rep[q])
+            out.append((low, high, np.full(len(ok), rep[q] if best else 0), same[ok] if best else np.zeros(len(ok))))
+        return out
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for b in _and_end(batches):
+            if b is not None:
+                now = pa.Table.from_batches([b])
+                rest = now if rest is None else pa.concat_tables([rest, now])
+            if rest is None:
+                continue
+            keys = np.c_[tuple(rest.column(c).to_numpy().astype(np.int64) for c in ("key", "qp", "vp"))]
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            bounds = [0, *cuts.tolist(), *([len(keys)] if b is None else [])]
+            found = [y for s, e in zip(bounds, bounds[1:]) for y in group(rest.slice(s, e - s).combine_chunks())]
+            rest = rest.slice(bounds[-1])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b", "q", "same"])
+
+    found = dealt.mapInArrow(pairs, "a long, b long, q long, same double")
+    if best:
+        found = found.groupBy("q").agg(F.max_by(F.struct("a", "b"), F.struct("same", "a", "b")).alias("x")).select("x.*")
+    return found.select("a", "b").distinct()
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches that have rows, then None."""
+    yield from (b for b in batches if len(b))
+    yield None
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -183,32 +272,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     fewer. Texts without words (null ones too) have no shingles and stay alone. Rows with one doc_id are one
     document that has the links of each of them. A null doc_id stays alone, its component_id null, and is kept.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"the bands serve similarities of {LEAST_PERCENT} percent or more")
     known = written(signatures(docs.withColumn("doc_id", F.col("doc_id").cast("long")), k), "signatures")
-    classes = known.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = known.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("small").alias("small")
+    )
     classes = written(classes, "classes")
-    sketches = classes.select("rep", "sketch").dropDuplicates(["rep"])
+    sketches = classes.select("rep", "n", "sketch", "small")  # rows with one doc_id but different sets have several
     bands = classes.select("rep", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("key", "a")
     bands = written(bands.join(shared, "key"), "bands")  # of the buckets with two members or more
-    stars = bands.where("a < rep").select("a", F.col("rep").alias("b")).distinct()
-    alike = F.aggregate(F.zip_with(F.split(F.hex("sa"), "(?<=\\G..)"), F.split(F.hex("sb"), "(?<=\\G..)"), lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    stars = stars.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
-    tested = written(stars.where(alike >= int(NEAR * BINS)).select("a", "b"), "pairs")
+    stars = bands.where("a < rep").groupBy("rep", "a").agg(F.count(F.lit(1)).alias("m")).groupBy("rep").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("a"))
+    tested = written(_tested(stars.select("a", F.col("rep").alias("b")), sketches, percent), "pairs")
     links = written(confirmed(tested, docs, k, percent), "links")
     members = bands.select("key", "rep")
-    # Rows with one doc_id but different sets: their classes share the document.
-    for best in (True, False):
-        fresh = written(_again(members, sketches, components(links), best).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            if best:
-                continue
+    best = True
+    while True:
+        fresh = written(_again(members, sketches, components(links), percent, best).join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = None if fresh.isEmpty() else written(confirmed(fresh, docs, k, percent), "links")
+        if more is not None:
+            tested, links = tested.unionByName(fresh), links.unionByName(more)
+        if not best:
             break
-        links = written(links.unionByName(confirmed(fresh, docs, k, percent)), "links")
-        tested = tested.unionByName(fresh)
+        best = more is not None and not more.isEmpty()
+    # Rows with one doc_id but different sets: their classes share the document.
     twice = known.where("n > 0").join(classes.select(*TARGET, "rep"), list(TARGET)).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     roots = components(links.unionByName(twice.join(classes.select(F.col("rep").alias("b")).distinct(), "b", "left_semi").select("a", "b")))
-    of_class = classes.join(roots, F.col("rep") == F.col("node"), "left").select(*TARGET, F.coalesce("root", "rep").alias("root"))
-    out = known.select("doc_id", *TARGET).join(of_class, list(TARGET), "left")
+    # Only classes of several rows or with links tell their rows anything new.
+    of_class = classes.join(roots, F.col("rep") == F.col("node"), "left").where("rows > 1 OR root IS NOT NULL").select(*TARGET, F.coalesce("root", "rep").alias("root"))
+    known = known.select("doc_id", *TARGET)
+    out = known.where("n > 0").join(of_class, list(TARGET), "left").unionByName(known.where("n = 0").withColumn("root", F.lit(None).cast("long")))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("root", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
