@@ -32,11 +32,11 @@ SPACE = "▁"
 LONGEST = 60
 #: Texts whose words are looked at first, about, and words of LONGEST characters at most that are then sent to every task. Both
 #: decide where a word is encoded, not what comes out.
-SAMPLE, MOST_SENT = 20_000, 200_000
+SAMPLE, MOST_SENT = 20_000, 150_000
 #: Distinct parts of texts that a task keeps.
-MOST_KEPT = 150_000
+MOST_KEPT = 60_000
 #: Bytes of text that are encoded together; a longer text is taken alone.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: A run of spaces and what follows it; no piece lies across its ends.
 COARSE = re.compile(" *[^ ]+| +")
 HOLE = 0xFFFF
@@ -362,23 +362,24 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
         for b in batches:
             names, rares = [], []
             for _, texts in _chunks(b):
-                parts: set[str] = set()
                 for t in texts:
-                    parts.update(_coarse(t))
-                for p in parts.difference(kept):
-                    kept[p]
+                    for p in set(_coarse(t)).difference(kept):
+                        kept[p]
                 rares.append(sorted({w for rare in kept.rare.values() for w in rare}))
                 kept.forget()
                 names.append(_name(rares[-1], texts))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(rares, pa.list_(pa.string()))], names=["name", "rare"])
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task
 
     def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = _Kept(model, sent.value)
         for b in batches:
             for part, texts in _chunks(b):
-                parts = [_coarse(t) for t in texts]
-                ids = [b"".join(map(kept.__getitem__, x)) for x in parts]
-                rare = [w for x in parts for p in filter(kept.rare.__contains__, x) for w in kept.rare[p]]
+                ids, rare = [], []
+                for t in texts:
+                    parts = _coarse(t)
+                    ids.append(b"".join(map(kept.__getitem__, parts)))
+                    rare += [w for p in filter(kept.rare.__contains__, parts) for w in kept.rare[p]]
                 kept.forget()
                 place = {w: i for i, w in enumerate(sorted(set(rare)))}
                 yield pa.RecordBatch.from_arrays(
@@ -388,6 +389,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
                      pa.array([[_digest(t.encode("utf-8", "surrogatepass")) for t in texts]], pa.list_(pa.int64()))],
                     names=["name", "docs", "sizes", "ids", "places", "digests"],
                 )
+        pa.default_memory_pool().release_unused()
 
     # One exchange of the rare words' places serves both the grouping by word and the join: the tests for nulls, which always
     # hold, keep columns and filters of both readings the same.
