@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, written
+from ._common import short_batches, table, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -353,6 +353,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     differs raises an error.
     """
     model = Pieces(path)
+    short_batches(docs.sparkSession)
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(_at_hand(own, model))
@@ -363,8 +364,9 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
             names, rares = [], []
             for _, texts in _chunks(b):
                 for t in texts:
-                    for p in set(_coarse(t)).difference(kept):
-                        kept[p]
+                    for p in set(_coarse(t)):
+                        if p not in kept:
+                            kept[p]
                 rares.append(sorted({w for rare in kept.rare.values() for w in rare}))
                 kept.forget()
                 names.append(_name(rares[-1], texts))

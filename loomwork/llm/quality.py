@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fresh, table, written
+from ._common import fresh, short_batches, table, written
 
 #: Labelled rows that the fit takes at most, by the order of a hash of doc_id.
 MOST_LABELLED = 20_000
@@ -182,6 +182,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     The model is fitted on labelled texts, at most MOST_LABELLED of them. Labels decide nothing themselves.
     """
+    short_batches(docs.sparkSession)
     chosen = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "quality", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(MOST_LABELLED).drop("h")
     # No more than MOST_LABELLED ids, so they can be sent to every executor.
     own = docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
