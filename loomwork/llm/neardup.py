@@ -3,8 +3,7 @@
 Texts with one shingle set are one class. The classes' bands make buckets, and the least member of a bucket is its
 centre; every member is a candidate with the one centre that it meets in most buckets. Candidates are confirmed on
 the full sets. Buckets whose members then still lie in more than one component are looked at again by sketch: each
-member that is outside its bucket's commonest component looks for its likest partner in the largest of its buckets, until that links
-no more; then all pairs that are still apart and alike are candidates, so that no link is lost to the choice of a centre.
+member that is outside its bucket's commonest component looks for its likest partner in the largest of its buckets; then all pairs that are still apart and alike are candidates, so that no link is lost to the choice of a centre.
 """
 
 from __future__ import annotations
@@ -287,15 +286,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     tested = written(_tested(stars.select("a", F.col("rep").alias("b")), sketches, percent), "pairs")
     links = written(confirmed(tested, docs, k, percent), "links")
     members = bands.select("key", "rep")
-    best = True
-    while True:
+    for best in (True, False):
         fresh = written(_again(members, sketches, components(links), percent, best).join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = None if fresh.isEmpty() else written(confirmed(fresh, docs, k, percent), "links")
-        if more is not None:
-            tested, links = tested.unionByName(fresh), links.unionByName(more)
-        if not best:
-            break
-        best = more is not None and not more.isEmpty()
+        if not fresh.isEmpty():
+            tested, links = tested.unionByName(fresh), links.unionByName(written(confirmed(fresh, docs, k, percent), "links"))
     # Rows with one doc_id but different sets: their classes share the document.
     twice = known.where("n > 0").join(classes.select(*TARGET, "rep"), list(TARGET)).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     roots = components(links.unionByName(twice.join(classes.select(F.col("rep").alias("b")).distinct(), "b", "left_semi").select("a", "b")))
