@@ -3,7 +3,8 @@
 Texts with one shingle set are one class. The classes' bands make buckets, and the least member of a bucket is its
 centre; every member is a candidate with the one centre that it meets in most buckets. Candidates are confirmed on
 the full sets. Buckets whose members then still lie in more than one component are looked at again by sketch: each
-member that is outside its bucket's commonest component looks for its likest partner in the largest of its buckets; then all pairs that are still apart and alike are candidates, so that no link is lost to the choice of a centre.
+bucket gives a spanning forest of its look-alikes of different components, again and again until no edge of a forest is
+refused, so that no link is lost to the choice of a centre and no group gives all its pairs.
 """
 
 from __future__ import annotations
@@ -191,49 +192,60 @@ def _codes(column: pa.Array) -> np.ndarray:
     return out
 
 
-def _again(bands: DataFrame, sketches: DataFrame, roots: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Candidates (a, b) of different components in one bucket that may be linked: for each member that is not of its
-    bucket's commonest component the likest such partner in its largest bucket, or with best False all of them."""
+def _again(bands: DataFrame, sketches: DataFrame, roots: DataFrame, refused: DataFrame, percent: int) -> DataFrame:
+    """Candidates of different components in one bucket that may be linked: key, a, b and forest.
+
+    Members that are not of their bucket's commonest component look for partners in it. Small sets are known well enough by their codes: of
+    their pairs a part of a bucket gives a spanning forest (forest is true), which stands for the others if all its edges are links.
+    Of larger sets all pairs are given. Pairs that were refused before (b, and the array of its a) are left out.
+    """
     label = sketches.join(roots, F.col("rep") == F.col("node"), "left").select("rep", "n", "sketch", "small", F.coalesce("root", "rep").alias("root"))
     of = label.groupBy("rep").agg(F.min("root").alias("root"))
     mixed = bands.join(of, "rep").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     placed = bands.join(mixed, "key").join(of, "rep")
     main = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("all"))
     rows = placed.join(main, "key").withColumn("parts", F.ceil(F.col("all") / PART).cast("int"))
-    asks = rows.where("root <> main")
-    if best:
-        asks = asks.groupBy("rep").agg(F.max_by(F.struct("key", "parts"), F.struct("all", "key")).alias("x")).select("rep", "x.*")
-        rows = rows.join(asks.select("key").distinct(), "key", "left_semi")
     own, every = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     held = rows.select("key", "parts", "rep", own.alias("vp"), F.lit(False).alias("asks")).withColumn("qp", every)
-    asks = asks.select("key", "parts", "rep", own.alias("qp"), F.lit(True).alias("asks")).withColumn("vp", every)
+    asks = rows.where("root <> main").select("key", "parts", "rep", own.alias("qp"), F.lit(True).alias("asks")).withColumn("vp", every)
     columns = ["key", "qp", "vp", "rep", "asks"]
+    label = label.join(refused, F.col("rep") == F.col("b"), "left").drop("b")
     dealt = held.select(columns).unionByName(asks.select(columns)).join(label, "rep").repartition("key", "qp", "vp").sortWithinPartitions("key", "qp", "vp")
 
     def group(x: pa.Table) -> list[tuple[np.ndarray, ...]]:
         asking = x.column("asks").to_numpy()
-        rep, root, n = (x.column(c).to_numpy() for c in ("rep", "root", "n"))
-        at, out = np.flatnonzero(~asking), []
-        if not len(at) or len(at) == len(rep):
+        key, rep, root, n = (x.column(c).to_numpy() for c in ("key", "rep", "root", "n"))
+        at, asks, out = np.flatnonzero(~asking), np.flatnonzero(asking), []
+        if not len(at) or not len(asks):
             return out
-        sketch, codes = _sketches(x.column("sketch")), _codes(x.column("small"))
-        held, said = sketch[at], codes[at]
-        for q in np.flatnonzero(asking):
-            apart = root[at] != root[q]
-            same = (held == sketch[q]).mean(1)
-            ok = np.flatnonzero(apart & _may_link(same, n[at], n[q], percent))
-            if n[q] <= SMALL and len(ok):
-                known = np.zeros(65537, bool)
+        sketch, codes, part = _sketches(x.column("sketch")), _codes(x.column("small")), np.unique(root, return_inverse=True)[1]
+        no = {(v, r) for r, vs in zip(rep.tolist(), x.column("refused").to_pylist()) for v in vs or ()}
+        known = np.zeros(65537, bool)
+        for q in asks[np.argsort(rep[asks], kind="stable")]:
+            near = at[part[at] != part[q]]
+            near = near[100 * np.minimum(n[near], n[q]) >= percent * np.maximum(n[near], n[q])]
+            near = near[_may_link((sketch[near] == sketch[q]).mean(1), n[near], n[q], percent)]
+            few = np.zeros(len(near), bool)
+            if n[q] <= SMALL and len(near):
+                few = n[near] <= SMALL
+                some = near[few]
                 known[codes[q, : n[q]]] = True
-                few = n[at[ok]] <= SMALL
-                near = ok[few]
-                common = np.minimum(known[said[near]].sum(1), np.minimum(n[at[near]], n[q]))
-                same[near] = common / (n[at[near]] + n[q] - common)
-                ok = np.r_[ok[~few], near[100 * common >= percent * (n[at[near]] + n[q] - common)]]
-            if best and len(ok):
-                ok = ok[same[ok].argmax()][None]
-            low, high = np.minimum(rep[at[ok]], rep[q]), np.maximum(rep[at[ok]], rep[q])
-            out.append((low, high, np.full(len(ok), rep[q] if best else 0), same[ok] if best else np.zeros(len(ok))))
+                common = np.minimum(known[codes[some]].sum(1), np.minimum(n[some], n[q]))
+                known[codes[q, : n[q]]] = False
+                fits = ~few
+                fits[few] = 100 * common >= percent * (n[some] + n[q] - common)
+                near, few = near[fits], few[fits]
+            if no and len(near):
+                new = np.array([(min(r, s), max(r, s)) not in no for r, s in zip(rep[near].tolist(), [int(rep[q])] * len(near))])
+                near, few = near[new], few[new]
+            if not len(near):
+                continue
+            some = near[few]
+            some = some[np.argsort(rep[some], kind="stable")]
+            some = some[np.unique(part[some], return_index=True)[1]]  # the least of each component
+            part[np.isin(part, part[some])] = part[q]
+            to = np.r_[some, near[~few]]
+            out.append((key[to], np.minimum(rep[to], rep[q]), np.maximum(rep[to], rep[q]), np.arange(len(to)) < len(some)))
         return out
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,12 +262,9 @@ def _again(bands: DataFrame, sketches: DataFrame, roots: DataFrame, percent: int
             found = [y for s, e in zip(bounds, bounds[1:]) for y in group(rest.slice(s, e - s).combine_chunks())]
             rest = rest.slice(bounds[-1])
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b", "q", "same"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["key", "a", "b", "forest"])
 
-    found = dealt.mapInArrow(pairs, "a long, b long, q long, same double")
-    if best:
-        found = found.groupBy("q").agg(F.max_by(F.struct("a", "b"), F.struct("same", "a", "b")).alias("x")).select("x.*")
-    return found.select("a", "b").distinct()
+    return dealt.mapInArrow(pairs, "key long, a long, b long, forest boolean")
 
 
 def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -286,10 +295,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     tested = written(_tested(stars.select("a", F.col("rep").alias("b")), sketches, percent), "pairs")
     links = written(confirmed(tested, docs, k, percent), "links")
     members = bands.select("key", "rep")
-    for best in (True, False):
-        fresh = written(_again(members, sketches, components(links), percent, best).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.isEmpty():
-            tested, links = tested.unionByName(fresh), links.unionByName(written(confirmed(fresh, docs, k, percent), "links"))
+    while True:
+        refused = tested.join(links, ["a", "b"], "left_anti").groupBy("b").agg(F.collect_list("a").alias("refused"))
+        found = written(_again(members, sketches, components(links), refused, percent), "found")
+        pairs = found.select("a", "b").distinct()
+        if found.isEmpty():
+            break
+        new = written(confirmed(pairs, docs, k, percent), "links")
+        tested, links = tested.unionByName(pairs), links.unionByName(new)
+        # A bucket whose forest is all links is done; one with a refused edge is looked at again, without that edge.
+        members = members.join(found.where("forest").join(new, ["a", "b"], "left_anti").select("key").distinct(), "key", "left_semi")
     # Rows with one doc_id but different sets: their classes share the document.
     twice = known.where("n > 0").join(classes.select(*TARGET, "rep"), list(TARGET)).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     roots = components(links.unionByName(twice.join(classes.select(F.col("rep").alias("b")).distinct(), "b", "left_semi").select("a", "b")))

@@ -92,6 +92,20 @@ def test_near_duplicates(spark, odd, k, percent):
     assert got == plain_groups(rows, k, percent)
 
 
+@pytest.mark.parametrize(("long", "most", "part"), [(150, 4, 4000), (150, 5, 20), (700, 18, 20)])
+def test_group_without_a_centre(spark, monkeypatch, long, most, part):
+    monkeypatch.setattr(neardup, "PART", part)
+    rng = np.random.default_rng(long + most)
+    rows = []
+    for n in range(120):  # similarities of two copies lie about the least one asked for
+        w = [f"v{i}" for i in range(long)]
+        for p in rng.choice(long, rng.integers(1, most), replace=False):
+            w[p] = f"z{n}_{p}"
+        rows.append((int(n * 7 % 120), " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs(spark, [(i, t, "s") for i, t in rows]), 3, 85).collect()}
+    assert got == plain_groups(rows, 3, 85)
+
+
 def test_one_row_of_each_group_stays(spark):
     near, alone = " ".join([*BASE, "more"]), " ".join(f"u{i}" for i in range(20))
     rows = [(None, " ".join(BASE), "n"), (3, near, "a"), (2, " ".join(BASE), "b"), (2, " ".join(BASE), "c"), (None, near, "n"), (2, alone, "d"), (2, alone, "e"),
