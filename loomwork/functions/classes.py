@@ -74,3 +74,30 @@ def fails_gate(stats: dict[str, Column], least: dict[str, float]) -> Column:
     for name, limit in least.items():
         out = out | (F.coalesce(F.nanvl(stats[name].cast("double"), F.lit(0.0)), F.lit(0.0)) < limit)
     return out
+
+
+#: Codes of the top level of a class list, beside the names.
+TOP_LEVEL = {"alpha": "1", "beta": "2", "alpha_beta": "3", "coil_or_sparse": "4"}
+#: First letters of a concise class string.
+FIRST_LETTER = {"alpha": "a", "beta": "b", "alpha_beta": "cd", "coil_or_sparse": "gh"}
+
+
+def class_of_code(value: Column) -> Column:
+    """Class by top-level code or name."""
+    return class_of(value, {name: (TOP_LEVEL.get(name, name), *known) for name, known in SECONDARY.items()})
+
+
+def class_of_sccs(value: Column) -> Column:
+    """Class by the first letter of a concise class string; another letter is `other`, an empty string unknown."""
+    letter = F.substring(F.lower(F.trim(F.coalesce(value, F.lit("")))), 1, 1)
+    out = F.when(letter == "", "unknown")
+    for name, known in FIRST_LETTER.items():
+        out = out.when(letter.isin(*known), name)
+    return out.otherwise("other")
+
+
+def class_of_words(line: Column) -> Column:
+    """Class by the words that a line holds, first rule first."""
+    has = lambda *words: F.lower(line).rlike("|".join(words))
+    both = (has("alpha") & has("beta")) | has(r"a\+b", "a/b")
+    return F.when(both, "alpha_beta").when(has("alpha", "helical", "helix"), "alpha").when(has("beta", "sandwich", "barrel"), "beta").otherwise("unknown")

@@ -87,23 +87,20 @@ def ordered_digest(df: DataFrame, key: str, value: str) -> DataFrame:
     return rows.select("n", F.sha2(F.array_join(F.transform("x", lambda y: y["line"]), ""), 256).alias("digest"))
 
 
-def linked(df: DataFrame, node: str, attributes: list[str], rounds: int = 50) -> DataFrame:
+def linked(df: DataFrame, node: str, attributes: list[str]) -> DataFrame:
     """node and component, the least node that shares an attribute's value, directly or through others.
 
-    Minima pass from nodes to values and back until no label changes.
+    Minima pass from nodes to values and back until no label changes, however many rounds that takes; ids may be of any type that sorts.
     """
     pairs = df.select(node, F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(a).cast("string").alias("value")) for i, a in enumerate(attributes)))).alias("x")).select(node, "x.kind", "x.value").where("value IS NOT NULL")
     label = df.select(node, F.col(node).alias("component")).distinct()
-    before = None
-    for _ in range(rounds):
+    while True:
+        before = label
         least = pairs.join(label, node).groupBy("kind", "value").agg(F.min("component").alias("m"))
         near = pairs.join(least, ["kind", "value"]).groupBy(node).agg(F.min("m").alias("m"))
         label = label.join(near, node, "left").select(node, F.least("component", F.coalesce("m", "component")).alias("component"))
         hop = label.select(F.col(node).alias("component"), F.col("component").alias("up"))
         label = label.join(hop, "component").select(node, F.col("up").alias("component"))
         label = label.checkpoint() if label.sparkSession.conf.get("spark.checkpoint.dir", None) else label.persist()
-        now = label.agg(F.sum("component")).first()[0]
-        if now == before:
-            break
-        before = now
-    return label
+        if label.join(before.withColumnRenamed("component", "was"), node).where("component <> was").isEmpty():
+            return label

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
+from ..functions import classes as C
+
 
 def id_list(spark: SparkSession, path: str, inline_comments: bool = False) -> DataFrame:
     """id of every line that is neither blank nor a comment, in no order; with inline_comments `#` ends a line's id."""
@@ -41,6 +43,50 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("file", name.alias("name"), body.alias("sequence")).where("name <> ''")
 
 
+def _fields(lines: DataFrame, least: int) -> DataFrame:
+    """line and p, its fields, of lines (value) that are neither blank nor a comment and have `least` fields."""
+    line = F.trim(F.regexp_replace("value", r"\s+", " "))
+    return lines.select(line.alias("line")).where("line <> '' AND NOT startswith(line, '#')").select("line", F.split("line", " ").alias("p")).where(F.size("p") >= least)
+
+
+def cath_classes(lines: DataFrame) -> DataFrame:
+    """chain and class of lines (value) of domain id and class code; shorter ids than five characters are left out."""
+    own = _fields(lines, 2).where("length(p[0]) >= 5")
+    return own.select(F.concat_ws("_", F.lower(F.expr("substr(p[0], 1, 4)")), F.expr("substr(p[0], 5, 1)")).alias("chain"), C.class_of_code(F.expr("p[1]")).alias("class"))
+
+
+def scope_classes(lines: DataFrame) -> DataFrame:
+    """chain and class of lines (value) of domain id, entry, chain and range, class string; a line without a chain is known by its domain id."""
+    named = F.expr("trim(BOTH '_' FROM substring_index(p[2], ':', 1))")
+    chain = F.when(named.isin("", "-", "."), C.chain_of_domain(F.expr("p[0]"))).otherwise(F.concat_ws("_", F.lower(F.expr("p[1]")), named))
+    return _fields(lines, 4).select(chain.alias("chain"), C.class_of_sccs(F.expr("p[3]")).alias("class")).where("chain IS NOT NULL")
+
+
+def ecod_classes(lines: DataFrame) -> DataFrame:
+    """chain and class of lines (value): the first field that is a domain id (an e, six characters or more) and the line's words."""
+    ids = F.transform(F.filter("p", lambda x: x.startswith("e") & (F.length(x) >= 6)), C.chain_of_domain)
+    return _fields(lines, 1).select(F.get(F.array_compact(ids), F.lit(0)).alias("chain"), C.class_of_words(F.col("line")).alias("class")).where("chain IS NOT NULL")
+
+
+def annotated(*lists: DataFrame) -> DataFrame:
+    """chain and classes, distinct and sorted, over all lists; classes are few."""
+    every = lists[0]
+    for more in lists[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("chain").agg(F.sort_array(F.collect_set("class")).alias("classes"))
+
+
+def write_fasta(rows: DataFrame, path: str) -> None:
+    """Write id and sequence as FASTA records, sorted by id over all files."""
+    rows.orderBy("id").select(F.concat(F.lit(">"), "id", F.lit("\n"), "sequence").alias("value")).write.mode("errorifexists").text(path)
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """path, length and sha256 of each file below path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
 def write_ids(ids: DataFrame, path: str) -> None:
     """Write distinct ids, one to a line, sorted over all files."""
     ids.select(F.col("id").cast("string").alias("value")).distinct().orderBy("value").write.mode("errorifexists").text(path)
