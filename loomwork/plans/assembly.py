@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classes as C
 from ..operators import records as A
-from ..sources import text
+from ..sources import hits, reports, text
 from .catalogue import query, r6
 
 SALT = "third-salt-of-thirty-two-characters-or-so"
@@ -93,3 +93,33 @@ def annotation_list_classes(t):
 def letter_class(t):
     letter = F.translate(F.substring("o_orderpriority", 1, 1), "12345", "abcgk")
     return t("orders").select("o_orderkey", C.class_of_sccs(F.concat(letter, F.lit(".1.2"))).alias("class"))
+
+
+@query("""SELECT s_suppkey, 'AC-D' AS query, 'A-GD' AS template, s_nationkey || ':4,' || (s_nationkey + 2) || ':6' AS pairs FROM supplier WHERE s_suppkey % 2 = 0""")
+def hit_alignment_pairs(t):
+    start = (F.col("s_nationkey") + 1).cast("string")
+    name = F.when(F.col("s_suppkey") % 2 == 0, "1abc_A").otherwise("none?")
+    lines = [F.concat(name, F.lit(" some name")), F.lit("Probab=9.1  E-value=2"), F.lit("Q Consensus 1 acxd 3 (9)"), F.concat(F.lit("Q query "), start, F.lit(" AC-D 3 (9)")),
+             F.lit("T Consensus 1 axgd 3 (9)"), F.lit("T 1abc_A  5 A-GD 7 (20)"), F.lit("No 2"), F.lit("T 1abc_A 9 ACGD 12 (20)")]
+    found = hits.hits(t("supplier").select("s_suppkey", F.concat_ws("\n", *lines).alias("value")))
+    pairs = F.array_join(F.transform("pairs", lambda x: F.concat_ws(":", x["q"], x["t"])), ",")
+    return found.select("s_suppkey", "query", "template", pairs.alias("pairs"))
+
+
+@query(r"""WITH e AS (SELECT s_suppkey, 'track ' || s_nationkey AS track, s_name AS name, CASE WHEN s_suppkey % 3 > 0 THEN s_acctbal END AS score FROM supplier),
+r AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY score DESC NULLS LAST, name) AS rank FROM e)
+SELECT track, rank::INT AS rank, '| ' || rank || ' | ' || name || ' | a\|b | ' || coalesce(printf('%.4f', score), 'n/a') || ' | n/a | 0.5000 | 2024 | `' || substr(sha256(name), 1, 7) || '` |  |' AS line FROM r""")
+def leaderboard_lines(t):
+    score = F.when(F.col("s_suppkey") % 3 > 0, F.col("s_acctbal")).cast("double")
+    return reports.ranked_lines(t("supplier").select(
+        F.concat(F.lit("track "), F.col("s_nationkey").cast("string")).alias("track"), F.col("s_name").alias("name"), F.lit("a|b").alias("team"), score.alias("rank_score"),
+        F.lit(float("nan")).alias("hidden"), F.lit(0.5).alias("public"), F.lit("2024").alias("date"), F.sha2("s_name", 256).alias("commit"), F.lit(None).cast("string").alias("description"),
+    ))
+
+
+@query("""SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size > 40 THEN 'large' END, CASE WHEN p_partkey % 3 = 0 THEN 'refused' END, CASE WHEN p_partkey % 4 = 0 THEN 'forbidden' END], lambda x: x IS NOT NULL), ',') AS faults FROM part""")
+def file_fault_lists(t):
+    k = F.col("p_partkey")
+    path = F.concat(F.when(k % 4 == 0, "private/").otherwise("public/"), k.cast("string"), F.when(k % 3 == 0, ".PT").otherwise(".py"))
+    faults = reports.file_faults(path, F.col("p_size").cast("long") * (1 << 19), ("private/",))
+    return t("part").select("p_partkey", F.array_join(faults, ",").alias("faults"))

@@ -5,7 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from loomwork.operators import records, relational
-from loomwork.sources import text
+from loomwork.sources import hits, reports, text
 
 
 def test_annotation_lists(spark):
@@ -50,3 +50,19 @@ def test_long_chains_of_named_and_large_ids_are_linked(spark):
     assert {(r["node"], r["component"]) for r in relational.linked(names, "node", ["x", "y"]).collect()} == {(f"n{i:03}", "n000") for i in range(60)} | {("z", "z")}
     ids = spark.createDataFrame([(big + i, "same") for i in range(4)], "node long, x string")
     assert {r["component"] for r in relational.linked(ids, "node", ["x"]).collect()} == {big}
+
+
+def test_hit_list_file(spark, tmp_path):
+    block = "Q query 2 AB- 3 (9)\nT Consensus 1 abc 3\nT x 4 ABC 6 (9)\n\nQ query x CD 5\nT x 7 CD 8 (9)\nQ query 4 C 4 (9)\nT x 7 CD 8 (9)\n"
+    (tmp_path / "a.hhr").write_text(f"Query  q\nMatch_columns 9\n\nNo 1\n>2xyzB some\n{block}\nNo 2\n>badname?\n{block}\nNo 3\n>3abc-C\nQ query 1 - 1\nT x 1 A 1\n")
+    got = hits.hits(hits.hit_blocks(spark, f"{tmp_path}/a.hhr")).collect()
+    assert [(r["entry"], r["chain"], r["query"], r["template"], [tuple(p) for p in r["pairs"]]) for r in got] == [("2xyz", "B", "AB-CDC", "ABCCDCD", [(1, 3), (2, 4)])]
+
+
+def test_leaderboard_text(spark):
+    rows = [("b", "n1", "t", 0.5), ("limited", "n2", None, float("nan")), ("limited", "n|3", "t", 0.25), (None, "n4", "t", None)]
+    e = spark.createDataFrame(rows, "track string, name string, team string, rank_score double").select(
+        "*", F.lit(1.0).alias("hidden"), F.lit(None).cast("double").alias("public"), F.lit("d").alias("date"), F.lit("0123456789").alias("commit"), F.lit("x\ny").alias("description"))
+    got = reports.markdown(reports.ranked_lines(e), ["limited"]).split("\n")
+    assert got[0] == "### `limited`" and got[3:5] == [r"| 1 | n\|3 | t | 0.2500 | 1.0000 | n/a | d | `0123456` | x y |", "| 2 | n2 |  | n/a | 1.0000 | n/a | d | `0123456` | x y |"]
+    assert [x for x in got if x.startswith("###")] == ["### `limited`", "### `unknown`", "### `b`"]
