@@ -17,6 +17,7 @@ import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -291,8 +292,9 @@ def _unpacked(b: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
-def _at_hand(own: DataFrame, model: Pieces) -> dict[str, bytes]:
-    """Ids of words that a sample of about SAMPLE texts holds twice or more, the commonest MOST_SENT at most."""
+def _at_hand(own: DataFrame, model: Pieces) -> tuple[dict[str, bytes], dict[str, bytes]]:
+    """Ids of words that a sample of about SAMPLE texts holds twice or more, the commonest MOST_SENT at most: those that begin with a
+    space, without it, and the others."""
     n = own.count()
     some = own.sample(min(1.0, SAMPLE / n), seed=1) if n > SAMPLE else own
     counted = written(_counted(some, model.pattern).where("n > 1"), "words")
@@ -303,28 +305,41 @@ def _at_hand(own: DataFrame, model: Pieces) -> dict[str, bytes]:
             break
         least = r["n"]
     words = counted.where(F.col("n") >= least).select("word").repartition("word")
-    return {r["word"]: np.frombuffer(r["x"], ">u2").astype(np.uint16).tobytes() for r in encoded_words(words, model).toLocalIterator()}
+    found: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+    for r in encoded_words(words, model).toLocalIterator():
+        word, x = r["word"], np.frombuffer(r["x"], ">u2").astype(np.uint16).tobytes()
+        if word[0] == SPACE:
+            found[0][word[1:]] = x
+        else:
+            found[1][word] = x
+    return found
 
 
 class _Kept(dict):
-    """Ids by part of a text, two bytes each, with a hole for each word that is not at hand; `rare` has those words by part."""
+    """Ids by part of a text, two bytes each, with a hole for each word that is not at hand; `rare` has those words by part.
 
-    def __init__(self, model: Pieces, common: dict[str, bytes]) -> None:
-        super().__init__()
-        self.model, self.pattern, self.common, self.rare = model, re.compile(model.pattern), common, {}
+    It starts with the words at hand (by_part: those that begin with a space, without it; others: the rest), so a part that is a
+    word at hand is never missing.
+    """
+
+    def __init__(self, model: Pieces, by_part: dict[str, bytes], others: dict[str, bytes]) -> None:
+        super().__init__(by_part)
+        self.model, self.pattern, self.by_part, self.others, self.rare = model, re.compile(model.pattern), by_part, others, {}
 
     def __missing__(self, part: str) -> bytes:
-        word = SPACE + part
-        if (found := self.common.get(word)) is None:
+        if len(part) < LONGEST and part.isascii() and part.isalpha():  # one word, and not at hand
+            found, self.rare[part] = b"\xff\xff", [SPACE + part]
+        else:
             ids, lacking = [], []
             for w in _fine(self.pattern, part):
-                if len(w) > LONGEST:
+                x = self.by_part.get(w[1:]) if w[0] == SPACE else self.others.get(w)
+                if x is not None:
+                    ids.append(x)
+                elif len(w) > LONGEST:
                     ids.append(np.array(self.model.merged(w), np.uint16).tobytes())
-                elif (x := self.common.get(w)) is None:
+                else:
                     ids.append(b"\xff\xff")
                     lacking.append(w)
-                else:
-                    ids.append(x)
             found = b"".join(ids)
             if lacking:
                 self.rare[part] = lacking
@@ -332,12 +347,13 @@ class _Kept(dict):
         return found
 
     def forget(self) -> None:
-        """After a chunk: parts with holes go, and all once there are MOST_KEPT."""
+        """After a chunk: parts with holes go, and all but the words at hand once there are MOST_KEPT more."""
         for part in self.rare:
             del self[part]
         self.rare.clear()
-        if len(self) > MOST_KEPT:
+        if len(self) > len(self.by_part) + MOST_KEPT:
             self.clear()
+            self.update(self.by_part)
 
 
 def _name(rare: list[str], texts: list[str]) -> int:
@@ -359,14 +375,12 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(_at_hand(own, model))
 
     def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _Kept(model, sent.value)
+        kept = _Kept(model, *sent.value)
         for b in batches:
             names, rares = [], []
             for _, texts in _chunks(b):
-                for t in texts:
-                    for p in set(_coarse(t)):
-                        if p not in kept:
-                            kept[p]
+                for p in filterfalse(kept.__contains__, set(chain.from_iterable(map(_coarse, texts)))):
+                    kept[p]
                 rares.append(sorted({w for rare in kept.rare.values() for w in rare}))
                 kept.forget()
                 names.append(_name(rares[-1], texts))
@@ -374,7 +388,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
         pa.default_memory_pool().release_unused()  # the worker waits for its next task
 
     def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _Kept(model, sent.value)
+        kept = _Kept(model, *sent.value)
         for b in batches:
             for part, texts in _chunks(b):
                 ids, rare = [], []
