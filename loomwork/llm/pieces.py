@@ -34,8 +34,10 @@ LONGEST = 60
 #: Texts whose words are looked at first, about, and words of LONGEST characters at most that are then sent to every task. Both
 #: decide where a word is encoded, not what comes out.
 SAMPLE, MOST_SENT = 20_000, 150_000
-#: Distinct parts of texts that a task keeps.
-MOST_KEPT = 60_000
+#: Distinct parts of texts that a task keeps beside the words at hand.
+MOST_KEPT = 30_000
+#: First characters of a piece by which the lattice bounds its spans.
+LEAD = 3
 #: Bytes of text that are encoded together; a longer text is taken alone.
 CHUNK = 2 << 20
 #: A run of spaces and what follows it; no piece lies across its ends.
@@ -215,7 +217,11 @@ def lattice(words: DataFrame, pieces: DataFrame, most: int, least: int = 1) -> D
     n, own = F.length("word"), words.columns
     starts = words.select(*own, F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), n - least))).alias("s"))
     first = F.col("s") + F.when(F.col("s") == 0, 1).otherwise(least)
-    spans = starts.select(*own, "s", F.explode(F.sequence(first, F.least(n, F.greatest(first, F.col("s") + most)))).alias("e"))
+    # No span is longer than the longest piece that begins with the same LEAD characters.
+    leads = pieces.where(F.length("piece") >= LEAD).groupBy(F.substring("piece", 1, LEAD).alias("lead")).agg(F.max(F.length("piece")).alias("longest"))
+    begun = starts.withColumn("lead", F.substring("word", F.col("s") + 1, F.lit(LEAD))).join(F.broadcast(leads), "lead", "left")
+    last = F.col("s") + F.least(F.lit(most), F.coalesce("longest", F.lit(LEAD - 1)))
+    spans = begun.select(*own, "s", F.explode(F.sequence(first, F.least(n, F.greatest(first, last)))).alias("e"))
     kept = F.col("id").isNotNull() | ((F.col("e") == F.col("s") + 1) & ((F.col("s") == 0) | F.lit(least == 1)))
     edges = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s"))).join(F.broadcast(pieces), "piece", "left").where(kept)
     edge = F.struct((-F.col("score")).alias("cost"), "s", "e", (_bit(F.col("e")) - _bit(F.col("s") + 1)).alias("inner"), "id", (_bit(F.col("s")) + _bit(F.col("e"))).alias("ends"), *(c for c in ("late",) if c in pieces.columns))
