@@ -279,6 +279,27 @@ def test_one_turn_is_enough_without_late_pieces(spark):
     assert late and all(set(p) == {pieces.SPACE} for p in late)
 
 
+@pytest.mark.parametrize("least", [1, 2])
+def test_lattice_has_every_piece(spark, least):
+    table = ["a", "b", "ab", "abc", "abcde", "bcd", "cabab", "ba"]
+    p = spark.createDataFrame([(k, i, -float(i)) for i, k in enumerate(table)], "piece string, id int, score double")
+    texts = ["abcde", "cababcdeab", "zzz", "a", "abcdeabcabz", "é漢ab"]
+    got = pieces.lattice(spark.createDataFrame([(t,) for t in texts], "word string"), p, max(map(len, table)), least).collect()
+    places = {r["word"]: sorted((e["s"], e["e"]) for e in r["edges"] if e["id"] is not None and (e["e"] - e["s"] >= least)) for r in got}
+    every = {t: sorted((s, e) for s in range(len(t)) for e in range(s + least, len(t) + 1) if t[s:e] in table) for t in texts}
+    assert places == every
+
+
+def test_words_at_hand_and_holes():
+    model = pieces.Pieces(pieces.MODEL)
+    kept = pieces._Kept(model, {"foo": b"\1\0"}, {"foo": b"\2\0"})
+    assert kept["foo"] == b"\1\0" and not kept.rare  # after a space
+    assert kept["bar"] == b"\xff\xff" and kept.rare == {"bar": [pieces.SPACE + "bar"]}
+    assert kept["foo\nfoo"][:2] == b"\1\0" and kept["foo\nfoo"][-2:] == b"\2\0"
+    kept.forget()
+    assert "bar" not in kept and not kept.rare and kept["foo"] == b"\1\0"
+
+
 def test_viterbi_fold(spark):
     from pyspark.sql import functions as F
 
