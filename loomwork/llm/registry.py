@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, infill, licenses, mixing, neardup, neighbours, pieces, quality, secrets, substrings
+from . import binaries, chat, divergence, fingerprints, infill, licenses, mixing, neardup, neighbours, pieces, quality, secrets, substrings
 
 QUERIES = {
     "op1_nearest_neighbours": neighbours.op1_nearest_neighbours,
@@ -16,10 +16,13 @@ QUERIES = {
     "op10_sentencepiece": pieces.op10_sentencepiece,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op11_fill_in_middle": infill.op11_fill_in_middle,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_token_files": binaries.op13_token_files,
 }
 ORACLES = {
     "op5_substring_dedup": substrings.ORACLE,
     "op7_minhash_near_dedup": neardup.ORACLE,
     "op3_chat_formatting": chat.ORACLE,
     "op11_fill_in_middle": infill.ORACLE,
+    "op12_source_divergence": divergence.ORACLE,
 }
