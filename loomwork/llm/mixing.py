@@ -3,8 +3,8 @@
 A classifier fitted on a labelled table gives every document posteriors over domains. Least squares then finds a
 nonnegative rate for each document such that the expected tokens of the domains meet their targets. Gradient steps,
 each scaled by the domains' gram matrix over the documents that are not at 0 (so a rare domain moves as fast as
-a common one), go on until every target is met or cannot be. A step needs a few sums for each domain over all
-documents; a document's rate is 1 + p * m projected to 0 and above, with one multiplier m for each domain, so no
+a common one), go on until no rate within its bounds would bring them nearer. A step needs a few sums for each domain over all
+documents; a document's rate is 1 + p * m projected to 0 and MOST, with one multiplier m for each domain, so no
 rates are stored between steps.
 """
 
@@ -22,8 +22,14 @@ from ._common import fresh, table, written
 
 #: Buckets of word hashes, labelled rows that the fit takes at most.
 BUCKETS, MOST_LABELLED = 1 << 14, 20_000
-#: Steps after which rates count as not converging, the slope relative to a target that ends them, weight of the rates' distance from 1, and the miss relative to a target that is warned of.
-STEPS, CLOSE, EDGE, FAR = 100, 1e-5, 1e-10, 1e-3
+#: Steps of a turn after which it counts as not converging, and turns; the slope or change relative to a target (or to LEAST, if that is more) that ends them, and the miss relative to a target that is warned of.
+STEPS, CLOSE, LEAST, FAR = 200, 1e-5, 1e-2, 1e-2
+#: The share of a miss that a turn has to change.
+SLOW = 1e-3
+#: How strongly a turn is held to the last one, at first and at least.
+EDGES = 1e-2, 1e-6
+#: The highest rate of a document, and so its copies.
+MOST = 8.0
 #: Shares of tokens.
 TARGETS = {"good": 0.85, "poor": 0.1, "toxic": 0.05}
 
@@ -63,39 +69,49 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Data
     return z.select("row", "doc_id", "tokens", F.array(*(x / sum(e[1:], e[0]) for x in e)).alias("p"))
 
 
-def _solved(at: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], goal: np.ndarray) -> np.ndarray:
-    """m with sums(m) + EDGE * m = goal, by Newton steps with a line search on the convex function of which this is the gradient.
+def _near(at: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], goal: np.ndarray, centre: np.ndarray, edge: float) -> tuple[np.ndarray, np.ndarray]:
+    """m with sums(m) + edge * (m - centre) = goal, and its sums: Newton steps on the convex function of which this is the gradient."""
+    scale, m = np.maximum(np.abs(goal), LEAST), centre
+    sums, gram = at(m)
+    for _ in range(STEPS):
+        slope = sums - goal + edge * (m - centre)
+        if np.all(np.abs(slope) < CLOSE / 3 * scale):
+            return m, sums
+        way = -np.linalg.solve(gram + edge * np.eye(len(goal)), slope)
+        fall, low, high, length = slope @ way, 0.0, None, 1.0
+        for _ in range(STEPS):  # the slope along the way rises from fall; far beyond its zero the step is too long
+            sums, gram = at(m + length * way)
+            end = (sums - goal + edge * (m + length * way - centre)) @ way
+            if end <= 0.5 * abs(fall) and (end >= -0.9 * abs(fall) or high is None):
+                break
+            low, high = (length, high) if end < 0 else (low, length)
+            length = (low + high) / 2 if low else high * min(0.5, max(0.01, fall / (fall - end)))
+        m = m + length * way
+    raise ArithmeticError(f"rates have not converged: slope {slope.tolist()} for {goal.tolist()}")
+
+
+def _solved(at: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], goal: np.ndarray) -> np.ndarray:
+    """m with sums(m) as near to goal as it gets. at(m): the domains' sums and their gram matrix over rates between the bounds, both a token.
 
-    at(m): half the sum of squared rates, the domains' sums and their gram matrix over rates above 0, all a token.
+    Each turn keeps m near the last one, ever less so. Sums that meet the goal, or that a turn no longer changes (then no rates
+    within the bounds come nearer), end it, or STEPS turns do.
     """
-    scale = np.maximum(np.abs(goal), 1e-6)
-    value = lambda x, half: half - goal @ x + EDGE / 2 * (x @ x)
-    m = np.zeros(len(goal))
-    half, sums, gram = at(m)
+    m, miss, edge, scale = np.zeros(len(goal)), None, EDGES[0], np.maximum(np.abs(goal), LEAST)
     for _ in range(STEPS):
-        slope = sums - goal + EDGE * m
-        if np.all(np.abs(slope) < CLOSE * scale):
+        m, sums = _near(at, goal, m, edge)
+        before, miss = miss, sums - goal
+        if np.all(np.abs(miss) < CLOSE * scale) or (before is not None and np.all(np.abs(miss - before) < np.maximum(CLOSE * scale, SLOW * np.abs(miss)))):
             return m
-        way = -np.linalg.solve(gram + EDGE * np.eye(len(goal)), slope)
-        fall, now, length = slope @ way, value(m, half), 1.0
-        for _ in range(STEPS):
-            half, sums, gram = at(m + length * way)
-            end = (sums - goal + EDGE * (m + length * way)) @ way
-            if value(m + length * way, half) <= now + 1e-4 * length * fall or abs(end) <= 0.5 * abs(fall):
-                break
-            length *= min(0.5, max(0.05, fall / (fall - end))) if end > fall else 0.5
-        else:
-            break
-        m = m + length * way
-    raise ArithmeticError(f"rates have not converged: off by {(sums - goal).tolist()} from {goal.tolist()}")
+        edge = max(edge / 4, EDGES[1])
+    return m
 
 
-def rates(soft: DataFrame, targets: list[float], total: float | None = None) -> DataFrame:
-    """soft (row, tokens, p) with rate: nonnegative, such that the sums of rate * tokens * p come as near to
+def rates(soft: DataFrame, targets: list[float], total: float | None = None, most: float = MOST) -> DataFrame:
+    """soft (row, tokens, p) with rate: from 0 to most, such that the sums of rate * tokens * p come as near to
     targets * total as least squares can, and of such rates those nearest to 1. Without tokens the rates stay 1.
 
-    total: tokens wanted in all, as many as there are if None. Targets out of reach (a domain that no document is
-    likely of) are warned of with what was reached; steps that do not converge raise ArithmeticError.
+    total: tokens wanted in all, as many as there are if None. A target may be 0. Targets out of reach (a domain that few documents are
+    likely of) are warned of with what was reached; `reached` gives it too.
     """
     k = len(targets)
     p = [F.get("p", F.lit(i)) for i in range(k)]
@@ -107,17 +123,18 @@ def rates(soft: DataFrame, targets: list[float], total: float | None = None) ->
     last: list[np.ndarray] = []
 
     def rate(m: np.ndarray) -> Column:
-        return F.greatest(F.lit(0.0), sum((x * F.lit(float(y)) for x, y in zip(p, m)), F.lit(1.0)))
+        return F.least(F.lit(float(most)), F.greatest(F.lit(0.0), sum((x * F.lit(float(y)) for x, y in zip(p, m)), F.lit(1.0))))
 
-    def at(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    def at(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         t = soft.select("p", "tokens", rate(m).alias("rate")).where("rate > 0")
-        held = [F.col("tokens") * F.col("rate") * F.col("rate") / 2, *(F.col("tokens") * F.col("rate") * x for x in p), *(F.col("tokens") * p[i] * p[j] for i, j in pairs)]
-        half, *rest = (float(x) / tokens for x in t.agg(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in held)).first())
+        between = F.when(F.col("rate") < most, F.col("tokens")).otherwise(0)
+        held = [*(F.col("tokens") * F.col("rate") * x for x in p), *(between * p[i] * p[j] for i, j in pairs)]
+        rest = [float(x) / tokens for x in t.agg(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in held)).first()]
         gram = np.zeros((k, k))
         for (i, j), x in zip(pairs, rest[k:]):
             gram[i, j] = gram[j, i] = x
         last[:] = [np.array(rest[:k])]
-        return half, last[0], gram
+        return last[0], gram
 
     m = _solved(at, goal)
     if np.any(np.abs(last[0] - goal) > FAR * np.abs(goal)):
@@ -125,6 +142,14 @@ def rates(soft: DataFrame, targets: list[float], total: float | None = None) ->
     return soft.withColumn("rate", rate(m))
 
 
+def reached(rated: DataFrame, names: list[str]) -> DataFrame:
+    """domain, tokens (expected) and share of what rates() gave, a row for each domain."""
+    sums = rated.agg(*(F.coalesce(F.sum(F.col("rate") * F.col("tokens") * F.get("p", F.lit(i))), F.lit(0.0)).alias(f"s{i}") for i in range(len(names))))
+    every = sum((F.col(f"s{i}") for i in range(1, len(names))), F.col("s0"))
+    rows = F.array(*(F.struct(F.lit(n).alias("domain"), F.col(f"s{i}").alias("tokens"), F.try_divide(F.col(f"s{i}"), every).alias("share")) for i, n in enumerate(names)))
+    return sums.select(F.explode(rows).alias("x")).select("x.*")
+
+
 def _domain() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
 
@@ -140,11 +165,11 @@ def op8_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("tokens").alias("n_tokens"), *named, "rate")
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: str, spare: float = 1.1) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: str, spare: float = 1.1, most: float = 4.0) -> DataFrame:
     """docs, each row as often as its rate says, all columns as they were.
 
     A rate of 2.3 gives two copies and, by a hash of doc_id, a third for three in ten. The total is set so
-    that the domain `keep` has `spare` times its tokens, so rows of it are not lost. Null and empty texts have no tokens and the
+    that the domain `keep` has `spare` times its tokens, so rows of it are not lost; no row is there more than `most` times. Null and empty texts have no tokens and the
     priors as posteriors; repeated rows count each; no rows in give no rows out.
     """
     names = sorted(targets)
@@ -152,7 +177,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: s
     own = written(docs.withColumn(row, F.monotonically_increasing_id()), "mixing")
     soft = written(posteriors(own.select(F.col(row).alias("row"), "doc_id", "text"), labels.select("doc_id", _domain().alias("domain")), names), "soft")
     mass = soft.agg(F.sum(F.col("tokens") * F.get("p", F.lit(names.index(keep))))).first()[0] or 0.0
-    out = rates(soft, [targets[d] for d in names], spare * mass / targets[keep] or None)
+    out = rates(soft, [targets[d] for d in names], spare * mass / targets[keep] or None, most)
     luck = (F.pmod(F.xxhash64("doc_id", row), F.lit(1 << 20)) + 0.5) / (1 << 20)
     copies = own.join(out.select(F.col("row").alias(row), F.col("rate").alias(rate)), row).withColumn(many, F.floor(F.col(rate) + luck).cast("int")).where(F.col(many) >= 1)
     return copies.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(many)))).select(*docs.columns)
