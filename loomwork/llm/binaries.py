@@ -9,31 +9,32 @@ shard, so a document's place among all ids is its shard's base and its offset.
 from __future__ import annotations
 
 import hashlib
+import math
 import os
-import re
 import uuid
 import zlib
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import shared_dir, short_batches, table, written
+from ._common import shared_dir, short_batches, table
+from .infill import _buffers, _runs, _views
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
-#: Bytes of a shard's ids, about; shards whose prefix sums are taken together.
+#: Bytes of a shard's texts, about; shards whose prefix sums are taken together.
 SHARD, TOGETHER = 256 << 20, 1024
-#: White space as the vocabulary's pre-tokenizer has it. It never takes a character and the white space after it together, and looks no
-#: further back, so parts that begin with white space have the ids that they have within the text.
-WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PART = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Characters of texts that are encoded together, characters of parts that are kept for later texts, and how many of these.
-AT_ONCE, SHORT, KEPT = 1 << 20, 40, 400_000
+#: Parts of texts whose ids a process keeps, and rows of a sample for each shard by which rows are dealt to shards, and in all.
+KEPT, SAMPLED, MOST_SAMPLED = 600_000, 50, 200_000
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOADED: dict = {}
+_KEPT: dict = {}
 
 
 def _tokenizer(vocabulary: str):
@@ -50,49 +51,101 @@ def _tokenizer(vocabulary: str):
     return _LOADED[key]
 
 
-class _Parts(dict):
-    """Packed ids of parts; the distinct parts of some texts are encoded together, and short ones kept for the next texts."""
+def begins(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 bytes where a part begins: each text, and ASCII white space after a character that is none.
+
+    Pre-tokens of the vocabulary never hold white space after another character, and look no further back, so a part has the ids that it has
+    within its text. The white space beyond ASCII is told by its bytes, so that no run of white space is cut.
+    """
+    white = _WHITE[data]
+    before = white.copy()
+    if len(data) > 1 and data.max() > 0x7F:
+        x, y = data[:-1], data[1:]
+        before[1:] |= (x == 0xC2) & ((y == 0x85) | (y == 0xA0))
+        if len(data) > 2:
+            x, y, z = data[:-2], data[1:-1], data[2:]
+            two = (x == 0xE2) & (((y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))) | ((y == 0x81) & (z == 0x9F)))
+            before[2:] |= two | ((x == 0xE1) & (y == 0x9A) & (z == 0x80)) | ((x == 0xE3) & (y == 0x80) & (z == 0x80))
+    white[1:] &= ~before[:-1]
+    white[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+    return np.flatnonzero(white)
+
+
+class Parts(dict):
+    """Packed ids of parts of texts. A process keeps them from task to task; a full one starts anew."""
 
     def __init__(self, tokenizer, width: int) -> None:
         self.tokenizer, self.width = tokenizer, width
 
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Packed ids of each text."""
-        parts = [PART.findall(t) for t in texts]
-        new = list(set().union(*parts).difference(self))
+    def ids(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id after it, and the n + 1 bounds of n texts in them."""
+        data, bounds = _buffers(texts)
+        at = begins(data, bounds)
+        parts = _views(data, np.append(at, len(data))).dictionary_encode()
+        distinct, place = parts.dictionary.to_pylist(), parts.indices.to_numpy()
+        new = [p for p in distinct if p not in self]
         for p, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[p] = np.array(x.ids, f"<u{self.width}").tobytes()
-        for ps in parts:
-            yield b"".join(map(self.__getitem__, ps))
+            self[p] = array("H" if self.width == 2 else "I", x.ids).tobytes()
+        packed = [self[p] for p in distinct]
+        flat = np.frombuffer(b"".join(packed), f"=u{self.width}")
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.width
         if len(self) > KEPT:
             self.clear()
-        for p in new:
-            if len(p) > SHORT:
-                self.pop(p, None)
+        n = sizes[place]
+        after = np.cumsum(n)
+        source = np.repeat((np.cumsum(sizes) - sizes)[place] - (after - n), n)
+        ids = flat[source + np.arange(len(source))]
+        ends = np.append(0, after)[np.searchsorted(at, bounds[1:])]
+        return np.insert(ids, ends, end), np.append(0, ends + np.arange(1, len(ends) + 1))
 
 
-def encoded(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
-    """doc_id, key, row and ids (packed) of every row of docs (doc_id, text). key is a hash of the text, row a number of the row."""
-    short_batches(docs.sparkSession)
-    width = _width(vocabulary, end)
+def _parts(vocabulary: str, width: int) -> Parts:
+    tokenizer = _tokenizer(vocabulary)
+    if width not in _KEPT or _KEPT[width].tokenizer is not tokenizer:
+        _KEPT[width] = Parts(tokenizer, width)
+    return _KEPT[width]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, key (a hash of the text), row (a number of the row) and text; null texts are empty."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    own = own.select("doc_id", F.xxhash64("text").alias("key"), F.monotonically_increasing_id().alias("row"), "text")
+    return own.select("doc_id", F.xxhash64("text").alias("key"), F.monotonically_increasing_id().alias("row"), "text")
+
+
+def shard_bounds(docs: DataFrame, least: int, shard_bytes: int) -> list[tuple]:
+    """Places (has a doc_id, doc_id, key, row) that part the rows of docs into shards of about equal size; one fewer than the shards.
+
+    They come from a sample by hash of at most about MOST_SAMPLED rows, and decide where a row stands, not what comes out. There are `least` shards, or
+    as many as shard_bytes of text make.
+    """
+    n = docs.count()
+    own = _keyed(docs)
+    luck = F.xxhash64("key", "doc_id", "row", F.lit("shards"))
+    chosen = own.where(F.pmod(luck, F.lit(max(1, n // MOST_SAMPLED + (n > MOST_SAMPLED)))) == 0)
+    rows = chosen.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "key", "row", F.octet_length("text").alias("size")).collect()  # MOST_SAMPLED, about
+    size = sum(r["size"] for r in rows) / max(1, len(rows)) * n
+    count = max(least, math.ceil(size / shard_bytes))
+    places = sorted((r["known"], r["doc_id"], r["key"], r["row"]) for r in rows)
+    return [places[len(places) * k // count] for k in range(1, count)] if places else []
+
+
+def encoded(docs: DataFrame, vocabulary: str, end: int = END, bounds: list[tuple] | None = None) -> DataFrame:
+    """doc_id, key, row, shard and ids (packed) of every row of docs (doc_id, text). shard: how many of the bounds are at or before the row."""
+    short_batches(docs.sparkSession)
+    width, bounds = _width(vocabulary, end), bounds or []
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, last = _Parts(_tokenizer(vocabulary), width), np.array(end, f"<u{width}").tobytes()
-        for b in batches:
-            texts, at = b.column("text").to_pylist(), 0
-            while at < len(texts):
-                stop, size = at + 1, len(texts[at])
-                while stop < len(texts) and size + len(texts[stop]) <= AT_ONCE:
-                    size += len(texts[stop])
-                    stop += 1
-                ids = [x + last for x in parts.ids(texts[at:stop])]
-                own = b.slice(at, stop - at)
-                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("doc_id", "key", "row")), pa.array(ids, pa.binary())], names=["doc_id", "key", "row", "ids"])
-                at = stop
+        parts = _parts(vocabulary, width)
+        for batch in batches:
+            for run in _runs(batch.column("text")):
+                b = batch.slice(run.start, run.stop - run.start)
+                ids, at = parts.ids(b.column("text"), end)
+                held = pa.BinaryArray.from_buffers(pa.binary(), len(b), [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(ids.astype(f"<u{width}"))])
+                docs, keys, rows = (b.column(c).to_pylist() for c in ("doc_id", "key", "row"))
+                shard = [bisect_right(bounds, (d is not None, d or 0, k, r)) for d, k, r in zip(docs, keys, rows)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "key", "row")), pa.array(shard, pa.int32()), held], names=["doc_id", "key", "row", "shard", "ids"])
 
-    return own.mapInArrow(packed, "doc_id long, key long, row long, ids binary")
+    return _keyed(docs).mapInArrow(packed, "doc_id long, key long, row long, shard int, ids binary")
 
 
 def _width(vocabulary: str, end: int) -> int:
@@ -115,20 +168,20 @@ def write(docs: DataFrame, vocabulary: str, end: int = END, folder: str | None =
     spark = docs.sparkSession
     folder = (folder or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}").rstrip("/")
     width = _width(vocabulary, end)
-    tokens = written(encoded(docs, vocabulary, end), "tokens")
-    size = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
+    bounds = shard_bounds(docs, int(spark.conf.get("spark.sql.shuffle.partitions")), shard_bytes)
+    tokens = encoded(docs, vocabulary, end, bounds)
     order = [F.col("doc_id").asc_nulls_first(), F.col("key").asc(), F.col("row").asc()]
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _place(folder)
-        shard, mark, n = TaskContext.get().partitionId(), uuid.uuid4().hex, 0
+        shard, mark, n = None, uuid.uuid4().hex, 0
         sizes, owners, known = [np.zeros(1, np.int64)], [], []
         out = None
         for b in batches:
             if not len(b):
                 continue
             if out is None:
+                shard = b.column("shard")[0].as_py()
                 store.create_dir(path, recursive=True)
                 out = store.open_output_stream(f"{path}/{mark}.ids")
             ids = b.column("ids").cast(pa.large_binary())
@@ -150,7 +203,7 @@ def write(docs: DataFrame, vocabulary: str, end: int = END, folder: str | None =
             store.move(f"{path}/{mark}.{kind}", f"{path}/{shard:08d}.{kind}")
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": pa.array([n], pa.int64()), "n_ids": pa.array([int(offsets[-1])], pa.int64()), "width": pa.array([width], pa.int32())})
 
-    dealt = tokens.repartitionByRange(count, *order).sortWithinPartitions(*order)
+    dealt = tokens.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(*order)
     dealt.mapInArrow(filed, "shard int, n_docs long, n_ids long, width int").write.parquet(f"{folder}/manifest")
     return folder
 

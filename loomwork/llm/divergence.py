@@ -22,7 +22,7 @@ WORD = re.compile(rb"[a-z\x80-\xff]+")
 #: Documents of a language that a kept term is in, terms ranked for a source, what every count is raised by, units of a share.
 LEAST, TOP, RAISED, UNITS = 30, 50, 5, 1_000_000_000
 #: Terms that a task counts before it passes them on; parts that rows of one language or source are dealt to; numbers compared at once.
-HELD, PARTS, BLOCK = 200_000, 64, 1 << 21
+HELD, PARTS, BLOCK = 500_000, 64, 1 << 21
 
 
 def term_counts(docs: DataFrame) -> DataFrame:

@@ -133,8 +133,14 @@ def test_parts_have_the_ids_of_the_whole_text():
     rng = np.random.default_rng(9)
     bits = ["a", "Bc", "'s", "'", " ", "  ", "\n", "\t", " ", "　", "\x85", " ", "1", "23", ".", "!?", "é", "漢", "🙂", "<|endoftext|>", "\x1c", "​", "﻿", "_"]
     texts = ["".join(rng.choice(bits, rng.integers(0, 40))) for _ in range(600)]
-    parts = binaries._Parts(t, 2)
-    assert [np.frombuffer(x, "<u2").tolist() for x in parts.ids(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    parts = binaries.Parts(t, 2)
+    for _ in range(2):  # afresh and from what is kept
+        ids, bounds = parts.ids(pa.array(texts), 2)
+        got = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+        assert got == [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    white = [c for c in map(chr, range(0x3001)) if re.fullmatch("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", c)]
+    cuts = lambda x: binaries.begins(*infill._buffers(pa.array([x]))).tolist()
+    assert all(cuts(f"a{c} b") == ([0, 1] if c.isascii() else [0]) for c in white) and cuts("é b") == [0, 2]
 
 
 def soft(spark, rows):
