@@ -2,7 +2,7 @@
 
 An atom table has a row for each atom that is there: key (of the chain), res (residue, from 0 without gaps), slot, x, y, z. Atoms that
 only one of two tables has take no part. Pairs are found by joins on residues or on cells of space, so no chain has to fit a task,
-but for `gdt` and `sphere_scores`, which refine superpositions and take one chain (bounded by its residues) at a time.
+but for `gdt`, which refines superpositions and takes one chain's points of a slot (bounded by its residues) at a time.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .geometry import AXES
+from .geometry import AXES, rmsd_of
 
 #: Slots of the backbone atoms in a residue.
 N_SLOT, CA_SLOT, C_SLOT, O_SLOT = 0, 1, 2, 3
@@ -93,13 +93,13 @@ def ramachandran(atoms: DataFrame, key: str) -> DataFrame:
     return atoms.select(key).distinct().join(sums, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def dipdiff(pred: DataFrame, true: DataFrame, key: str, slots: tuple[int, ...] = (CA_SLOT, O_SLOT), limits: tuple[float, ...] = (0.25, 0.5, 1.0, 2.0)) -> DataFrame:
+def dipdiff(pred: DataFrame, true: DataFrame, key: str, slots: tuple[int, ...] = (CA_SLOT, O_SLOT), limits: tuple[float, ...] = (0.25, 0.5, 1.0, 2.0), lengths: DataFrame | None = None) -> DataFrame:
     """key, dipdiff: mean over residues of the share of pairs of their and their neighbours' atoms whose distance is kept within limits (strictly).
 
-    Windows of fewer than two atoms are left out; chains without windows score 1.
+    Windows of fewer than two atoms are left out; chains without windows score 1. lengths: key, n_res; else a chain ends with its last atom.
     """
     own = both_atoms(pred, true, key).where(F.col("slot").isin(*slots))
-    last = true.groupBy(key).agg(F.max("res").alias("last"))
+    last = true.groupBy(key).agg(F.max("res").alias("last")) if lengths is None else lengths.select(key, (F.col("n_res") - 1).alias("last"))
     seen = own.join(last, key).select(key, F.explode(F.sequence(F.greatest(F.lit(0), F.col("res") - 1), F.least(F.col("res") + 1, F.col("last")))).alias("at"), "res", "slot", "p", "t")
     a, b = seen, seen.select(key, "at", *(F.col(c).alias(f"{c}2") for c in ("res", "slot", "p", "t")))  # six atoms of a window at most
     pairs = a.join(b, [key, "at"]).where("struct(res, slot) < struct(res2, slot2)")
@@ -137,35 +137,61 @@ def clash_score(atoms: DataFrame, key: str, overlap: float = 0.4, widest: float
     return both.select(key, "n_clashes", (1 / (1 + 10.0 * F.col("n_clashes") / F.col("n"))).alias("clash"))
 
 
-def superposed(p: np.ndarray, t: np.ndarray, on: np.ndarray) -> np.ndarray:
-    """p turned and shifted so that its points `on` lie nearest to those of t."""
-    cp, ct = p[on].mean(0), t[on].mean(0)
-    u, _, v = np.linalg.svd((p[on] - cp).T @ (t[on] - ct))
-    u[:, -1] *= np.sign(np.linalg.det(u @ v)) or 1.0
-    return (p - cp) @ u @ v + ct
+def apart(a: Column, b: Column) -> Column:
+    """Distance of two places (arrays of three)."""
+    return F.sqrt(sum((F.pow(F.get(a, F.lit(i)) - F.get(b, F.lit(i)), F.lit(2)) for i in (1, 2)), F.pow(F.get(a, F.lit(0)) - F.get(b, F.lit(0)), F.lit(2))))
 
 
-def _within(p: np.ndarray, t: np.ndarray, limit: float, most_seeds: int = 48, rounds: int = 8) -> float:
-    """Largest share of points that one superposition brings within limit: seeds are all points and windows of 3, 5 and 9, refined."""
-    n = len(p)
-    if n < 3:
-        return 0.0
-    best = 0
-    seeds = [np.arange(n)]
+def near_pairs(atoms: DataFrame, key: str, place: str, limit: float) -> DataFrame:
+    """Ordered pairs of different atoms (key, id and others) whose `place` (x, y, z) is within limit: a's columns, b's with `2` after them, and d.
+
+    An atom meets those of the 27 cells around it.
+    """
+    cells = [F.floor(F.get(place, F.lit(i)) / limit).alias(f"_c{i}") for i in range(3)]
+    own = atoms.select("*", *cells)
+    steps = F.array(*(F.array(*(F.lit(s) for s in (i, j, k))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
+    far = own.select(key, *(F.col(c).alias(f"{c}2") for c in atoms.columns if c != key), *(f"_c{i}" for i in range(3)), F.explode(steps).alias("_s"))
+    far = far.select(key, *(f"{c}2" for c in atoms.columns if c != key), *((F.col(f"_c{i}") + F.get("_s", F.lit(i))).alias(f"_c{i}") for i in range(3)))
+    met = own.join(far, [key, "_c0", "_c1", "_c2"]).where("id <> id2").withColumn("d", apart(F.col(place), F.col(f"{place}2")))
+    return met.where(F.col("d") <= limit).drop("_c0", "_c1", "_c2")
+
+
+def _seeds(n: int, most: int = 48) -> np.ndarray:
+    """A row of flags for each start: all points, then windows of 3, 5 and 9."""
+    rows = [np.ones((1, n), bool)]
     for width in (3, 5, 9):
         if n >= width:
-            seeds += [np.arange(s, s + width) for s in range(0, n - width + 1, max(1, (n - width) // most_seeds))]
-    for on in seeds:
-        for _ in range(rounds):
-            near = np.flatnonzero(np.linalg.norm(superposed(p, t, on) - t, axis=1) <= limit)
-            best_here = len(near)
-            if best_here < 3 or np.array_equal(near, on):
+            begins = np.arange(0, n - width + 1, max(1, (n - width) // most))
+            rows.append((np.arange(n) >= begins[:, None]) & (np.arange(n) < begins[:, None] + width))
+    return np.concatenate(rows)
+
+
+def within(p: np.ndarray, t: np.ndarray, limits: tuple[float, ...], rounds: int = 8) -> list[int]:
+    """For each limit, how many points one superposition brings within it at most.
+
+    All starts are superposed in one go, on the points that they hold; those then within the limit are what the next round superposes, until they stay the same or are fewer than three.
+    """
+    n = len(p)
+    if n < 3:
+        return [0] * len(limits)
+    p, t = p - p.mean(0), t - t.mean(0)
+    outer, out = np.concatenate([(p[:, :, None] * t[:, None, :]).reshape(n, 9), p, t], 1), []
+    for limit in limits:
+        on, best = _seeds(n), 0
+        for turn in range(rounds):
+            sums, m = on @ outer, on.sum(1)[:, None]
+            cp, ct = sums[:, 9:12] / m, sums[:, 12:] / m
+            u, _, v = np.linalg.svd((sums[:, :9] - m * (cp[:, :, None] * ct[:, None, :]).reshape(-1, 9)).reshape(-1, 3, 3))
+            u[np.linalg.det(u @ v) < 0, :, -1] *= -1
+            near = np.linalg.norm((p - cp[:, None]) @ (u @ v) + ct[:, None] - t, axis=2) <= limit
+            count = near.sum(1)
+            ended = (count < 3) | (near == on).all(1) | (turn == rounds - 1)
+            best = max(best, int(count[ended].max(initial=0)))
+            on = near[~ended]
+            if not len(on) or best == n:
                 break
-            on = near
-        best = max(best, best_here)
-        if best == n:
-            break
-    return best / n
+        out.append(best)
+    return out
 
 
 def gdt(pred: DataFrame, true: DataFrame, key: str, limits: tuple[float, ...] = (0.5, 1.0, 2.0, 4.0), slot: int = CA_SLOT) -> DataFrame:
@@ -179,28 +205,26 @@ def gdt(pred: DataFrame, true: DataFrame, key: str, limits: tuple[float, ...] =
     def score(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("res")
         p, t = np.array(x["p"].tolist(), float), np.array(x["t"].tolist(), float)
-        return pd.DataFrame({key: [x[key].iloc[0]], "n": [len(x)], "gdt": [float(np.mean([_within(p, t, z) for z in limits]))]})
+        return pd.DataFrame({key: [x[key].iloc[0]], "n": [len(x)], "gdt": [float(np.mean(within(p, t, limits))) / len(x)]})
 
     found = pts.groupBy(key).applyInPandas(score, f"`{key}` {kind}, n long, gdt double")
     return true.select(key).distinct().join(found, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("gdt", F.lit(0.0)).alias("gdt"))
 
 
-def sphere_scores(pred: DataFrame, true: DataFrame, key: str, radius: float = 6.0, limits: tuple[float, ...] = (2.0, 4.0)) -> DataFrame:
+def spheres(atoms: DataFrame, true_pairs: DataFrame, key: str, radius: float, limits: tuple[float, ...]) -> DataFrame:
     """key, spheres: mean over limits of the share of spheres around CA atoms whose atoms superpose within that root mean square distance.
 
-    Spheres of fewer than three atoms are left out; chains without spheres score 1.
+    The sums that decide a superposition are taken over the pairs, from the sphere's centre, so no sphere is gathered. Those of fewer than three atoms are left out.
     """
-    own = both_atoms(pred, true, key)
-    kind = own.schema[key].dataType.simpleString()
+    own = true_pairs.where((F.col("slot") == CA_SLOT) & (F.col("d") <= radius))
+    away = own.select(key, "id", *((F.get(f"{c}2", F.lit(i)) - F.get(c, F.lit(i))).alias(f"{c}{i}") for c in "pt" for i in range(3)))
+    zero = atoms.where(F.col("slot") == CA_SLOT).select(key, "id", *(F.lit(0.0).alias(f"{c}{i}") for c in "pt" for i in range(3)))
+    each = rmsd_of(away.unionByName(zero), [key, "id"], [f"p{i}" for i in range(3)], [f"t{i}" for i in range(3)]).where("n >= 3")
+    share = reduce(lambda a, b: a + b, (F.avg((F.col("rmsd") <= x).cast("double")) for x in limits)) / len(limits)
+    return each.groupBy(key).agg(share.alias("spheres"))
 
-    def score(x: pd.DataFrame) -> pd.DataFrame:
-        p, t = np.array(x["p"].tolist(), float), np.array(x["t"].tolist(), float)
-        out = []
-        for c in t[x["slot"].to_numpy() == CA_SLOT]:
-            on = np.flatnonzero(np.linalg.norm(t - c, axis=1) <= radius)
-            if len(on) >= 3:
-                out.append(np.sqrt(((superposed(p[on], t[on], np.arange(len(on))) - t[on]) ** 2).sum(1).mean()))
-        value = float(np.mean([[o <= z for o in out] for z in limits])) if out else 1.0
-        return pd.DataFrame({key: [x[key].iloc[0]], "spheres": [value]})
-
-    return with_all(true, own.groupBy(key).applyInPandas(score, f"`{key}` {kind}, spheres double"), key, "spheres", 1.0)
+
+def sphere_scores(pred: DataFrame, true: DataFrame, key: str, radius: float = 6.0, limits: tuple[float, ...] = (2.0, 4.0)) -> DataFrame:
+    """key and spheres of all chains of true; chains without spheres score 1."""
+    atoms = both_atoms(pred, true, key).withColumn("id", F.struct("res", "slot"))
+    return with_all(true, spheres(atoms, near_pairs(atoms, key, "t", radius), key, radius, limits), key, "spheres", 1.0)
