@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import residues
+from ..operators import aligner, composite
 from ..operators import structures as S
 from ..sources.places import new_folder
 from .catalogue import query
+from .curation import _dihedral_sql
 
 #: Residues of the chains that are made; the third is not among the twenty.
 _NAMES = ["ALA", "GLY", "MSE", "SER", "TRP", "VAL", "LYS", "ASP"]
@@ -64,3 +67,63 @@ def structure_chains(t):
     own = known.where("chain = 'A'").select(*S.ENTRY, F.when(part == 0, "A").otherwise("Q").alias("chain"),
         F.when(part == 1, "WVKSG").when(part == 2, F.concat("sequence", F.lit("Y"))).when(part == 3, "YYYYYYY").alias("expected"))
     return S.resolved(own, known).select(_vec(), "chain", "found", "sequence", "fault")
+
+
+@query("""WITH RECURSIVE s AS (SELECT p_partkey, p_name AS q, p_type AS t FROM part),
+r AS (SELECT p_partkey, q, t, 0 AS i, list_transform(range(0, len(t) + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE -3 - j END) AS h, list_transform(range(0, len(t) + 1), lambda j: -1000000) AS x FROM s
+UNION ALL
+SELECT p_partkey, q, t, i + 1, list_transform(range(1, len(t) + 2), lambda j: greatest(g[j], coalesce(list_max(list_transform(range(1, j), lambda k: g[k] - 3 - (j - k))), -1000000))), x
+FROM (SELECT *, list_transform(range(1, len(t) + 2), lambda j: greatest(x[j], CASE WHEN j > 1 THEN h0[j - 1] + CASE WHEN substr(q, i + 1, 1) = substr(t, j - 1, 1) THEN 2 ELSE -1 END ELSE -1000000 END)) AS g
+  FROM (SELECT p_partkey, q, t, i, h AS h0, list_transform(range(1, len(t) + 2), lambda j: greatest(h[j] - 4, x[j] - 1)) AS x FROM r WHERE i < len(q))))
+SELECT p_partkey, h[len(t) + 1] AS score, h[len(t) + 1] AS counted FROM r WHERE i = len(q)""")
+def global_alignment(t):
+    own = t("part").select("p_partkey", "p_name", "p_type").withColumn("x", aligner.alignment(F.col("p_name"), F.col("p_type")))
+    return own.select("p_partkey", "x.score", aligner.pairs_score(F.col("p_name"), F.col("p_type"), F.col("x.q"), F.col("x.t")).alias("counted"))
+
+
+def _chains(t):
+    """pred, true and types of chains of four vectors each: 12 residues of 7 slots."""
+    at = F.col("i") * 3
+    value = lambda k: F.get("embedding", k).cast("double")
+    p = t("embeddings").select(F.floor(F.col("vec_id") / 4).alias("chain"), "vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("i"))
+    res = ((F.col("vec_id") % 4) * 3 + F.floor(F.col("i") / 7)).cast("int").alias("res")
+    slot = (F.col("i") % 7).cast("int").alias("slot")
+    true = p.select("chain", res, slot, *((value(at + k) * 20).alias(c) for k, c in enumerate("xyz")))
+    pred = p.select("chain", res, slot, *((value(at + k) * 20 + value((at + k + 7) % 63) * 3).alias(c) for k, c in enumerate("xyz")))
+    types = t("embeddings").select(F.floor(F.col("vec_id") / 4).alias("chain"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: (F.col("vec_id") % 4).cast("int") * 3 + k)).alias("res"))
+    return pred, true, types.withColumn("type", ((F.col("chain") * 3 + F.col("res") * 5) % 21).cast("int"))
+
+
+def _values(rows):
+    return ", ".join("(" + ", ".join(map(str, r)) + ")" for r in rows)
+
+
+_SLOTS = [(residues.IDS[three], k, residues.RADII[a[0]]) for three, atoms in residues.ATOMS.items() for k, a in enumerate(atoms)]
+_LAST = [line.split() for line in residues.CHI.split("\n") if line]
+_CHIS = [(residues.IDS[n], c, *(residues.ATOMS[n].index(a) for a in ["N", "CA", "CB", *last][c - 1 : c + 3]), (n, c) in residues.HALF_TURN, residues.CHI_WEIGHTS[c]) for n, *last in _LAST for c in range(1, len(last) + 1)]
+_FAR = lambda n, a="a", b="b": "sqrt(" + " + ".join(f"({a}.{n}{c} - {b}.{n}{c})**2" for c in "xyz") + ")"
+_CHAIN_SQL = f"""WITH radii(type, slot, radius) AS (VALUES {_values(_SLOTS)}), chis(type, chi, s1, s2, s3, s4, half, weight) AS (VALUES {_values(_CHIS)}),
+p AS (SELECT vec_id // 4 AS chain, ((vec_id % 4) * 3 + i // 7)::INT AS res, (i % 7)::INT AS slot, {", ".join(f"embedding[i * 3 + {k + 1}]::DOUBLE * 20 AS t{c}, embedding[i * 3 + {k + 1}]::DOUBLE * 20 + embedding[(i * 3 + {k + 7}) % 63 + 1]::DOUBLE * 3 AS p{c}" for k, c in enumerate("xyz"))}
+  FROM embeddings, (SELECT unnest(range(0, 21)) AS i)),
+a AS (SELECT p.*, (chain * 3 + res * 5) % 21 AS type, coalesce(radius, 0) AS radius FROM p LEFT JOIN radii r ON r.type = (chain * 3 + res * 5) % 21 AND r.slot = p.slot),
+d AS (SELECT a.chain, a.res, a.slot, b.res AS res2, b.slot AS slot2, a.radius AS r1, b.radius AS r2, {_FAR("t")} AS dt, {_FAR("p")} AS dp, a.type, b.type AS type2 FROM a JOIN a b ON a.chain = b.chain AND (a.res, a.slot) <> (b.res, b.slot)),
+k AS (SELECT *, ((abs(dt - dp) < 0.5)::INT + (abs(dt - dp) < 1)::INT + (abs(dt - dp) < 2)::INT + (abs(dt - dp) < 4)::INT) / 4 AS kept FROM d WHERE dt < 15 AND res <> res2),
+l AS (SELECT chain, {", ".join(f"sum(kept) FILTER ({c}) / (count(*) FILTER ({c}) + 1e-8) AS {n}" for n, c in (("ca", "slot = 1 AND slot2 = 1"), ("bb", "slot < 4 AND slot2 < 4"), ("al", "true")))} FROM k GROUP BY chain, res, slot),
+m AS (SELECT chain, avg(ca) AS lddt_ca, avg(bb) AS lddt_backbone, avg(al) AS lddt_all FROM l GROUP BY 1),
+c AS (SELECT chain, res, res2, count(*) FILTER (dp < 5) / 49 AS cp, count(*) FILTER (dt < 5) / 49 AS ct FROM d WHERE res <> res2 GROUP BY 1, 2, 3),
+n AS (SELECT chain, greatest(0, 1 - sum(abs(cp - ct)) / sum(greatest(cp, ct))) AS cad FROM c GROUP BY 1),
+h AS (SELECT chain, count(*) FILTER (res2 - res > 1 AND r1 > 0 AND r2 > 0 AND r1 + r2 - dp > 0.4) AS hits FROM d GROUP BY 1),
+rep AS (SELECT chain, res, CASE WHEN type IN (7, 20) THEN 1 ELSE 4 END AS slot FROM a WHERE slot = 0),
+w AS (SELECT r.chain, r.res, 0.25 + 0.75 * least(1, count(s.res) / 20) AS burial FROM rep r LEFT JOIN d ON d.chain = r.chain AND d.res = r.res AND d.slot = r.slot AND dt <= 10
+  LEFT JOIN rep s ON s.chain = d.chain AND s.res = d.res2 AND s.slot = d.slot2 GROUP BY 1, 2),
+f AS (SELECT v1.chain, v1.res, half, weight, {", ".join(f"v{k}.{n}{c} AS {n}{c}{k}" for k in range(1, 5) for n in "pt" for c in "xyz")} FROM chis {" ".join(f"JOIN a v{k} ON v{k}.type = chis.type AND v{k}.slot = s{k}" + (f" AND v{k}.chain = v1.chain AND v{k}.res = v1.res" if k > 1 else "") for k in range(1, 5))}),
+g AS (SELECT chain, res, half, weight, {_dihedral_sql("p", *(("", k) for k in range(1, 5)))} AS p, {_dihedral_sql("t", *(("", k) for k in range(1, 5)))} AS t FROM f),
+e AS (SELECT *, least(abs(p - t), 360 - abs(p - t)) AS off FROM g),
+x AS (SELECT e.chain, sum(weight * burial * CASE WHEN half THEN least(off, 180 - off) ELSE off END / 180) / sum(weight * burial) AS err FROM e JOIN w ON w.chain = e.chain AND w.res = e.res GROUP BY 1)
+SELECT m.chain, round(lddt_ca, 5) AS lddt_ca, round(lddt_backbone, 5) AS lddt_backbone, round(lddt_all, 5) AS lddt_all, round(cad, 5) AS cad, round(1 - err, 5) AS sidechain, round(1 / (1 + 10 * hits / 84), 5) AS clash FROM m JOIN n USING (chain) JOIN h USING (chain) JOIN x USING (chain)"""
+
+
+@query(_CHAIN_SQL)
+def chain_components(t):
+    out = composite.components(*_chains(t), "chain")
+    return out.select("chain", *(F.round(c, 5).alias(c) for c in ("lddt_ca", "lddt_backbone", "lddt_all", "cad", "sidechain", "clash")))
