@@ -123,3 +123,31 @@ def file_fault_lists(t):
     path = F.concat(F.when(k % 4 == 0, "private/").otherwise("public/"), k.cast("string"), F.when(k % 3 == 0, ".PT").otherwise(".py"))
     faults = reports.file_faults(path, F.col("p_size").cast("long") * (1 << 19), ("private/",))
     return t("part").select("p_partkey", F.array_join(faults, ",").alias("faults"))
+
+
+_JSON_SQL = """WITH w AS (SELECT p_partkey, ['helix', 'plain', 'all-Alpha', 'beta barrel', 'x'][(p_partkey % 5 + 1)::INT] AS a, ['strand', 'CATH 3.10', 'beta', 'word', 'scop'][(p_size % 5 + 1)::INT] AS b FROM part WHERE p_partkey % 7 <> 3),
+c AS (SELECT *, lower(a || ' ' || b) AS t FROM w),
+k AS (SELECT p_partkey, unnest([CASE WHEN contains(t, 'cath') THEN 'cath_annotated' END, CASE WHEN contains(t, 'scop') THEN 'scope_annotated' END,
+  CASE WHEN contains(t, 'alpha') AND contains(t, 'beta') THEN 'alpha_beta' WHEN contains(t, 'helix') OR contains(t, 'alpha') THEN 'alpha' WHEN contains(t, 'sheet') OR contains(t, 'strand') OR contains(t, 'beta') THEN 'beta' END]) AS class FROM c)
+SELECT 'p' || p_partkey AS chain, array_to_string(list_sort(list(class)), ',') AS classes FROM k WHERE class IS NOT NULL GROUP BY 1"""
+
+
+def _json_lines(t):
+    word = lambda words, at: F.get(F.array(*map(F.lit, words)), at.cast("int"))
+    k = F.col("p_partkey")
+    a = F.struct(F.array(F.struct(word(["helix", "plain", "all-Alpha", "beta barrel", "x"], k % 5).alias("method"), F.lit(1).alias("n"))).alias("exptl"))
+    b = F.array(F.array(word(["strand", "CATH 3.10", "beta", "word", "scop"], F.col("p_size") % 5)), F.array(F.lit('quote " and \\\\ bar')))
+    line = F.to_json(F.struct(F.concat(F.lit("p"), k.cast("string")).alias("chain_id"), a.alias("entry"), b.alias("alpha beta names are no values")))
+    return t("part").select(F.when(k % 7 == 3, F.substr(line, F.lit(1), F.length(line) - 2)).otherwise(line).alias("value"))
+
+
+@query(_JSON_SQL)
+def keyword_annotations(t):
+    own = text.annotated(text.keyword_classes(_json_lines(t)))
+    return own.select("chain", F.array_join("classes", ",").alias("classes"))
+
+
+@query("SELECT 'p' || p_partkey AS chain, ['helix', 'plain', 'all-Alpha', 'beta barrel', 'x'][(p_partkey % 5 + 1)::INT] AS method, NULL::VARCHAR AS missing FROM part WHERE p_partkey % 7 <> 3")
+def nested_values(t):
+    v = _json_lines(t).select(F.expr("try_parse_json(value)").alias("v")).where("v IS NOT NULL")
+    return v.select(text.plucked(F.col("v"), "chain_id").alias("chain"), text.plucked(F.col("v"), "entry", "exptl", "method").alias("method"), text.plucked(F.col("v"), "entry", "no", "such").alias("missing"))

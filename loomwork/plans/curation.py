@@ -91,7 +91,7 @@ def class_normalised(t):
 
 
 @query("""WITH f AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS h, CASE WHEN l_linenumber < 7 THEN l_tax * 10 END AS b FROM lineitem)
-SELECT l_orderkey, l_linenumber, CASE WHEN b IS NULL THEN NULL WHEN h >= 0.4 AND b < 0.2 THEN 'alpha' WHEN b >= 0.3 AND h < 0.2 THEN 'beta' WHEN h >= 0.2 AND b >= 0.15 THEN 'alpha_beta'
+SELECT l_orderkey, l_linenumber, CASE WHEN b IS NULL THEN 'unknown' WHEN h >= 0.4 AND b < 0.2 THEN 'alpha' WHEN b >= 0.3 AND h < 0.2 THEN 'beta' WHEN h >= 0.2 AND b >= 0.15 THEN 'alpha_beta'
   WHEN 1 - h - b >= 0.7 THEN 'coil_or_sparse' ELSE 'mixed_low_confidence' END AS class FROM f""")
 def class_by_shares(t):
     li = t("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10).alias("h"), F.when(F.col("l_linenumber") < 7, F.col("l_tax") * 10).alias("b"))

@@ -69,13 +69,62 @@ def ecod_classes(lines: DataFrame) -> DataFrame:
 
 
 def annotated(*lists: DataFrame) -> DataFrame:
-    """chain and classes, distinct and sorted, over all lists; classes are few."""
+    """chain and classes, distinct and sorted, over all lists; blank and unknown classes and missing chains are left out."""
     every = lists[0]
     for more in lists[1:]:
         every = every.unionByName(more)
+    every = every.withColumn("class", F.trim("class")).where("chain IS NOT NULL AND class <> '' AND class <> 'unknown'")
     return every.groupBy("chain").agg(F.sort_array(F.collect_set("class")).alias("classes"))
 
 
+def chosen_architecture(chains: DataFrame, sources: dict[str, DataFrame], fallback: str) -> DataFrame:
+    """chains (chain and others) with architecture and source: from the first source, in order, whose first class by name is usable, else from the column `fallback`.
+
+    sources: chain and class of each list. Of a source only the first class counts: if that says no more than that there is an annotation, the next source is asked.
+    """
+    out = chains
+    picks = []
+    for k, (name, rows) in enumerate(sources.items()):
+        first = annotated(rows).select("chain", F.get("classes", F.lit(0)).alias(f"_{k}"))
+        out = out.join(first, "chain", "left")
+        value = C.architecture_of(F.col(f"_{k}"))
+        picks.append(F.when(~value.isin("unknown", "cath_annotated", "scope_annotated"), F.struct(value.alias("architecture"), F.lit(name).alias("source"))))
+    last = F.struct(C.architecture_of(F.col(fallback)).alias("architecture"), F.lit("fallback").alias("source"))
+    return out.withColumn("_x", F.coalesce(*picks, last)).select(*chains.columns, "_x.*")
+
+
+def keyword_classes(lines: DataFrame) -> DataFrame:
+    """chain and class of JSON objects, one to a line (value), by the words in all their values at any depth; what is no object with a chain_id is left out;
+    text after an object is not looked at.
+
+    A line may give several classes: that it names a list, and one of structure.
+    """
+    own = lines.select(F.expr("try_parse_json(value)").alias("v")).where("v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'")
+    named = own.select(F.trim(F.expr("try_variant_get(v, '$.chain_id', 'string')")).alias("chain"), F.lower(F.array_join(leaves(F.col("v")), " ")).alias("words")).where("chain <> ''")
+    has = lambda *words: F.col("words").rlike("|".join(words))
+    kind = F.when(has("alpha") & has("beta"), "alpha_beta").when(has("helix", "alpha"), "alpha").when(has("sheet", "strand", "beta"), "beta")
+    found = F.array_compact(F.array(F.when(has("cath"), F.lit("cath_annotated")), F.when(has("scop"), F.lit("scope_annotated")), kind))
+    return named.select("chain", F.explode(found).alias("class"))
+
+
+def leaves(value: Column) -> Column:
+    """All values of a variant that hold no others, in order, as text; names of fields are no values."""
+    # A text token of JSON is a value unless a colon follows it; numbers and words stand outside of texts.
+    tokens = F.regexp_extract_all(F.to_json(value), F.lit(r'("(?:[^"\\]|\\.)*"(?:\s*:)?|[^\s{}\[\],:"]+)'), F.lit(1))
+    return F.transform(F.filter(tokens, lambda t: ~t.endswith(":")), lambda t: F.coalesce(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")[0], F.lit("None")))
+
+
+def plucked(value: Column, *path: str) -> Column:
+    """The text at a path of fields of a variant; of a list on the way, or at the end, the first item. Null where a field is missing."""
+    here = value
+    item = lambda v: F.schema_of_variant(v).startswith("ARRAY")
+    for name in path:
+        here = F.when(item(here), F.try_variant_get(here, "$[0]", "variant")).otherwise(here)
+        here = F.try_variant_get(here, f"$.{name}", "variant")
+    here = F.when(item(here), F.try_variant_get(here, "$[0]", "variant")).otherwise(here)
+    return F.try_variant_get(here, "$", "string")
+
+
 def write_fasta(rows: DataFrame, path: str) -> None:
     """Write id and sequence as FASTA records, sorted by id over all files."""
     rows.orderBy("id").select(F.concat(F.lit(">"), "id", F.lit("\n"), "sequence").alias("value")).write.mode("errorifexists").text(path)
