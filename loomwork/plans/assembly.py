@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classes as C
+from ..operators import digests, ordering
 from ..operators import records as A
+from ..sources.places import new_folder
 from ..sources import hits, reports, text
 from .catalogue import query, r6
 
@@ -151,3 +153,36 @@ def keyword_annotations(t):
 def nested_values(t):
     v = _json_lines(t).select(F.expr("try_parse_json(value)").alias("v")).where("v IS NOT NULL")
     return v.select(text.plucked(F.col("v"), "chain_id").alias("chain"), text.plucked(F.col("v"), "entry", "exptl", "method").alias("method"), text.plucked(F.col("v"), "entry", "no", "such").alias("missing"))
+
+
+_FIELDS = ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]
+_ROW_SQL = "sha256(array_to_string([" + ", ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in ("k", "c_name", "c_mktsegment")) + "], ','))"
+_TREE_SQL = """WITH l AS (SELECT substr(r, 1, 2) AS prefix, count(*) AS n, sha256(string_agg(r || chr(9) || 1 || chr(10), '' ORDER BY r)) AS digest FROM d GROUP BY 1),
+m AS (SELECT substr(prefix, 1, 1) AS prefix, sum(n)::BIGINT AS n, sha256(string_agg(prefix || chr(9) || digest || chr(10), '' ORDER BY prefix)) AS digest FROM l GROUP BY 1),
+o AS (SELECT '' AS prefix, sum(n)::BIGINT AS n, sha256(string_agg(prefix || chr(9) || digest || chr(10), '' ORDER BY prefix)) AS digest FROM m)"""
+
+
+def _customers(t):
+    return t("customer").select(F.col("c_custkey").cast("string").alias("k"), "c_name", "c_mktsegment")
+
+
+@query(f"WITH d AS (SELECT {_ROW_SQL} AS r FROM (SELECT c_custkey::VARCHAR AS k, c_name, c_mktsegment FROM customer)), {_TREE_SQL[5:]} SELECT * FROM l UNION ALL SELECT * FROM m UNION ALL SELECT * FROM o")
+def tree_digest(t):
+    return digests.tree(digests.buckets(_customers(t), ["k", "c_name", "c_mktsegment"], digits=2), digits=2)
+
+
+@query("""WITH a AS (SELECT c_custkey::VARCHAR AS k, c_name FROM customer WHERE c_custkey % 50 <> 7), b AS (SELECT c_custkey::VARCHAR AS k, CASE WHEN c_custkey % 40 = 3 THEN NULL ELSE c_name END AS c_name FROM customer)
+SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN b.c_name ELSE a.c_name END AS c_name, (a.k IS NOT NULL)::BIGINT AS n_a, (b.k IS NOT NULL)::BIGINT AS n_b
+FROM a FULL JOIN b ON a.k = b.k AND a.c_name IS NOT DISTINCT FROM b.c_name WHERE a.k IS NULL OR b.k IS NULL""")
+def changed_rows_located(t):
+    c = t("customer").select("c_custkey", F.col("c_custkey").cast("string").alias("k"), "c_name")
+    b = c.select("k", F.when(F.col("c_custkey") % 40 != 3, F.col("c_name")).alias("c_name"))
+    return digests.changed_rows(c.where("c_custkey % 50 <> 7").select("k", "c_name"), b, ["k", "c_name"], 3)
+
+
+@query("SELECT 'file' AS kind, row_number() OVER (ORDER BY c_custkey) - 1 AS line, c_name AS value FROM customer")
+def lines_numbered(t):
+    names = t("customer").select("c_custkey", "c_name").coalesce(1).sortWithinPartitions("c_custkey").select("c_name")
+    path = new_folder(names.sparkSession, "names")
+    names.write.text(path)
+    return ordering.numbered_lines(names.sparkSession, path).select(F.lit("file").alias("kind"), "line", "value")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..operators import arrays, curves, relational as R
+from ..operators import arrays, curves, ordering, relational as R
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -76,12 +76,7 @@ def leaderboard_upsert(t):
 
 @query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id FROM documents")
 def manifest_scan_ordered(t):
-    d = t("documents").select("doc_id")
-    bucket = d.withColumn("b", F.floor(F.col("doc_id") / 4096))
-    sizes = bucket.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("at", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("b").orderBy("doc_id"))
-    return bucket.withColumn("i", place).join(before, "b").select((F.col("at") + F.col("i") - 1).alias("pos"), "doc_id")
+    return ordering.placed(t("documents").select("doc_id"), [F.col("doc_id")]).select("pos", "doc_id")
 
 
 @query("SELECT c_custkey, 'chain_' || lower(hex(encode(c_name))) AS stem, c_name AS back FROM customer")
@@ -426,7 +421,7 @@ def l2_normalise(t):
 @query("SELECT user_id, n, ntile(10) OVER (ORDER BY n, user_id) AS decile FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)")
 def density_decile(t):
     e = t("events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return e.withColumn("decile", F.ntile(10).over(Window.orderBy("n", "user_id")))
+    return ordering.tiled(e, [F.col("n"), F.col("user_id")], 10, "decile")
 
 
 @query("SELECT text_n AS n_copies, count(*) AS n_texts, sum(labelled) AS labelled FROM (SELECT text, count(*) AS text_n, count(l.doc_id) AS labelled FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY text) GROUP BY 1")
