@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classes as C
-from ..operators import digests, ordering
+from ..operators import digests, ordering, validation
 from ..operators import records as A
 from ..sources.places import new_folder
 from ..sources import hits, reports, text
@@ -186,3 +186,23 @@ def lines_numbered(t):
     path = new_folder(names.sparkSession, "names")
     names.write.text(path)
     return ordering.numbered_lines(names.sparkSession, path).select(F.lit("file").alias("kind"), "line", "value")
+
+
+@query("""WITH v AS (SELECT vec_id, vec_id % 11 AS k, 4 + vec_id % 5 AS l FROM embeddings),
+m AS (SELECT vec_id, list_filter([
+  CASE WHEN k = 1 THEN 'Missing key `aatype`' END, CASE WHEN k IN (1, 2) THEN 'Missing key `template_ca_mask`' END,
+  CASE WHEN k = 3 THEN '`aatype` dtype must be int32/int64 (got float32)' END, CASE WHEN k = 4 THEN '`template_ca_mask` dtype must be bool (got int32)' END,
+  CASE WHEN k = 5 THEN '`aatype` must have shape (L), got (' || l || ', 2)' END,
+  CASE WHEN k = 6 THEN '`msa` must have shape (N, L), got (' || l || ')' END, CASE WHEN k = 7 THEN '`msa` dimension 2 must equal L=' || l || ', got ' || (l + 1) END,
+  CASE WHEN k = 8 THEN '`deletions` dimension 1 must equal N=3, got 2' END, CASE WHEN k = 9 THEN '`template_ca_coords` must have shape (T, L, 3), got (2, ' || l || ', 4)' END], lambda x: x IS NOT NULL) AS faults FROM v)
+SELECT vec_id, array_to_string(faults, '; ') AS faults FROM m""")
+def records_validated(t):
+    k, n = F.col("vec_id") % 11, (F.col("vec_id") % 5 + 4).cast("int")
+    array = lambda name, kind, *dims: F.struct(F.lit(name).alias("key"), kind.alias("kind"), F.array(*dims).alias("shape"))
+    i, f, b = F.lit("int32"), F.lit("float32"), F.lit("bool")
+    aatype = F.when(k == 5, array("aatype", i, n, F.lit(2))).when(k != 1, array("aatype", F.when(k == 3, f).otherwise(i), n))
+    msa = F.when(k == 6, array("msa", i, n)).otherwise(array("msa", i, F.lit(3), F.when(k == 7, n + 1).otherwise(n)))
+    every = F.array(aatype, msa, array("deletions", i, F.when(k == 8, 2).otherwise(3), n), array("template_aatype", i, F.lit(2), n), array("template_ca_coords", f, F.lit(2), n, F.when(k == 9, 4).otherwise(3)),
+                    F.when(~k.isin(1, 2), array("template_ca_mask", F.when(k == 4, i).otherwise(b), F.lit(2), n)))
+    rows = t("embeddings").select("vec_id", F.explode(F.array_compact(every)).alias("x")).select("vec_id", "x.*")
+    return validation.validated(validation.gathered(rows, "vec_id"), validation.FEATURES).select("vec_id", F.array_join("faults", "; ").alias("faults"))
