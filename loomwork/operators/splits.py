@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import salted_score
+from ..sources.places import stored
 from .relational import allocate, counts_by_field, divergence
 
 
@@ -44,8 +45,8 @@ def sequential(pool: DataFrame, strata: str, key: str, sizes: list[tuple[str, in
         raise ValueError(f"{sum(s for _, s in sizes)} rows are needed, the pool has {n}")
     left, out = pool, None
     for name, size in sizes:
-        own = drawn(left, strata, key, size, f"{salt}:{name}").withColumn("split", F.lit(name))
-        left = left.join(own.select(key), key, "left_anti")
+        own = stored(drawn(left, strata, key, size, f"{salt}:{name}").withColumn("split", F.lit(name)), "drawn")
+        left = stored(left.join(own.select(key), key, "left_anti"), "left")  # else each draw's plan would hold those of all before
         out = own if out is None else out.unionByName(own)
     return out
 

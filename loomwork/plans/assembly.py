@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classes as C
-from ..operators import digests, ordering, validation
+from ..operators import digests, ordering, projections, validation
 from ..operators import records as A
 from ..sources.places import new_folder
-from ..sources import hits, reports, text
+from ..sources import hits, reports, steps, text
 from .catalogue import query, r6
 
 SALT = "third-salt-of-thirty-two-characters-or-so"
@@ -206,3 +206,37 @@ def records_validated(t):
                     F.when(~k.isin(1, 2), array("template_ca_mask", F.when(k == 4, i).otherwise(b), F.lit(2), n)))
     rows = t("embeddings").select("vec_id", F.explode(F.array_compact(every)).alias("x")).select("vec_id", "x.*")
     return validation.validated(validation.gathered(rows, "vec_id"), validation.FEATURES).select("vec_id", F.array_join("faults", "; ").alias("faults"))
+
+
+@query("""WITH v AS (SELECT l_returnflag AS k, CASE WHEN l_linenumber < 7 THEN l_extendedprice END AS v FROM lineitem),
+s AS (SELECT k, count(v) AS n, count(*) - count(v) AS n_missing, quantile_cont(v, [0.0, 0.05, 0.5, 0.95, 1.0]) AS q FROM v GROUP BY 1)
+SELECT k, n, n_missing, unnest([0.0, 0.05, 0.5, 0.95, 1.0])::DOUBLE AS share, round(unnest(q), 6) AS quantile FROM s""")
+def exact_quantiles(t):
+    v = t("lineitem").select(F.col("l_returnflag").alias("k"), F.when(F.col("l_linenumber") < 7, F.col("l_extendedprice")).alias("v"))
+    return projections.quantiles(v, "k", "v", [0.0, 0.05, 0.5, 0.95, 1.0]).withColumn("quantile", r6(F.col("quantile")))
+
+
+@query("""WITH h AS (SELECT DISTINCT sha256(p_type) AS d FROM part WHERE p_size < 5), m AS (SELECT p_brand AS split, p_retailprice AS v, sha256(p_type) IN (SELECT d FROM h) AS hidden FROM part),
+s AS (SELECT split AS set, v FROM m UNION ALL SELECT CASE WHEN hidden THEN 'hidden_val' ELSE 'non_train_source_pool' END, v FROM m WHERE hidden OR split <> 'Brand#1')
+SELECT set, count(*) AS n, round(quantile_cont(v, 0.5), 6) AS quantile FROM s GROUP BY 1""")
+def hidden_overlay_quantiles(t):
+    p = t("part").select(F.col("p_brand").alias("split"), F.col("p_retailprice").alias("v"), F.sha2("p_type", 256).alias("digest"), "p_size")
+    sets = projections.in_sets(projections.overlaid(p, "digest", p.where("p_size < 5")), "split", train="Brand#1")
+    return projections.quantiles(sets, "set", "v", [0.5]).select("set", "n", r6(F.col("quantile")).alias("quantile"))
+
+
+@query(None)
+def principal_plane(t):
+    return projections.projected(t("embeddings"), "embedding", ["x", "y"], 64).select("vec_id", "x", "y")
+
+
+@query("""SELECT o_orderkey, o_totalprice, (o_orderkey % 5)::BIGINT AS step FROM orders WHERE o_orderkey % 5 <= 3""")
+def resumed_steps(t):
+    own = t("orders").select("o_orderkey", "o_totalprice")
+    spark, folder = own.sparkSession, new_folder(own.sparkSession, "steps")
+    for step in (0, 1, 2, 4):
+        steps.append(own.where(F.col("o_orderkey") % 5 == step), folder, step)
+    steps.cut_back(folder, 2)
+    for step in (0, 1, 2, 3):  # taken up again: what is there is not written twice
+        steps.append(own.where(F.col("o_orderkey") % 5 == step), folder, step)
+    return steps.read(spark, folder, "o_orderkey long, o_totalprice double")
