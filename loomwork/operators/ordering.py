@@ -50,12 +50,12 @@ def tiled(df: DataFrame, order: list[Column], tiles: int, name: str = "tile") ->
     return own.withColumn(name, (tile + 1).cast("int")).drop("_pos", "_total")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 0 in its file) and value of all lines below path, however the files were split.
+def numbered_lines(spark: SparkSession, path: str, end: str | None = None) -> DataFrame:
+    """file, line (from 0 in its file) and value of all lines below path, however the files were split; end: what ends a line, if no line break does.
 
     A split's lines are read in order; the lines of the splits before it are counted and added. Nothing is sorted.
     """
-    raw = spark.read.option("recursiveFileLookup", "true").text(path)
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, lineSep=end)
     own = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
     own = stored(own, "lines")
     sizes = own.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))

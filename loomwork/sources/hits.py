@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import numbered_lines
+
 #: Rows of a block that hold no sequence.
 NO_SEQUENCE = ("Consensus", "ss_dssp", "ss_pred", "ss_conf")
 
 
 def hit_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """file and value, the text after the `>` of each hit, read in splits; what stands before a file's first hit is left out."""
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.input_file_name().alias("file"), "value")
+    """file, line and value, the text after the `>` of each hit, read in splits; what stands before a file's first hit is left out.
+
+    line rises with a hit's place in its file.
+    """
+    raw = numbered_lines(spark, path, "\n>")
     headed = F.col("value").rlike(r"^(HH|Query |Command |Match_columns|No |\s*$)")
     return raw.where(~headed).withColumn("value", F.regexp_replace("value", "^>", ""))
 
