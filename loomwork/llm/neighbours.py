@@ -58,9 +58,10 @@ def _hashed(vectors: DataFrame, dim: int, longest: float, probes: bool) -> DataF
             if not len(x):
                 continue
             v = np.array(list(x.vec), float)
-            norm = np.sqrt((v * v).sum(1))
-            more = np.zeros(len(v)) if probes else np.sqrt(np.maximum(0, longest**2 - norm**2))
-            unit = np.c_[v / norm[:, None], more] if probes else np.c_[v, more] / longest
+            top = np.abs(v).max(1)  # squares of very large components are beyond a double
+            norm = top * np.sqrt(((v / top[:, None]) ** 2).sum(1))
+            more = np.zeros(len(v)) if probes else np.sqrt(np.maximum(0, 1 - (norm / longest) ** 2))
+            unit = np.c_[v / (norm[:, None] if probes else longest), more]
             for t in range(TABLES):
                 a, b = _projections(dim + 1, t)
                 at = unit @ a + b
@@ -79,15 +80,19 @@ def _best(n: int):
             a, b, ids = np.array(list(q.q_vec), float), np.array(list(v.vec), float), v.id.to_numpy()
             for i0 in range(0, len(a), 256):
                 part = a[i0 : i0 + 256]
-                near = part @ b.T
-                near[q.q_id.to_numpy()[i0 : i0 + 256, None] == ids[None]] = -np.inf
+                with np.errstate(over="ignore", invalid="ignore"):
+                    near = part @ b.T
+                good = (q.q_id.to_numpy()[i0 : i0 + 256, None] != ids[None]) & ~np.isnan(near)
+                near[~good] = -np.inf
                 least = np.partition(near, -n, axis=1)[:, -n] if near.shape[1] > n else np.full(len(part), -np.inf)
                 slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
                 for i in range(len(part)):
-                    at = np.flatnonzero((near[i] >= least[i] - slack[i]) & np.isfinite(near[i]))
+                    at = np.flatnonzero((near[i] >= least[i] - slack[i]) & good[i])
                     s = np.zeros(len(at))
-                    for d in range(b.shape[1]):  # in one order for every pair, so that equal vectors score the same
-                        s += part[i, d] * b[at, d]
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        for d in range(b.shape[1]):  # in one order for every pair, so that equal vectors score the same
+                            s += part[i, d] * b[at, d]
+                    at, s = at[~np.isnan(s)], s[~np.isnan(s)]
                     top = np.lexsort((ids[at], -s))[:n]
                     out.append(pd.DataFrame({"query_id": q.q_id.iat[i0 + i], "vec_id": ids[at[top]], "score": s[top]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
@@ -111,7 +116,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, n: int = 20) -> DataFrame:
 
     Both inputs: id long, vec array<double>. Rows with a null id, a null, empty or zero vec, null or non-finite
     components, or a length other than the commonest take no part; of rows with one id each counts, the best first. A
-    query never finds its own id. Ties go to the smaller id. A query whose cells hold fewer than n others is
+    query never finds its own id, nor a vector with which its product is no number (an infinite sum of both signs); infinite products tie. Ties go to the smaller id. A query whose cells hold fewer than n others is
     compared with all vectors, in blocks.
     """
     whole = F.expr("id IS NOT NULL AND vec IS NOT NULL AND forall(vec, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(vec, x -> x <> 0)")
@@ -121,7 +126,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, n: int = 20) -> DataFrame:
         return vectors.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     dim = common["d"]
     vectors, queries = vectors.where(F.size("vec") == dim), queries.where(whole & (F.size("vec") == dim))
-    longest, n_ids = vectors.agg(F.max(F.sqrt(F.expr("aggregate(vec, 0D, (s, x) -> s + x * x)"))), F.countDistinct("id")).first()
+    top = F.expr("array_max(transform(vec, x -> abs(x)))")
+    length = top * F.sqrt(F.aggregate(F.transform("vec", lambda x: x / top), F.lit(0.0), lambda a, x: a + x * x))
+    longest, n_ids = vectors.agg(F.max(length), F.countDistinct("id")).first()
     found = _matched(_hashed(queries, dim, longest, True), _hashed(vectors, dim, longest, False), n)
     found = written(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
     enough = found.groupBy("query_id").count().where(F.col("count") >= min(n, n_ids - 1)).select("query_id")

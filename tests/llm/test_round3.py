@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from loomwork.llm import binaries, divergence, infill, mixing
+from loomwork.llm import binaries, divergence, infill, mixing, neighbours
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -188,3 +188,23 @@ def test_pipeline_of_nothing(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def plain_nearest(rows, queries, n):
+    out = []
+    for q, a in queries:
+        with np.errstate(over="ignore", invalid="ignore"):
+            scored = [(-float(sum(np.array(a) * np.array(b))), i) for i, b in rows if i != q]
+        out += [(q, k, i, -s) for k, (s, i) in enumerate(sorted(x for x in scored if x[0] == x[0])[:n], 1)]
+    return sorted(out)
+
+
+def test_neighbours_of_very_large_vectors_and_of_none(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(30)] + [(30, [1e200, 0.0, 1e200, 0.0, 0.0, 1.0]), (31, [-1e200, 1.0, 2.0, 0.0, 0.0, 0.0]), (32, [1e200, 0.0, -1e200, 3.0, 0.0, 0.0]), (33, [1e-200] * 6)]
+    odd = [(40, None), (41, [0.0] * 6), (42, [1.0, None] * 3), (43, [float("nan")] + [1.0] * 5), (44, [float("inf")] + [1.0] * 5), (45, [1.0]), (46, [])]
+    df = spark.createDataFrame(rows + odd, "id long, vec array<double>")
+    got = neighbours.nearest(df, df.where("id % 3 = 0 OR id > 29"), 40)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()) == [x[:3] for x in plain_nearest(rows, [r for r in rows if r[0] % 3 == 0 or r[0] > 29], 40)]
+    assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
+    assert neighbours.nearest(df.where("id = 3"), df.where("id = 3")).count() == 0
