@@ -52,5 +52,5 @@ def projection_stats(df: DataFrame, key: str, query: str, other: str) -> DataFra
     share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     n = F.size("p")
     return own.select(
-        key, n.alias("n_pairs"), share(same, n).alias("identity"), share(n, F.length("q")).alias("coverage"), share(n, F.length("t")).alias("aligned_fraction")
+        key, n.alias("n_pairs"), share(same, n).alias("identity"), share(n, F.length("q")).alias("coverage"), share(n, F.greatest(F.length("q"), F.length("t"))).alias("aligned_fraction")
     )

@@ -32,7 +32,11 @@ def distances(pts: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def lddt(pred: DataFrame, true: DataFrame, key: str, cutoff: float, steps: tuple[float, ...]) -> DataFrame:
-    """key, lddt: mean over points of the share of neighbours nearer than cutoff whose distance is kept within steps (strictly)."""
+    """key, lddt: mean over points of the share of neighbours nearer than cutoff whose distance is kept within steps (strictly).
+
+    Points without neighbours are left out; a key none of whose points has one scores 0.
+    """
     both = distances(true, key, "dt").where(F.col("dt") < cutoff).join(distances(pred, key, "dp"), [key, "i", "j"])
     kept = sum(((F.abs(F.col("dt") - F.col("dp")) < s).cast("double") for s in steps[1:]), (F.abs(F.col("dt") - F.col("dp")) < steps[0]).cast("double")) / len(steps)
-    return both.groupBy(key, "i").agg((F.sum(kept) / (F.count(F.lit(1)) + 1e-8)).alias("s")).groupBy(key).agg(F.avg("s").alias("lddt"))
+    found = both.groupBy(key, "i").agg((F.sum(kept) / (F.count(F.lit(1)) + 1e-8)).alias("s")).groupBy(key).agg(F.avg("s").alias("lddt"))
+    return true.select(key).distinct().join(found, key, "left").select(key, F.coalesce("lddt", F.lit(0.0)).alias("lddt"))

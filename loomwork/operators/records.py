@@ -76,9 +76,9 @@ def prune_report(records: DataFrame, expected: DataFrame, key: str) -> DataFrame
 
 
 def split_fingerprint(records: DataFrame, expected: DataFrame, split: str, key: str) -> DataFrame:
-    """split, n (expected keys), n_missing (those without a record) and digest, which any change of the keys that are there changes.
+    """split, n (expected keys), n_missing (those without a record) and a checksum of the keys that are there.
 
-    The digest sums 48 bits of each distinct key's sha256, so it needs no order and no task sees a whole split.
+    The checksum sums 48 bits of each distinct key's sha256: a quick test of keys by chance, not of contents. `digests.split_lock` covers both.
     """
     there = records.select(key).distinct().withColumn("_there", F.lit(True))
     bits = F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 12), 16, 10).cast("decimal(38,0)")

@@ -62,7 +62,7 @@ def allocate(strata: DataFrame, size: int, key: str, n: str = "n", share: str |
 
 
 def stratified_sample(df: DataFrame, strata: str, key: str, size: int, salt: str) -> DataFrame:
-    """size rows of df, dealt over strata as `allocate` does, the first of each by salted hash; with pos from 0."""
+    """size rows of df, dealt over strata as `allocate` does, the first of each by salted hash."""
     sizes = allocate(df.groupBy(strata).agg(F.count(F.lit(1)).alias("n")), size, strata).select(strata, "alloc")
     scored = df.withColumn("score", salted_score(salt, strata, key))
     ranked = scored.withColumn("rn", F.row_number().over(Window.partitionBy(strata).orderBy("score", key)))

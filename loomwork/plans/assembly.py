@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classes as C
-from ..operators import digests, ordering, projections, validation
+from ..operators import candidates, digests, ordering, projections, validation
 from ..operators import records as A
 from ..sources.places import new_folder
 from ..sources import hits, reports, steps, text
@@ -240,3 +240,40 @@ def resumed_steps(t):
     for step in (0, 1, 2, 3):  # taken up again: what is there is not written twice
         steps.append(own.where(F.col("o_orderkey") % 5 == step), folder, step)
     return steps.read(spark, folder, "o_orderkey long, o_totalprice double")
+
+
+_CANDIDATES_SQL = """WITH c AS (SELECT p_partkey, p_partkey % 9 AS k, replace(upper(p_type), ' ', '') AS s, p_size FROM part),
+f AS (SELECT p_partkey, k, s, CASE WHEN k % 3 < 2 THEN p_size ELSE length(s) END AS l, CASE WHEN k % 2 = 0 THEN p_size / 10 ELSE 999 END AS r, CASE WHEN k = 4 THEN 2 ELSE 1 END AS n,
+  length(regexp_replace(s, '[ACDEFGHIKLMNPQRSTVWY]', '', 'g')) / length(s) AS u FROM c)
+SELECT p_partkey, array_to_string(CASE WHEN k = 8 THEN ['bad_metadata'] WHEN k = 7 THEN ['missing_sequence'] ELSE list_filter([CASE WHEN l < 10 THEN 'min_length' END, CASE WHEN l > 40 THEN 'max_length' END,
+  CASE WHEN r <> 999 AND r > 3 THEN 'resolution' END, CASE WHEN n <> 1 THEN 'oligomeric_count' END, CASE WHEN u > 0.1 THEN 'unknown_aa_fraction' END], lambda x: x IS NOT NULL) END, ',') AS faults FROM f"""
+
+
+@query(_CANDIDATES_SQL)
+def candidate_faults(t):
+    k, size = F.col("p_partkey") % 9, F.col("p_size")
+    item = lambda name, value: F.concat(F.lit(f'"{name}": '), value)
+    number = size.cast("string")
+    items = F.array_compact(F.array(
+        F.when(k != 7, item("seq", F.concat(F.lit('" '), F.lower(F.replace("p_type", F.lit(" "), F.lit(""))), F.lit('"')))), item("sequence", F.when(k == 7, "12").otherwise("null")),
+        F.when(k % 3 == 0, item("seq_length", number)).when(k % 3 == 1, item("sequence_length", F.concat(F.lit('"'), number, F.lit('"')))), F.when(k % 2 == 0, item("resolution", (size / 10).cast("string"))),
+        F.when(k == 4, item("num_chains", F.lit('"2"'))),
+    ))
+    meta = F.when(k == 8, "[1]").otherwise(F.concat(F.lit("{"), F.array_join(items, ", "), F.lit("}")))
+    read = candidates.read(t("part").select("p_partkey", meta.alias("meta")), "p_partkey")
+    return read.select("p_partkey", F.array_join(candidates.all_faults(10, 40, 3.0, 0.1), ",").alias("faults"))
+
+
+@query("""WITH o AS (SELECT o_custkey, row_number() OVER w AS i, o_totalprice AS y, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice / 2 ELSE o_totalprice END AS z FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+u AS (UNPIVOT (SELECT o_custkey, i, y AS price, z AS half FROM o) ON price, half INTO NAME component VALUE v),
+a AS (SELECT o_custkey, component, i, v, (v + lag(v) OVER (PARTITION BY o_custkey, component ORDER BY i)) / 2 AS area FROM u)
+SELECT o_custkey, component, count(*) AS n_points, round(CASE WHEN count(*) = 1 THEN any_value(v) ELSE sum(area) / 20 END, 4) AS auc, round(arg_max(v, i), 4) AS final, round(arg_min(v, i), 4) AS at_first FROM a GROUP BY 1, 2""")
+def curve_components(t):
+    from pyspark.sql import Window
+
+    from ..operators import curves
+
+    o = t("orders").withColumn("i", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))
+    rows = o.select("o_custkey", "i", (F.col("i") * 100).alias("step"), F.col("o_totalprice").alias("price"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice") / 2).alias("half"))
+    out = curves.report(rows, "o_custkey", "i", "step", "price", ["half"], 20.0)
+    return out.select("o_custkey", "component", "n_points", F.round("auc", 4).alias("auc"), F.round("final", 4).alias("final"), F.round(F.try_element_at("at_steps", F.lit("100")), 4).alias("at_first"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..operators import arrays, curves, ordering, relational as R
+from ..operators import arrays, candidates, curves, ordering, relational as R
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -223,9 +223,16 @@ def split_divergence(t):
     return R.divergence(d, "split", ["lang", "bin"]).select("split", "field", *(r6(F.col(c)).alias(c) for c in ("jsd", "tvd", "max_dev")))
 
 
-@query("""SELECT left(text, 40) AS prefix, arg_min(doc_id, n_chars * -1000000000 + doc_id) AS rep, count(*) AS n FROM documents GROUP BY 1""")
+@query(f"""WITH d AS (SELECT source, doc_id, CASE WHEN lang = 'fr' THEN 1 ELSE 0 END AS u, CASE WHEN n_chars % 7 = 0 THEN 999 ELSE n_chars % 7 / 2 END AS r, n_chars, CASE WHEN doc_id % 3 > 0 THEN '20' || doc_id % 10 ELSE '' END AS release,
+  substr(sha256('{SALT}:' || doc_id), 1, 16) AS score FROM documents)
+SELECT source, doc_id AS rep FROM d QUALIFY row_number() OVER (PARTITION BY source ORDER BY u, r, n_chars DESC, release, score, doc_id) = 1""")
 def representative_argmin(t):
-    return t("documents").groupBy(F.substring("text", 1, 40).alias("prefix")).agg(F.min_by("doc_id", F.struct(-F.col("n_chars"), F.col("doc_id"))).alias("rep"), F.count(F.lit(1)).alias("n"))
+    k = F.col("doc_id")
+    rows = t("documents").select(
+        "source", "doc_id", F.when(F.col("lang") == "fr", "unknown").otherwise(F.col("lang")).alias("class"), (F.col("n_chars") % 7 / 2).alias("resolution"), F.col("n_chars").alias("length"),
+        F.when(k % 3 > 0, F.concat(F.lit("20"), (k % 10).cast("string"))).alias("release"),
+    )
+    return candidates.representatives(rows, "source", "doc_id", SALT).select("source", F.col("doc_id").alias("rep"))
 
 
 @query("SELECT p_brand, count(*) AS n, round(avg(p_retailprice), 4) AS mean, round(stddev_pop(p_retailprice), 4) AS std, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY 1")
@@ -250,13 +257,12 @@ def equal_class_mean(t):
     return t("part").groupBy("p_brand", "p_size").agg(F.avg("p_retailprice").alias("m")).groupBy("p_brand").agg(F.round(F.avg("m"), 4).alias("mean_of_means"))
 
 
-@query("""
-WITH w AS (SELECT unnest(string_split(text, ' ')[1:8]) AS w, unnest(range(0, least(8, len(string_split(text, ' '))))) AS i, lang FROM documents)
-SELECT lang, i, w, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY lang, i), 6) AS freq FROM w GROUP BY 1, 2, 3""")
+@query("""WITH w AS (SELECT label, unnest(range(0, len(embedding))) AS i, floor(unnest(embedding)::DOUBLE * 10)::INT AS w FROM embeddings)
+SELECT label, i, w, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY label, i), 6) AS freq FROM w GROUP BY 1, 2, 3""")
 def column_profile(t):
-    w = t("documents").select("lang", F.posexplode(F.slice(F.split("text", " "), 1, 8)).alias("p", "w"))
-    c = w.groupBy("lang", F.col("p").cast("long").alias("i"), "w").agg(F.count(F.lit(1)).alias("n"))
-    return c.withColumn("freq", r6(F.col("n") / F.sum("n").over(Window.partitionBy("lang", "i"))))
+    w = t("embeddings").select("label", F.posexplode("embedding").alias("p", "x")).select("label", F.col("p").cast("long").alias("i"), F.floor(F.col("x").cast("double") * 10).cast("int").alias("w"))
+    c = w.groupBy("label", "i", "w").agg(F.count(F.lit(1)).alias("n"))
+    return c.withColumn("freq", r6(F.col("n") / F.sum("n").over(Window.partitionBy("label", "i"))))
 
 
 @query("SELECT event_id, user_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) / 1000, 6) AS used FROM events")
@@ -292,11 +298,11 @@ def hash_split_counts(t):
     return t("documents").groupBy(_split().alias("split"), "lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH d AS (SELECT left(text, 40) AS prefix, {SPLIT_SQL} AS split FROM documents)
-SELECT prefix, count(DISTINCT split) AS n_splits FROM d GROUP BY 1 HAVING count(DISTINCT split) > 1""")
+@query(f"""WITH d AS (SELECT sha256(text) AS digest, {SPLIT_SQL} AS split FROM documents)
+SELECT digest, count(DISTINCT split) AS n_splits FROM d GROUP BY 1 HAVING count(DISTINCT split) > 1""")
 def attribute_leakage(t):
-    d = t("documents").select(F.substring("text", 1, 40).alias("prefix"), _split().alias("split"))
-    return d.groupBy("prefix").agg(F.count_distinct("split").alias("n_splits")).where("n_splits > 1")
+    d = t("documents").select(F.sha2("text", 256).alias("digest"), _split().alias("split"))
+    return d.groupBy("digest").agg(F.count_distinct("split").alias("n_splits")).where("n_splits > 1")
 
 
 @query("SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0")
@@ -321,7 +327,7 @@ def sliding_window_pm1(t):
 
 
 _COMP = """
-WITH RECURSIVE n AS MATERIALIZED (SELECT doc_id, left(text, 40) AS a, right(text, 40) AS b FROM documents),
+WITH RECURSIVE n AS MATERIALIZED (SELECT doc_id, sha256(text) AS a, lang || ':' || n_chars AS b FROM documents),
 k AS (SELECT doc_id, 'a' || a AS v FROM n UNION ALL SELECT doc_id, 'b' || b FROM n), m AS (SELECT v, min(doc_id) AS r FROM k GROUP BY v),
 l AS MATERIALIZED (SELECT DISTINCT doc_id AS x, r AS y FROM k JOIN m USING (v)), e AS MATERIALIZED (SELECT x, y FROM l UNION SELECT y, x FROM l),
 p(doc_id, r) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.y, p.r FROM p JOIN e ON e.x = p.doc_id),
@@ -329,7 +335,7 @@ c AS (SELECT doc_id, min(r) AS component FROM p GROUP BY 1)"""
 
 
 def _components(t):
-    d = t("documents").select("doc_id", F.substring("text", 1, 40).alias("a"), F.expr("right(text, 40)").alias("b"))
+    d = t("documents").select("doc_id", F.sha2("text", 256).alias("a"), F.concat_ws(":", "lang", "n_chars").alias("b"))
     return R.linked(d, "doc_id", ["a", "b"])
 
 
@@ -349,12 +355,12 @@ def array_crop_center(t):
     return t("embeddings").select("vec_id", F.transform(arrays.centre_crop("embedding", 16), lambda x: F.round(x.cast("double"), 5)).alias("crop"))
 
 
-@query("""WITH d AS (SELECT doc_id, lang, string_split(text, ' ')[1:(doc_id % 7 + 1)] AS w FROM documents), m AS (SELECT *, max(len(w)) OVER (PARTITION BY lang) AS k FROM d)
-SELECT doc_id, array_to_string(list_concat(w, list_transform(range(0, k - len(w)), lambda i: '-')), ' ') AS padded, len(w) AS n FROM m""")
+@query("""WITH d AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations), m AS (SELECT *, max(len(w)) OVER (PARTITION BY conv_id) AS k FROM d)
+SELECT conv_id, turn, array_to_string(list_concat(w, list_transform(range(0, k - len(w)), lambda i: '-')), ' ') AS padded, len(w) AS n FROM m""")
 def array_pad_mask(t):
-    d = t("documents").select("doc_id", "lang", F.slice(F.split("text", " "), F.lit(1), (F.col("doc_id") % 7 + 1).cast("int")).alias("w"))
-    k = F.max(F.size("w")).over(Window.partitionBy("lang"))
-    return d.select("doc_id", "w", k.alias("k")).select("doc_id", F.array_join(arrays.padded("w", F.col("k"), F.lit("-")), " ").alias("padded"), F.size("w").cast("long").alias("n"))
+    d = t("conversations").select("conv_id", "turn", F.split("text", " ").alias("w"))
+    longest = d.groupBy("conv_id").agg(F.max(F.size("w")).alias("k"))
+    return d.join(longest, "conv_id").select("conv_id", "turn", F.array_join(arrays.padded("w", F.col("k"), F.lit("-")), " ").alias("padded"), F.size("w").cast("long").alias("n"))
 
 
 @query("SELECT text, arg_min(doc_id, (CASE WHEN source = 'src0' THEN 0 ELSE 1 END) * 1000000000000 + doc_id) AS doc_id FROM documents GROUP BY text")
@@ -377,7 +383,7 @@ def _two(t):
 
 
 @query(_PTS + """, s AS (SELECT vec_id, i, sum((abs(dt - dp) < 0.05)::INT + (abs(dt - dp) < 0.1)::INT + (abs(dt - dp) < 0.2)::INT + (abs(dt - dp) < 0.4)::INT) / 4.0 / (count(*) + 1e-8) AS s FROM d WHERE dt < 0.3 GROUP BY 1, 2)
-SELECT vec_id, round(avg(s), 5) AS lddt FROM s GROUP BY 1""")
+SELECT k.vec_id, coalesce(round(avg(s), 5), 0) AS lddt FROM (SELECT DISTINCT vec_id FROM p) k LEFT JOIN s USING (vec_id) GROUP BY 1""")
 def lddt_points(t):
     pred, true = _two(t)
     return arrays.lddt(pred, true, "vec_id", 0.3, (0.05, 0.1, 0.2, 0.4)).withColumn("lddt", F.round("lddt", 5))

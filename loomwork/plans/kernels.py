@@ -58,7 +58,7 @@ def alignment_index_pairs(t):
 
 @query(_PAIRS_SQL + """, g AS (SELECT p_partkey, count(*) AS n, count(*) FILTER (same) AS m FROM p GROUP BY 1)
 SELECT s.p_partkey, coalesce(n, 0) AS n_pairs, round(coalesce(m / n, 0), 6) AS identity, round(coalesce(n, 0) / len(replace(qa, '-', '')), 6) AS coverage,
-  round(coalesce(n, 0) / len(replace(ta, '-', '')), 6) AS aligned_fraction FROM s LEFT JOIN g USING (p_partkey)""")
+  round(coalesce(n, 0) / greatest(len(replace(qa, '-', '')), len(replace(ta, '-', ''))), 6) AS aligned_fraction FROM s LEFT JOIN g USING (p_partkey)""")
 def projection_statistics(t):
     out = A.projection_stats(_strings(t), "p_partkey", "qa", "ta")
     return out.select("p_partkey", F.col("n_pairs").cast("long").alias("n_pairs"), *(r6(F.col(c)).alias(c) for c in ("identity", "coverage", "aligned_fraction")))
