@@ -127,10 +127,20 @@ def sequential_splits(t):
     return splits.sequential(t("documents").select("doc_id", "lang"), "lang", "doc_id", _SIZES, SALT)
 
 
-@query(None)
+_GATE_SQL = f"""WITH x AS ({_split_sql()}), d AS (SELECT split, unnest(['lang', 'source']) AS field, unnest([f.lang, f.source]) AS value FROM x JOIN documents f USING (doc_id)),
+s AS (SELECT DISTINCT split, field FROM d), v AS (SELECT field, value, count(*) AS m FROM d GROUP BY 1, 2), c AS (SELECT split, field, value, count(*) AS n FROM d GROUP BY 1, 2, 3),
+b AS (SELECT s.split, s.field, coalesce(n, 0) / sum(coalesce(n, 0)) OVER w AS p, m / sum(m) OVER w AS q FROM s JOIN v ON s.field = v.field
+  LEFT JOIN c ON c.split = s.split AND c.field = s.field AND c.value = v.value WINDOW w AS (PARTITION BY s.split, s.field)),
+j AS (SELECT sum(CASE WHEN p > 0 THEN 0.5 * p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN 0.5 * q * log2(2 * q / (p + q)) ELSE 0 END) AS jsd FROM b GROUP BY split, field),
+r AS (SELECT max(jsd) AS jsd, (SELECT avg((value = 'unknown')::INT) FROM d) AS u, (SELECT min(n) FROM (SELECT count(*) AS n FROM x GROUP BY split)) AS n FROM j)
+SELECT round(jsd, 6) AS max_jsd, round(u, 6) AS unknown_share, n AS min_split_size, concat_ws(',', CASE WHEN n >= 40 AND jsd > 0.1 THEN 'divergence' END, CASE WHEN u > 0.5 THEN 'unknown' END) AS faults FROM r"""
+
+
+@query(_GATE_SQL)
 def split_quality_gate(t):
     d = t("documents").select("doc_id", "lang", "source")
-    return splits.gate(splits.quality_report(splits.sequential(d, "lang", "doc_id", _SIZES, SALT), ["lang", "source"]), 0.35, 0.5, 40)
+    out = splits.gate(splits.quality_report(splits.sequential(d, "lang", "doc_id", _SIZES, SALT), ["lang", "source"]), 0.1, 0.5, 40)
+    return out.select(r6(F.col("max_jsd")).alias("max_jsd"), r6(F.col("unknown_share")).alias("unknown_share"), "min_split_size", F.array_join("faults", ",").alias("faults"))
 
 
 @query("SELECT source, list_sort(list(DISTINCT lang)) AS splits FROM documents WHERE lang IS NOT NULL GROUP BY source HAVING count(DISTINCT lang) > 1")
