@@ -29,8 +29,8 @@ from .infill import _buffers, _runs, _views
 VOCABULARY, END = "byte_bpe_50k.json", 2
 #: Bytes of a shard's texts, about; shards whose prefix sums are taken together.
 SHARD, TOGETHER = 256 << 20, 1024
-#: Parts of texts whose ids a process keeps, and rows of a sample for each shard by which rows are dealt to shards, and in all.
-KEPT, SAMPLED, MOST_SAMPLED = 600_000, 50, 200_000
+#: Parts that are encoded as one text, parts of texts whose ids a process keeps, and rows of the sample by which rows are dealt to shards.
+JOINED, KEPT, MOST_SAMPLED = 2000, 600_000, 200_000
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOADED: dict = {}
@@ -76,6 +76,28 @@ class Parts(dict):
 
     def __init__(self, tokenizer, width: int) -> None:
         self.tokenizer, self.width = tokenizer, width
+        known = tokenizer.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max(known.values()) + 1, np.int64)  # bytes of each token: byte-level tokens have a character for each
+        self.sizes[list(known.values())] = list(map(len, known))
+
+    def learn(self, new: list[str], sizes: np.ndarray) -> None:
+        """Take up parts, given with their bytes. Parts that begin with white space and do not end with it keep their ids when they stand one after the other, so
+        many are encoded as one text and told apart by the bytes of their tokens."""
+        white = np.fromiter((p[0] in " \t\n\r\x0b\x0c" and not p[-1].isspace() for p in new), bool, len(new))
+        alone = [p for p, w in zip(new, white) if not w]
+        for p, x in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            self[p] = array("H" if self.width == 2 else "I", x.ids).tobytes()
+        rest, ends = [p for p, w in zip(new, white) if w], np.cumsum(sizes[white])
+        texts = ["".join(rest[i : i + JOINED]) for i in range(0, len(rest), JOINED)]
+        ids = [np.array(x.ids, f"<u{self.width}") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate(ids) if ids else np.zeros(0, f"<u{self.width}")
+        reached = np.cumsum(self.sizes[flat])
+        at = np.searchsorted(reached, ends) + 1
+        if len(ends) and not np.array_equal(reached[at - 1], ends):
+            raise ValueError("tokens of the vocabulary do not end where its parts do")
+        packed, at = flat.tobytes(), (np.append(0, at) * self.width).tolist()
+        for p, a, b in zip(rest, at, at[1:]):
+            self[p] = packed[a:b]
 
     def ids(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id after it, and the n + 1 bounds of n texts in them."""
@@ -83,9 +105,9 @@ class Parts(dict):
         at = begins(data, bounds)
         parts = _views(data, np.append(at, len(data))).dictionary_encode()
         distinct, place = parts.dictionary.to_pylist(), parts.indices.to_numpy()
-        new = [p for p in distinct if p not in self]
-        for p, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[p] = array("H" if self.width == 2 else "I", x.ids).tobytes()
+        new = [i for i, p in enumerate(distinct) if p not in self]
+        if new:
+            self.learn([distinct[i] for i in new], np.diff(_buffers(parts.dictionary)[1])[new])
         packed = [self[p] for p in distinct]
         flat = np.frombuffer(b"".join(packed), f"=u{self.width}")
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.width
