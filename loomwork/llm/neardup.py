@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fresh, table, written
+from ._common import fresh, scratch, table, written
 from ._words import U, grams, mix, slices, words
 
 #: Bins of a sketch, bands, and rows of a band: texts of a similarity of 0.8 share no band in 5 of a million cases, of 0.85 in 6 of a billion.
@@ -324,13 +324,15 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     row, doc, text, of = fresh(docs, "_row", "_doc", "_text", "_of")
     own = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-docs")
-    found = near_duplicates(own.select(F.col(row).alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias(row), "n_shingles", "component_id")
-    ids = own.select(row, F.col("doc_id").alias(doc), F.xxhash64("text").alias(text))
-    words = F.col("n_shingles") > 0
-    groups = found.join(ids, row).groupBy(
-        F.when(words, F.col("component_id")).alias("a"), F.when(~words, F.col(doc)).alias("b"), F.when(~words, F.col(text)).alias("c")
-    )
-    stay = groups.agg(F.min(F.struct(F.col(doc).isNull().alias("n"), F.col(doc).alias("d"), F.col(row).alias("r"))).alias("m")).select(F.col("m.r").alias(of))
+    with scratch(docs.sparkSession):  # the steps' tables would fill the shared folder for all that follows
+        found = near_duplicates(own.select(F.col(row).alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias(row), "n_shingles", "component_id")
+        ids = own.select(row, F.col("doc_id").alias(doc), F.xxhash64("text").alias(text))
+        words = F.col("n_shingles") > 0
+        groups = found.join(ids, row).groupBy(
+            F.when(words, F.col("component_id")).alias("a"), F.when(~words, F.col(doc)).alias("b"), F.when(~words, F.col(text)).alias("c")
+        )
+        stay = groups.agg(F.min(F.struct(F.col(doc).isNull().alias("n"), F.col(doc).alias("d"), F.col(row).alias("r"))).alias("m")).select(F.col("m.r").alias(of))
+        stay = written(stay, "stay", keep=True)
     return own.join(stay, F.col(row) == F.col(of), "left_semi").select(*docs.columns)
 
 
