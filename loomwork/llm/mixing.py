@@ -29,7 +29,7 @@ SLOW = 1e-3
 #: How strongly a turn is held to the last one, at first and at least.
 EDGES = 1e-2, 1e-6
 #: The highest rate of a document, and so its copies.
-MOST = 8.0
+MOST = 64.0
 #: Shares of tokens.
 TARGETS = {"good": 0.85, "poor": 0.1, "toxic": 0.05}
 
