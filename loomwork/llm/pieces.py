@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import short_batches, table, written
+from ._common import release, short_batches, table, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -375,12 +375,13 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     differs raises an error.
     """
     model = Pieces(path)
-    short_batches(docs.sparkSession)
+    short_batches(docs.sparkSession, 500)
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(_at_hand(own, model))
 
     def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         kept = _Kept(model, *sent.value)
         for b in batches:
             names, rares = [], []
@@ -391,9 +392,10 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 kept.forget()
                 names.append(_name(rares[-1], texts))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(rares, pa.list_(pa.string()))], names=["name", "rare"])
-        pa.default_memory_pool().release_unused()  # the worker waits for its next task
+        release()  # the worker waits for its next task
 
     def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         kept = _Kept(model, *sent.value)
         for b in batches:
             for part, texts in _chunks(b):
@@ -411,7 +413,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
                      pa.array([[_digest(t.encode("utf-8", "surrogatepass")) for t in texts]], pa.list_(pa.int64()))],
                     names=["name", "docs", "sizes", "ids", "places", "digests"],
                 )
-        pa.default_memory_pool().release_unused()
+        release()
 
     # One exchange of the rare words' places serves both the grouping by word and the join: the tests for nulls, which always
     # hold, keep columns and filters of both readings the same.
@@ -425,6 +427,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     both = whole.join(filled.hint("shuffle_hash"), "name", "left").select("docs", "sizes", "ids", "places", "digests", "fill")
 
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             for i in range(len(b)):
                 row = b.slice(i, 1)
