@@ -104,7 +104,7 @@ class Parts(dict):
         data, bounds = _buffers(texts)
         at = begins(data, bounds)
         parts = _views(data, np.append(at, len(data))).dictionary_encode()
-        distinct, place = parts.dictionary.to_pylist(), parts.indices.to_numpy()
+        distinct, place = parts.dictionary.to_numpy(zero_copy_only=False).tolist(), parts.indices.to_numpy()
         new = [i for i, p in enumerate(distinct) if p not in self]
         if new:
             self.learn([distinct[i] for i in new], np.diff(_buffers(parts.dictionary)[1])[new])
