@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .geometry import AXES, rmsd_of
+from .relational import merged
 
 #: Slots of the backbone atoms in a residue.
 N_SLOT, CA_SLOT, C_SLOT, O_SLOT = 0, 1, 2, 3
@@ -23,7 +24,7 @@ N_SLOT, CA_SLOT, C_SLOT, O_SLOT = 0, 1, 2, 3
 def both_atoms(pred: DataFrame, true: DataFrame, key: str) -> DataFrame:
     """Atoms of both tables: key, res, slot, p and t (arrays of x, y, z)."""
     place = F.array(*AXES)
-    return pred.select(key, "res", "slot", place.alias("p")).join(true.select(key, "res", "slot", place.alias("t")), [key, "res", "slot"])
+    return merged(pred.select(key, "res", "slot", place.alias("p"))).join(true.select(key, "res", "slot", place.alias("t")), [key, "res", "slot"])
 
 
 def _minus(a: Column, b: Column) -> list[Column]:
@@ -52,7 +53,7 @@ def backbone_angles(atoms: DataFrame, key: str, *places: str) -> DataFrame:
         *(F.max(F.when(F.col("slot") == s, F.col(c))).alias(f"{c}{s}") for c in places for s in (N_SLOT, CA_SLOT, C_SLOT))
     )
     near = wide.select(key, (F.col("res") - 1).alias("res"), *(F.col(f"{c}{s}").alias(f"next_{c}{s}") for c in places for s in (N_SLOT, CA_SLOT, C_SLOT)))
-    pairs = wide.join(near, [key, "res"])  # a residue and the next one
+    pairs = merged(wide).join(near, [key, "res"])  # a residue and the next one
     at = lambda c, s: F.col(f"{c}{s}")
     four = {
         "phi": lambda c: (at(c, C_SLOT), at(f"next_{c}", N_SLOT), at(f"next_{c}", CA_SLOT), at(f"next_{c}", C_SLOT)),
@@ -102,7 +103,7 @@ def dipdiff(pred: DataFrame, true: DataFrame, key: str, slots: tuple[int, ...] =
     last = true.groupBy(key).agg(F.max("res").alias("last")) if lengths is None else lengths.select(key, (F.col("n_res") - 1).alias("last"))
     seen = own.join(last, key).select(key, F.explode(F.sequence(F.greatest(F.lit(0), F.col("res") - 1), F.least(F.col("res") + 1, F.col("last")))).alias("at"), "res", "slot", "p", "t")
     a, b = seen, seen.select(key, "at", *(F.col(c).alias(f"{c}2") for c in ("res", "slot", "p", "t")))  # six atoms of a window at most
-    pairs = a.join(b, [key, "at"]).where("struct(res, slot) < struct(res2, slot2)")
+    pairs = merged(a).join(b, [key, "at"]).where("struct(res, slot) < struct(res2, slot2)")
     length = lambda x, y: F.sqrt(_dot(_minus(F.col(x), F.col(y)), _minus(F.col(x), F.col(y))))
     gap = F.abs(length("p", "p2") - length("t", "t2"))
     kept = reduce(lambda x, y: x + y, ((gap < z).cast("double") for z in limits)) / len(limits)
@@ -152,7 +153,7 @@ def near_pairs(atoms: DataFrame, key: str, place: str, limit: float) -> DataFram
     steps = F.array(*(F.array(*(F.lit(s) for s in (i, j, k))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
     far = own.select(key, *(F.col(c).alias(f"{c}2") for c in atoms.columns if c != key), *(f"_c{i}" for i in range(3)), F.explode(steps).alias("_s"))
     far = far.select(key, *(f"{c}2" for c in atoms.columns if c != key), *((F.col(f"_c{i}") + F.get("_s", F.lit(i))).alias(f"_c{i}") for i in range(3)))
-    met = own.join(far, [key, "_c0", "_c1", "_c2"]).where("id <> id2").withColumn("d", apart(F.col(place), F.col(f"{place}2")))
+    met = merged(own).join(far, [key, "_c0", "_c1", "_c2"]).where("id <> id2").withColumn("d", apart(F.col(place), F.col(f"{place}2")))
     return met.where(F.col("d") <= limit).drop("_c0", "_c1", "_c2")
 
 

@@ -17,6 +17,7 @@ from ..functions import residues
 from ..sources.places import stored
 from . import chains
 from .chains import apart, near_pairs, within
+from .relational import merged
 
 #: Weights of the components in the score, limits of kept distances, of superposed points and of spheres.
 WEIGHTS = {"gdt_ha": 0.25, "lddt_all": 0.09375, "cad": 0.09375, "spheres": 0.09375, "sidechain": 0.09375, "clash": 0.125, "backbone": 0.125, "dipdiff": 0.125}
@@ -29,7 +30,7 @@ def matched(pred: DataFrame, true: DataFrame, types: DataFrame, key: str) -> Dat
     """Atoms of both tables (key, id of res and slot, res, slot, type, p, t, radius) of residues that types has; an atom without a known name has radius 0."""
     known = residues.slots(types.sparkSession).select("type", "slot", "radius")
     own = types.select(key, "res", F.least(F.greatest(F.col("type"), F.lit(0)), F.lit(residues.UNKNOWN)).alias("type"))
-    both = chains.both_atoms(pred, true, key).join(own, [key, "res"]).join(F.broadcast(known), ["type", "slot"], "left")  # fewer than 200 rows
+    both = merged(chains.both_atoms(pred, true, key)).join(own, [key, "res"]).join(F.broadcast(known), ["type", "slot"], "left")  # fewer than 200 rows
     return both.select(key, F.struct("res", "slot").alias("id"), "res", "slot", "type", "p", "t", F.coalesce("radius", F.lit(0.0)).alias("radius"))
 
 

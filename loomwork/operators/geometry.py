@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import merged
+
 AXES = "xyz"
 
 
@@ -20,7 +22,7 @@ def superposed_rmsd(pred: DataFrame, true: DataFrame, key: str) -> DataFrame:
 
     Points without a partner are left out.
     """
-    both = pred.join(true.select(key, "i", *(F.col(a).alias(f"t{a}") for a in AXES)), [key, "i"])
+    both = merged(pred).join(true.select(key, "i", *(F.col(a).alias(f"t{a}") for a in AXES)), [key, "i"])
     first = both.groupBy(key).agg(*(F.avg(c).alias(f"_{c}") for a in AXES for c in (a, f"t{a}")))
     near = both.join(first, key).select(key, *((F.col(c) - F.col(f"_{c}")).alias(c) for a in AXES for c in (a, f"t{a}")))  # far from the origin, sums of squares lose their last digits
     return rmsd_of(near, [key], list(AXES), [f"t{a}" for a in AXES]).withColumn("rmsd", F.when(F.col("n") < 3, float("nan")).otherwise(F.col("rmsd")))

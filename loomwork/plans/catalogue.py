@@ -392,7 +392,7 @@ def lddt_points(t):
 @query(_PTS + """ SELECT vec_id, round(1 - sum(abs((dp < 0.2)::INT - (dt < 0.2)::INT)) / greatest(sum(greatest((dp < 0.2)::INT, (dt < 0.2)::INT)), 1), 6) AS agreement FROM d GROUP BY 1""")
 def contact_agreement(t):
     pred, true = _two(t)
-    both = arrays.distances(pred, "vec_id", "dp").join(arrays.distances(true, "vec_id", "dt"), ["vec_id", "i", "j"])
+    both = R.merged(arrays.distances(pred, "vec_id", "dp")).join(arrays.distances(true, "vec_id", "dt"), ["vec_id", "i", "j"])
     p, q = (F.col("dp") < 0.2).cast("int"), (F.col("dt") < 0.2).cast("int")
     return both.groupBy("vec_id").agg(r6(1 - F.sum(F.abs(p - q)) / F.greatest(F.sum(F.greatest(p, q)), F.lit(1))).alias("agreement"))
 
