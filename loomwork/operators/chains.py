@@ -126,7 +126,7 @@ def clash_pairs(atoms: DataFrame, key: str, overlap: float, widest: float) -> Da
     far = own.select(key, F.col("a").alias("b"), F.col("radius").alias("r2"), F.col("p").alias("p2"), *(f"c{c}" for c in AXES), F.explode(steps).alias("s"))
     far = far.select(key, "b", "r2", "p2", *((F.col(f"c{c}") + F.col(f"s.s{c}")).alias(f"c{c}") for c in AXES))
     gap = _minus(F.col("p"), F.col("p2"))
-    met = own.join(far, [key, *(f"c{c}" for c in AXES)]).where(F.col("b.res") - F.col("a.res") > 1)
+    met = merged(own).join(far, [key, *(f"c{c}" for c in AXES)]).where(F.col("b.res") - F.col("a.res") > 1)
     return met.where(F.col("radius") + F.col("r2") - F.sqrt(_dot(gap, gap)) > overlap).select(key, "a", "b")
 
 

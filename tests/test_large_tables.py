@@ -20,3 +20,9 @@ def test_near_pairs_send_no_side_whole(atoms):
     pairs = chains.near_pairs(own, "k", "p", 1.5)
     assert "BroadcastExchange" not in plan(pairs)
     assert sorted((r["res"], r["res2"]) for r in pairs.collect()) == sorted((a, b) for a in range(5) for b in range(5) if abs(a - b) == 1)
+
+
+def test_clash_pairs_send_no_side_whole(atoms):
+    pairs = chains.clash_pairs(atoms.withColumn("radius", F.lit(1.5)), "k", 0.4, 1.8)
+    assert "BroadcastExchange" not in plan(pairs)
+    assert sorted((r["a"]["res"], r["b"]["res"]) for r in pairs.collect()) == [(0, 2), (1, 3), (2, 4)]
