@@ -11,6 +11,12 @@ def first_filled(*columns: str) -> Column:
     return F.upper(F.coalesce(*(F.when(F.trim(F.col(c)) != "", F.trim(F.col(c))) for c in columns)))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x (a double) to so many decimals; what comes to zero keeps its sign, as IEEE 754 has it."""
+    out = F.round(x, places)
+    return F.when(out == 0, F.signum(x) * 0.0).otherwise(out)
+
+
 def key_encode(column: str, prefix: str = "chain_") -> Column:
     """A reversible name that keeps case apart on any file system."""
     return F.concat(F.lit(prefix), F.lower(F.hex(F.encode(F.col(column), "UTF-8"))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classes as C
+from ..functions import expressions as X
 from ..operators import candidates, digests, ordering, projections, validation
 from ..operators import records as A
 from ..sources.places import new_folder
@@ -60,7 +61,7 @@ def template_scatter(t):
 def slots_or_default(t):
     given = F.when(F.col("vec_id") % 5 != 0, F.col("embedding").cast("array<double>"))
     flat = F.flatten(A.in_slots(A.array_or(given, F.lit(3), -1.0), 14))
-    return t("embeddings").select("vec_id", F.size(flat).cast("long").alias("n"), F.round(F.aggregate(flat, F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+    return t("embeddings").select("vec_id", F.size(flat).cast("long").alias("n"), X.rounded(F.aggregate(flat, F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
 
 
 @query("""WITH r AS (SELECT DISTINCT o_custkey AS k FROM orders), e AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_acctbal > 0)

@@ -352,7 +352,7 @@ def component_antijoin(t):
 
 @query("SELECT vec_id, list_transform(embedding[25:40], lambda x: round(x::DOUBLE, 5)) AS crop FROM embeddings")
 def array_crop_center(t):
-    return t("embeddings").select("vec_id", F.transform(arrays.centre_crop("embedding", 16), lambda x: F.round(x.cast("double"), 5)).alias("crop"))
+    return t("embeddings").select("vec_id", F.transform(arrays.centre_crop("embedding", 16), lambda x: X.rounded(x.cast("double"), 5)).alias("crop"))
 
 
 @query("""WITH d AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations), m AS (SELECT *, max(len(w)) OVER (PARTITION BY conv_id) AS k FROM d)

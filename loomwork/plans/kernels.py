@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import expressions as X
 from ..operators import alignment as A
 from ..operators import curves, geometry
 from .catalogue import _two, query, r6
@@ -77,7 +78,7 @@ SELECT vec_id, i::INT AS i, round(degrees(atan2(sqrt(bx**2 + by_**2 + bz**2) * (
 def dihedral_angles(t):
     from ..operators import arrays
 
-    return geometry.dihedrals(arrays.points(t("embeddings"), "vec_id", "embedding", 21), "vec_id").withColumn("angle", F.round("angle", 4))
+    return geometry.dihedrals(arrays.points(t("embeddings"), "vec_id", "embedding", 21), "vec_id").withColumn("angle", X.rounded(F.col("angle"), 4))
 
 
 @query(None)

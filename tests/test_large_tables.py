@@ -1,9 +1,11 @@
 """Plans and results that small tables do not tell apart from wrong ones."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from loomwork.operators import chains
+from loomwork.plans import catalogue
 
 
 def plan(df):
@@ -26,3 +28,11 @@ def test_clash_pairs_send_no_side_whole(atoms):
     pairs = chains.clash_pairs(atoms.withColumn("radius", F.lit(1.5)), "k", 0.4, 1.8)
     assert "BroadcastExchange" not in plan(pairs)
     assert sorted((r["a"]["res"], r["b"]["res"]) for r in pairs.collect()) == [(0, 2), (1, 3), (2, 4)]
+
+
+def test_crop_keeps_the_sign_of_zero(spark, tmp_path):
+    values = [-1e-6, 1e-6, -0.0, 0.0, -0.5, 0.123456, float("nan"), None, -5e-6, 5e-6] + [0.25] * 6
+    spark.createDataFrame([(1, [0.0] * 24 + values + [0.0] * 24)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalogue.QUERIES["array_crop_center"](spark, str(tmp_path)).first()["crop"]
+    want = duckdb.connect().execute(catalogue.ORACLES["array_crop_center"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")).fetchone()[1]
+    assert list(map(str, got)) == list(map(str, want)) and str(got[0]) == "-0.0"
