@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import merged
+
+#: Ranges aimed at in a task.
+PART = 500_000
+
 
 def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
     """The row of least `order` of each key (null is a key too); of rows that tie, the least."""
@@ -16,14 +23,20 @@ def annotated_shares(lengths: DataFrame, ranges: DataFrame, key: str, kinds: lis
     """key and the share of its positions 1 to n that each kind of range covers; a position goes to the first of its kinds.
 
     lengths: key, n. ranges: key, kind, first, last (both inside). Parts outside 1 to n, empty ranges and other kinds count for nothing; without
-    positions shares are null.
+    positions shares are null. Ranges are taken in the order of their starts, so positions are counted and none is made a row.
     """
     rank = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
-    inside = ranges.join(lengths, key).select(key, rank.alias("rank"), F.greatest(F.col("first"), F.lit(1)).alias("s"), F.least("last", "n").alias("e")).where("rank > 0 AND s <= e")
-    won = inside.select(key, "rank", F.explode(F.sequence("s", "e")).alias("at")).groupBy(key, "at").agg(F.min("rank").alias("rank"))
-    counts = won.groupBy(key).agg(*(F.count_if(F.col("rank") == i).alias(f"_{i}") for i in range(1, len(kinds) + 1)))
+    n = max(ranges.sparkSession.sparkContext.defaultParallelism, math.ceil(ranges.count() / PART))  # so tasks do not grow with the table
+    lengths = lengths.repartition(n, key)
+    inside = merged(ranges.repartition(n, key)).join(lengths, key).select(key, rank.alias("rank"), F.greatest(F.col("first"), F.lit(1)).alias("s"), F.least("last", "n").alias("e")).where("rank > 0 AND s <= e")
+    before = Window.partitionBy(key).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda i, c: F.when(F.col("rank") <= i, c)
+    new = lambda i: upto(i, F.greatest(F.lit(0), F.col("e").cast("long") - F.greatest(F.col("s") - 1, F.max(upto(i, F.col("e"))).over(before))))
+    fresh = inside.select(key, *(new(i).alias(f"_u{i}") for i in range(1, len(kinds) + 1)))
+    counts = fresh.groupBy(key).agg(*(F.coalesce(F.sum(f"_u{i}"), F.lit(0)).alias(f"_u{i}") for i in range(1, len(kinds) + 1)))  # positions of the first i kinds
+    counts = counts.select(key, *((F.col(f"_u{i}") - (F.col(f"_u{i - 1}") if i > 1 else F.lit(0))).alias(f"_{i}") for i in range(1, len(kinds) + 1)))
     share = lambda i: F.when(F.col("n") > 0, F.coalesce(F.col(f"_{i}"), F.lit(0)) / F.col("n"))
-    return lengths.join(counts, key, "left").select(key, *(share(i).alias(k) for i, k in enumerate(kinds, 1)))
+    return merged(lengths).join(counts, key, "left").select(key, *(share(i).alias(k) for i, k in enumerate(kinds, 1)))
 
 
 def row_sample(rows: Column, depth: int, salt: str, key: Column) -> Column:

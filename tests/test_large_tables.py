@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.operators import chains
+from loomwork.operators import chains, records
 from loomwork.plans import catalogue
 
 
@@ -36,3 +36,11 @@ def test_crop_keeps_the_sign_of_zero(spark, tmp_path):
     got = catalogue.QUERIES["array_crop_center"](spark, str(tmp_path)).first()["crop"]
     want = duckdb.connect().execute(catalogue.ORACLES["array_crop_center"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")).fetchone()[1]
     assert list(map(str, got)) == list(map(str, want)) and str(got[0]) == "-0.0"
+
+
+def test_shares_of_ranges_too_long_to_list(spark):
+    n = 2_000_000_000
+    lengths = spark.createDataFrame([("a", n), ("b", 10), ("c", 0)], "k string, n int")
+    ranges = spark.createDataFrame([("a", "h", 1, n), ("a", "s", 5, n), ("b", "s", 1, 8), ("b", "h", 2, 3), ("b", "h", 3, 4), ("b", "x", 1, 10), ("b", "s", 9, 99)], "k string, kind string, first int, last int")
+    got = {r["k"]: (r["h"], r["s"]) for r in records.annotated_shares(lengths, ranges, "k", ["h", "s"]).collect()}
+    assert got == {"a": (1.0, 0.0), "b": (0.3, 0.7), "c": (None, None)}
