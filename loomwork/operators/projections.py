@@ -10,7 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cells of each of the two histograms.
+from ..sources.places import stored
+
+#: Cells of a histogram.
 CELLS = 4096
 
 
@@ -62,48 +64,39 @@ def projected(df: DataFrame, vector: str, names: list[str], size: int) -> DataFr
     return df.select("*", *(F.when(_whole(vector, size), along(r)).alias(n) for n, r in zip(names, rows)))
 
 
-def _cell(value: Column, low: Column, width: Column) -> Column:
-    return F.when(width > 0, F.least(F.lit(CELLS - 1), F.greatest(F.lit(0), F.floor((value - low) / width)))).otherwise(0).cast("int")
-
-
 def quantiles(df: DataFrame, by: str, value: str, shares: list[float]) -> DataFrame:
     """by, n (values), n_missing (null or NaN), share and quantile, exact, between two values as far as the share lies between their ranks.
 
-    Values are counted in cells of their range, then in cells of the cells that hold a wanted rank; only the values of the last cells are put in order, each
-    with how often it occurs. Infinite values are an error. A set without values has null quantiles; null is a set.
+    Values are counted in cells of their range, then in cells of what the values of each cell with a wanted rank span, until such a cell holds one value only.
+    Each turn reads the values again and counts CELLS cells at most for a wanted rank, so no task holds the values. Infinite values are an error. A set without
+    values has null quantiles; null is a set.
     """
-    raw = df.select(F.col(by).alias("_by"), F.col(value).cast("double").alias("_v")).withColumn("_v", F.when(~F.isnan("_v"), F.col("_v")))
+    raw = df.select(F.col(by).alias("_by"), F.col(value).cast("double").alias("_v")).withColumn("_v", F.when(~F.isnan("_v"), F.col("_v") + F.lit(0.0)))  # no negative zero
     stats = raw.groupBy("_by").agg(F.count("_v").alias("_n"), F.count_if(F.col("_v").isNull()).alias("_missing"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     far = F.assert_true(F.coalesce(F.col("_high") - F.col("_low") < float("inf"), F.lit(True)), "values and their range have to be finite")
-    stats = stats.where(far.isNull()).withColumn("_w", (F.col("_high") - F.col("_low")) / CELLS)
-    own = raw.where("_v IS NOT NULL").join(stats.select(F.col("_by").alias("_b"), "_low", "_w"), F.col("_by").eqNullSafe(F.col("_b"))).select("_by", "_v", "_low", "_w")
-    own = own.withColumn("_c1", _cell(F.col("_v"), F.col("_low"), F.col("_w")))
-    own = own.withColumn("_c2", _cell(F.col("_v"), F.col("_low") + F.col("_c1") * F.col("_w"), F.col("_w") / CELLS))
-    spot = stats.select("_by", "_n", "_missing", F.explode(F.array(*map(F.lit, map(float, shares)))).alias("share")).withColumn("_at", F.col("share") * (F.col("_n") - 1))
-    ranks = spot.where("_n > 0").select("_by", F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_rank")).distinct().withColumn("_first", F.col("_rank"))
-    counts, level = own.groupBy("_by", "_c1", "_c2", "_v").agg(F.count(F.lit(1)).alias("_m")), []
-    for cell in ("_c1", "_c2", "_v"):
-        keys = ["_by", *level]
-        sizes = counts.groupBy(*keys, cell).agg(F.sum("_m").alias("_m"))
-        w = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    stats = stored(stats.where(far.isNull()), "sets")  # small tables are stored so that Spark knows their size when it joins them with the values
+    spot = stats.select("*", F.explode(F.array(*map(F.lit, map(float, shares)))).alias("share")).withColumn("_at", F.col("share") * (F.col("_n") - 1))
+    ranks = spot.where("_n > 0").select("_by", "_low", "_high", F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_first")).distinct().withColumn("_rank", F.col("_first"))
+    while True:
+        ranks = stored(ranks, "ranks")
+        near = ranks.where("_low < _high").select(F.col("_by").alias("_b"), "_low", "_high").distinct()
+        if near.isEmpty():
+            break
+        near = stored(near, "cells")
+        width = (F.col("_high") - F.col("_low")) / CELLS
+        cell = F.when(F.col("_v") >= F.col("_high"), CELLS - 1).when(width > 0, F.least(F.lit(CELLS - 1), F.floor((F.col("_v") - F.col("_low")) / width))).otherwise(0).cast("int")
+        own = raw.join(near, F.col("_by").eqNullSafe(F.col("_b")) & (F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high")))
+        sizes = own.groupBy("_b", "_low", "_high", cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_to_low"), F.max("_v").alias("_to_high"))
+        w = Window.partitionBy("_b", "_low", "_high").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # CELLS rows at most
         sizes = sizes.withColumn("_ahead", F.coalesce(F.sum("_m").over(w), F.lit(0)))
-        same = F.lit(True)
-        for k in keys:
-            same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}"))
-        hit = ranks.alias("r").join(sizes.alias("s"), same & (F.col("r._rank") >= F.col("s._ahead")) & (F.col("r._rank") < F.col("s._ahead") + F.col("s._m")))
-        ranks = hit.select(*(F.col(f"r.{k}").alias(k) for k in keys), F.col(f"s.{cell}").alias(cell), F.col("r._first").alias("_first"), (F.col("r._rank") - F.col("s._ahead")).alias("_rank"))
-        level.append(cell)
-        if cell != "_v":
-            near = ranks.select(*(F.col(k).alias(f"_k{k}") for k in ["_by", *level])).distinct()
-            match = F.lit(True)
-            for k in ["_by", *level]:
-                match = match & F.col(k).eqNullSafe(F.col(f"_k{k}"))
-            counts = counts.join(near, match, "left_semi")
-    found = ranks.select(F.col("_by").alias("_b"), F.col("_first"), F.col("_v"))
-    side = lambda f, name: found.select(F.col("_b").alias(f"_b{name}"), F.col("_first").alias(f"_f{name}"), F.col("_v").alias(name))
-    out = spot
+        same = F.col("_by").eqNullSafe(F.col("_b")) & (F.col("r._low") == F.col("s._low")) & (F.col("r._high") == F.col("s._high"))
+        hit = ranks.alias("r").join(sizes.alias("s"), same & (F.col("_rank") >= F.col("_ahead")) & (F.col("_rank") < F.col("_ahead") + F.col("_m")))
+        hit = hit.select("_by", F.col("_to_low").alias("_low"), F.col("_to_high").alias("_high"), "_first", (F.col("_rank") - F.col("_ahead")).alias("_rank"))
+        ranks = ranks.where("_low = _high").unionByName(hit)
+    side = lambda name: ranks.select(F.col("_by").alias(f"_b{name}"), F.col("_first").alias(f"_f{name}"), F.col("_low").alias(name))
+    out = spot.drop("_low", "_high")
     for f, name in ((F.floor("_at"), "_lo"), (F.ceil("_at"), "_hi")):
-        out = out.join(side(f, name), F.col("_by").eqNullSafe(F.col(f"_b{name}")) & (f == F.col(f"_f{name}")), "left")
+        out = out.join(side(name), F.col("_by").eqNullSafe(F.col(f"_b{name}")) & (f == F.col(f"_f{name}")), "left")
     mid = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - F.floor("_at"))
     return out.select(F.col("_by").alias(by), F.col("_n").alias("n"), F.col("_missing").alias("n_missing"), "share", mid.alias("quantile"))
 

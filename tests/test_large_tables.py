@@ -1,10 +1,11 @@
 """Plans and results that small tables do not tell apart from wrong ones."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.operators import chains, records
+from loomwork.operators import chains, projections, records
 from loomwork.plans import catalogue
 
 
@@ -44,3 +45,12 @@ def test_shares_of_ranges_too_long_to_list(spark):
     ranges = spark.createDataFrame([("a", "h", 1, n), ("a", "s", 5, n), ("b", "s", 1, 8), ("b", "h", 2, 3), ("b", "h", 3, 4), ("b", "x", 1, 10), ("b", "s", 9, 99)], "k string, kind string, first int, last int")
     got = {r["k"]: (r["h"], r["s"]) for r in records.annotated_shares(lengths, ranges, "k", ["h", "s"]).collect()}
     assert got == {"a": (1.0, 0.0), "b": (0.3, 0.7), "c": (None, None)}
+
+
+def test_quantiles_read_their_rows_before_the_last_plan(spark):
+    values = [0.0, -0.0, 1e-300, 5e-324, 1e300, -1e300] + [i / 7 for i in range(300)]
+    df = spark.createDataFrame([("a", v) for v in values] + [(None, 2.0), (None, None)], "k string, v double")
+    out = projections.quantiles(df, "k", "v", [0.0, 0.01, 0.5, 1.0])
+    assert "ExistingRDD" not in plan(out)  # the values were counted by turns; what is left are small tables
+    got = {(r["k"], r["share"]): r["quantile"] for r in out.collect()}
+    assert all(got["a", s] == pytest.approx(float(np.quantile(values, s)), rel=1e-12) for s in (0.0, 0.01, 0.5, 1.0)) and got[None, 0.5] == 2.0
