@@ -37,16 +37,16 @@ def sample_score(h: Column, weight: Column, j: int) -> Column:
     return ln_c - r * (F.floor(F.log(weight.cast("double")) / r + b) - b + 1)
 
 
-def signature_codes(bags: DataFrame, keys: list[str], weights: list[str], k: int = K) -> DataFrame:
+def signature_codes(bags: DataFrame, keys: list[str], weights: list[str], k: int = K, more: list[Column] | None = None) -> DataFrame:
     """For each weight column an array of k sample codes of each key.
 
     bags: one row for each key and word hash `h`, with integer weights; words of weight 0 take no part. A key
-    with no weights gets the codes of the empty bag, which agree with each other only.
+    with no weights gets the codes of the empty bag, which agree with each other only. more: further aggregates of a key's rows.
     """
     scores = [F.min(F.when(F.col(w) > 0, sample_score(F.col("h"), F.col(w), j))).alias(f"{w}_{j}") for w in weights for j in range(k)]
-    least = bags.groupBy(*keys).agg(*scores)
+    least = bags.groupBy(*keys).agg(*scores, *(more or []))
     code = lambda c: F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF))
-    return least.select(*keys, *(F.array(*(code(F.col(f"{w}_{j}")) for j in range(k))).alias(w) for w in weights))
+    return least.select(*keys, *(F.array(*(code(F.col(f"{w}_{j}")) for j in range(k))).alias(w) for w in weights), *least.columns[len(keys) + len(scores) :])
 
 
 def likeness(a: Column, b: Column, k: int = K) -> Column:
@@ -107,17 +107,20 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), cut)))
-    texts = F.array(F.struct(F.lit(1).alias("o"), F.lit(0).alias("e"), F.col("text").alias("t")), F.struct(F.lit(0).alias("o"), F.lit(1).alias("e"), F.col("edited").alias("t")))
-    words = rows.select("bucket", "place", F.explode(texts).alias("x")).select("bucket", "place", "x.o", "x.e", F.explode(F.split("x.t", r"\s+")).alias("word"))
+    whole = [F.struct(F.lit(o).alias("o"), F.lit(1 - o).alias("e"), F.lit(0).alias("kind"), F.col(t).alias("t"), F.lit(None).cast("long").alias("fact")) for o, t in ((1, "text"), (0, "edited"))]
+    digest = F.sha2("edited", 256)
+    facts = [F.col("doc_id").cast("long"), F.when(~F.col("guest"), F.col("n_chars")), *(F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10).cast("long") for i in range(4))]
+    given = [F.struct(F.lit(0).alias("o"), F.lit(0).alias("e"), F.lit(k).alias("kind"), F.lit("").alias("t"), x.alias("fact")) for k, x in enumerate(facts, 1)]
+    # A row's facts go the way of its words, as 64-bit numbers: so texts are dealt to buckets once, and nothing is joined.
+    words = rows.select("bucket", "place", F.explode(F.array(*whole, *given)).alias("x")).select("bucket", "place", "x.o", "x.e", "x.kind", "x.fact", F.explode(F.split("x.t", r"\s+")).alias("word"))
     held = (F.col("word") != "").cast("int")
-    bags = words.groupBy("bucket", "place", F.xxhash64("word").alias("h")).agg(F.sum(F.col("o") * held).alias("own"), F.sum(F.col("e") * held).alias("edit"))
-    codes = signature_codes(bags, ["bucket", "place"], ["own", "edit"])
-    after = F.lead("own").over(Window.partitionBy("bucket").orderBy("place"))
-    codes = codes.withColumn("after", after).select(
-        F.col("bucket").alias("b"), F.col("place").alias("p"), _text(F.col("own")).alias("fingerprint"), _text(F.col("edit")).alias("edited_fingerprint"),
+    h = F.when(F.col("kind") == 0, F.xxhash64("word")).otherwise(F.col("fact"))
+    bags = words.groupBy("bucket", "place", "kind", h.alias("h")).agg(F.sum(F.col("o") * held).alias("own"), F.sum(F.col("e") * held).alias("edit"))
+    kept = [F.max(F.when(F.col("kind") == k, F.col("h"))).alias(f"fact_{k}") for k in range(1, len(facts) + 1)]
+    codes = signature_codes(bags, ["bucket", "place"], ["own", "edit"], more=kept)
+    codes = codes.withColumn("after", F.lead("own").over(Window.partitionBy("bucket").orderBy("place"))).where("fact_2 IS NOT NULL")  # guests have no number of characters
+    hexed = F.lower(F.concat(*(F.lpad(F.hex(f"fact_{k}"), 16, "0") for k in range(3, 7))))
+    return codes.select(
+        F.col("fact_1").alias("doc_id"), F.col("fact_2").alias("n_chars"), hexed.alias("edited_sha256"), _text(F.col("own")).alias("fingerprint"), _text(F.col("edit")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edit")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"),
     )
-    meta = rows.where("NOT guest").select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "bucket", "place")
-    return meta.join(codes, (F.col("bucket") == F.col("b")) & (F.col("place") == F.col("p"))).select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
-    )

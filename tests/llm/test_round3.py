@@ -208,3 +208,12 @@ def test_neighbours_of_very_large_vectors_and_of_none(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()) == [x[:3] for x in plain_nearest(rows, [r for r in rows if r[0] % 3 == 0 or r[0] > 29], 40)]
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
     assert neighbours.nearest(df.where("id = 3"), df.where("id = 3")).count() == 0
+
+
+def test_fingerprints_deal_texts_once(spark, tmp_path):
+    rows = [(i, f"word {i} more words here", "en", "s", 20) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    from loomwork.llm import fingerprints
+
+    out = fingerprints.op4_document_fingerprints(spark, str(tmp_path))
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 20
