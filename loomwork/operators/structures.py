@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import residues
 from ..sources import cif
+from ..sources.places import stored
 
 _ITEMS = ["group_PDB", "label_atom_id", "label_alt_id", "label_comp_id", "label_asym_id", "label_entity_id", "label_seq_id", "auth_seq_id", "auth_asym_id",
           "pdbx_PDB_ins_code", "Cartn_x", "Cartn_y", "Cartn_z", "occupancy", "pdbx_PDB_model_num"]
@@ -24,7 +25,7 @@ def polymer_atoms(spark: SparkSession, path: str) -> DataFrame:
 
     A chain goes by its author's name where it has one. Where a file does not say what its entities are, the group ATOM is taken as the polymers.
     """
-    raw = cif.category(spark, path, "atom_site", _ITEMS)
+    raw = stored(cif.category(spark, path, "atom_site", _ITEMS), "atoms")  # read twice, so the text is taken apart once
     kinds = cif.category(spark, path, "entity", ["id", "type"]).select(*ENTRY, F.col("id").alias("label_entity_id"), F.lower("type").alias("kind")).dropDuplicates([*ENTRY, "label_entity_id"])
     model = F.coalesce("pdbx_PDB_model_num", F.lit(""))
     first = raw.groupBy(*ENTRY).agg(F.min_by(model, "row").alias("first"))
@@ -85,7 +86,8 @@ def resolved(wanted: DataFrame, known: DataFrame, like: float = LIKE) -> DataFra
     own = own.select("_n", *wanted.columns)
     exact = own.join(names.withColumn("chain", F.col("found")), [*ENTRY, "chain"], "left")
     missing = exact.where("found IS NULL AND expected <> ''").select("_n", *ENTRY, F.upper("expected").alias("_e"))
-    near = missing.join(names, ENTRY).withColumn("_r", likeness(F.col("_e"), F.upper("sequence"))).where(F.col("_r") >= like)
+    bound = 2.0 * F.least(F.length("_e"), F.length("sequence")) / (F.length("_e") + F.length("sequence"))  # no two sequences of these lengths are more alike
+    near = missing.join(names, ENTRY).where(bound >= like).withColumn("_r", likeness(F.col("_e"), F.upper("sequence"))).where(F.col("_r") >= like)
     order = F.struct(-F.col("_r"), -F.length("sequence"), "found")
     best = near.groupBy("_n").agg(F.min_by(F.struct("found", "sequence"), order).alias("_b"))
     both = exact.join(best, "_n", "left").withColumn("found", F.coalesce("found", "_b.found")).withColumn("sequence", F.coalesce("sequence", "_b.sequence"))

@@ -104,3 +104,12 @@ def test_annotated_ranges(spark, tmp_path):
 def test_tables(spark):
     assert len(residues.IDS) == 20 and "".join(residues.LETTERS.values()) == "ARNDCQEGHILKMFPSTWYV"
     assert residues.slots(spark).count() == 167 and residues.chi_places(spark).groupBy("type", "chi").count().where("count <> 4").isEmpty()
+
+
+def test_atoms_of_a_file_are_taken_apart_once(spark, tmp_path):
+    (tmp_path / "a.cif").write_text("data_a\nloop_\n_atom_site.group_PDB\n_atom_site.label_atom_id\n_atom_site.label_comp_id\n_atom_site.label_asym_id\n_atom_site.label_seq_id\nATOM CA GLY A 1\n")
+    from loomwork.operators import structures
+
+    atoms = structures.polymer_atoms(spark, f"{tmp_path}/a.cif")
+    lines = [x for x in atoms._jdf.queryExecution().executedPlan().toString().splitlines() if "BatchScan" in x]
+    assert len(lines) == 1 and atoms.count() == 1  # what is left to read of the text is `entity`
