@@ -92,6 +92,11 @@ def ordered_digest(df: DataFrame, key: str, value: str) -> DataFrame:
     return rows.select("n", F.sha2(F.array_join(F.transform("x", lambda y: y["line"]), ""), 256).alias("digest"))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once: in the checkpoint folder, or where none is set on the executors."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
 def linked(df: DataFrame, node: str, attributes: list[str]) -> DataFrame:
     """node and component, the least node that shares an attribute's value, directly or through others.
 
@@ -106,6 +111,6 @@ def linked(df: DataFrame, node: str, attributes: list[str]) -> DataFrame:
         label = label.join(near, node, "left").select(node, F.least("component", F.coalesce("m", "component")).alias("component"))
         hop = label.select(F.col(node).alias("component"), F.col("component").alias("up"))
         label = label.join(hop, "component").select(node, F.col("up").alias("component"))
-        label = label.checkpoint() if label.sparkSession.conf.get("spark.checkpoint.dir", None) else label.persist()
+        label = kept(label)
         if label.join(before.withColumnRenamed("component", "was"), node).where("component <> was").isEmpty():
             return label

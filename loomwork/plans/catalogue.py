@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..operators import arrays, candidates, curves, ordering, relational as R
+from ..operators import arrays, candidates, curves, ordering, passages, relational as R
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -339,9 +339,17 @@ def _components(t):
     return R.linked(d, "doc_id", ["a", "b"])
 
 
-@query(_COMP + " SELECT doc_id, component FROM c")
+@query("""
+WITH RECURSIVE n AS MATERIALIZED (SELECT doc_id, text, lang || ':' || n_chars AS b FROM documents),
+s AS (SELECT doc_id, text, unnest(range(1, greatest(length(text) - 38, 2))) AS i FROM n),
+k AS MATERIALIZED (SELECT DISTINCT doc_id, 'a' || substr(text, i, 40) AS v FROM s UNION ALL SELECT doc_id, 'b' || b FROM n), m AS (SELECT v, min(doc_id) AS r FROM k GROUP BY v),
+l AS MATERIALIZED (SELECT DISTINCT doc_id AS x, r AS y FROM k JOIN m USING (v)), e AS MATERIALIZED (SELECT x, y FROM l UNION SELECT y, x FROM l),
+p(doc_id, r) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.y, p.r FROM p JOIN e ON e.x = p.doc_id),
+c AS (SELECT doc_id, min(r) AS component FROM p GROUP BY 1) SELECT doc_id, component FROM c""")
 def components_two_relations(t):
-    return _components(t)
+    d = t("documents").select("doc_id", "text", F.concat("lang", F.lit(":"), F.col("n_chars").cast("string")).alias("b"))
+    links = R.kept(passages.shared(d, "doc_id", "text", 40)).select("doc_id", F.col("least").alias("a"), F.lit(None).cast("string").alias("b"))
+    return R.linked(d.select("doc_id", F.col("doc_id").alias("a"), "b").unionByName(links), "doc_id", ["a", "b"])
 
 
 @query(_COMP + " SELECT doc_id FROM c WHERE component NOT IN (SELECT component FROM c JOIN labels USING (doc_id))")
