@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.places import stored
+
 #: Characters of a passage that its key is made of, and runs given out at once.
 GRAM, BATCH = 16, 100_000
 
@@ -26,48 +32,61 @@ def _keys(text: str, size: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _runs(text: str, size: int) -> tuple[list[int], list[str]]:
-    """Key and text of each run of passages with one key, of size passages at most; a text shorter than a passage is one itself."""
+def _runs(text: str, size: int, turn: int, turns: int) -> tuple[np.ndarray, list[str]]:
+    """Key and text of each run of passages with one key, of size passages at most; a text shorter than a passage is one itself. Only keys of this turn."""
     if len(text) < size:
-        return [len(text)], [text]
+        return (np.array([len(text)]), [text]) if len(text) % turns == turn else (np.array([], np.int64), [])
     keys = _keys(text, size)
     starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
     parts = -(-np.diff(np.append(starts, len(keys))) // size)
     nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     starts = np.repeat(starts, parts) + nth * size
     ends = np.append(starts[1:], len(keys)) + size - 1
-    return keys[starts].tolist(), [text[i:j] for i, j in zip(starts.tolist(), ends.tolist())]
+    now = keys[starts] % turns == turn
+    return keys[starts[now]], [text[i:j] for i, j in zip(starts[now].tolist(), ends[now].tolist())]
+
+
+@contextmanager
+def _freed(spark: SparkSession) -> Iterator[None]:
+    """What is shuffled inside is deleted as soon as its job has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def shared(df: DataFrame, node: str, text: str, size: int) -> DataFrame:
-    """Distinct pairs node, least that link all nodes whose texts share a passage of size characters at any place (a shorter text: all of it).
+def shared(df: DataFrame, node: str, text: str, size: int, turns: int = 3) -> DataFrame:
+    """Pairs node, least that link all nodes whose texts share a passage of size characters at any place (a shorter text: all of it).
 
     Passages with one key stand in one part as runs of text; runs that are alike count once, and only where a key has several are they
-    taken apart into passages. Passages are compared as text, not by their keys. Null texts share nothing.
+    taken apart into passages. Passages are compared as text, not by their keys. Runs are about seven times as large as compressed texts, so
+    the keys are dealt to turns; each reads all texts, stores its pairs and frees what it shuffled. Null texts share nothing.
     """
-    kind = df.schema[node].dataType
+    with _freed(df.sparkSession):
+        done = [stored(_turn(df, node, text, size, turn, turns), "passages") for turn in range(turns)]
+    return reduce(DataFrame.unionByName, done)
+
+
+def _turn(df: DataFrame, node: str, text: str, size: int, turn: int, turns: int) -> DataFrame:
+    """Distinct pairs of shared() by the passages whose keys are of this turn."""
     own = df.where(F.col(node).isNotNull() & F.col(text).isNotNull()).select(F.col(node).alias("node"), F.col(text).alias("text"))
-    names = ["node", "key", "run"]
 
     def each(batches):
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(nodes, types), pa.array(keys, pa.int64()), pa.array(runs, pa.string())], names)
-
-        nodes, keys, runs = [], [], []
         for b in batches:
-            types = b.schema.field("node").type
-            for i, x in zip(b["node"], b["text"]):
-                k, r = _runs(x.as_py(), size)
-                nodes += [i.as_py()] * len(k)
-                keys += k
+            at, keys, runs = [], [], []
+            for i, x in enumerate(b["text"]):
+                k, r = _runs(x.as_py(), size, turn, turns)
+                at += [i] * len(r)
+                keys.append(k)
                 runs += r
-                if len(keys) >= BATCH:
-                    yield out()
-                    nodes, keys, runs = [], [], []
-        if keys:
-            yield out()
+                if len(runs) >= BATCH or i == len(b) - 1:
+                    yield pa.RecordBatch.from_arrays([b["node"].take(pa.array(at, pa.int32())), pa.array(np.concatenate(keys), pa.int64()), pa.array(runs, pa.string())], ["node", "key", "run"])
+                    at, keys, runs = [], [], []
 
-    rows = own.mapInArrow(each, f"node {kind.simpleString()}, key long, run string").repartition("key")
+    rows = own.mapInArrow(each, f"node {own.schema['node'].dataType.simpleString()}, key long, run string").repartition("key")
     same = Window.partitionBy("key", "run").orderBy("node")
     alike = Window.partitionBy("key")
     rows = rows.select("*", F.first("node").over(same).alias("least"), F.row_number().over(same).alias("nth"))

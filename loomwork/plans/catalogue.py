@@ -348,7 +348,7 @@ p(doc_id, r) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.y, p.r FROM p JOIN
 c AS (SELECT doc_id, min(r) AS component FROM p GROUP BY 1) SELECT doc_id, component FROM c""")
 def components_two_relations(t):
     d = t("documents").select("doc_id", "text", F.concat("lang", F.lit(":"), F.col("n_chars").cast("string")).alias("b"))
-    links = R.kept(passages.shared(d, "doc_id", "text", 40)).select("doc_id", F.col("least").alias("a"), F.lit(None).cast("string").alias("b"))
+    links = passages.shared(d, "doc_id", "text", 40).select("doc_id", F.col("least").alias("a"), F.lit(None).cast("string").alias("b"))
     return R.linked(d.select("doc_id", F.col("doc_id").alias("a"), "b").unionByName(links), "doc_id", ["a", "b"])
 
 
