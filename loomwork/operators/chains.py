@@ -1,7 +1,7 @@
 """Scores of predicted chains of atoms against true ones.
 
 An atom table has a row for each atom that is there: key (of the chain), res (residue, from 0 without gaps), slot, x, y, z. Atoms that
-only one of two tables has take no part. Pairs are found by joins on residues or on cells of space, so no chain has to fit a task,
+only one of two tables has take no part. Pairs are found by joins on residues or in blocks of space, so no chain has to fit a task,
 but for `gdt`, which refines superpositions and takes one chain's points of a slot (bounded by its residues) at a time.
 """
 
@@ -19,6 +19,8 @@ from .relational import merged
 
 #: Slots of the backbone atoms in a residue.
 N_SLOT, CA_SLOT, C_SLOT, O_SLOT = 0, 1, 2, 3
+#: Cells of space to the side of a block; cells beyond this number count as one.
+BLOCK, FARTHEST = 4, 1e15
 
 
 def both_atoms(pred: DataFrame, true: DataFrame, key: str) -> DataFrame:
@@ -114,20 +116,14 @@ def dipdiff(pred: DataFrame, true: DataFrame, key: str, slots: tuple[int, ...] =
 def clash_pairs(atoms: DataFrame, key: str, overlap: float, widest: float) -> DataFrame:
     """key, a and b (residue, slot) of atoms of residues more than one apart whose spheres overlap by more than `overlap`.
 
-    atoms has `radius` too, 0 or less taking no part; none is above `widest`, which sets the size of the cells of space in which atoms
-    meet. An atom looks into the 27 cells around it, so pairs grow with the atoms, not with their square.
+    atoms has `radius` too, 0 or less taking no part; none is above `widest`, which sets how far apart atoms still meet.
     """
     size = 2.0 * widest - overlap
     if size <= 0:
         raise ValueError("spheres of this size cannot overlap by so much")
-    cells = [F.floor(F.col(c) / size).alias(f"c{c}") for c in AXES]
-    own = atoms.where("radius > 0").select(key, F.struct("res", "slot").alias("a"), "radius", F.array(*AXES).alias("p"), *cells)
-    steps = F.array(*(F.struct(*(F.lit(s).alias(f"s{c}") for c, s in zip(AXES, (i, j, k)))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
-    far = own.select(key, F.col("a").alias("b"), F.col("radius").alias("r2"), F.col("p").alias("p2"), *(f"c{c}" for c in AXES), F.explode(steps).alias("s"))
-    far = far.select(key, "b", "r2", "p2", *((F.col(f"c{c}") + F.col(f"s.s{c}")).alias(f"c{c}") for c in AXES))
-    gap = _minus(F.col("p"), F.col("p2"))
-    met = merged(own).join(far, [key, *(f"c{c}" for c in AXES)]).where(F.col("b.res") - F.col("a.res") > 1)
-    return met.where(F.col("radius") + F.col("r2") - F.sqrt(_dot(gap, gap)) > overlap).select(key, "a", "b")
+    own = atoms.where("radius > 0").select(key, F.struct("res", "slot").alias("id"), "radius", F.array(*AXES).alias("p"))
+    met = near_pairs(own, key, "p", size).where(F.col("id2.res") - F.col("id.res") > 1)
+    return met.where(F.col("radius") + F.col("radius2") - F.col("d") > overlap).select(key, F.col("id").alias("a"), F.col("id2").alias("b"))
 
 
 def clash_score(atoms: DataFrame, key: str, overlap: float = 0.4, widest: float = 1.8) -> DataFrame:
@@ -146,15 +142,23 @@ def apart(a: Column, b: Column) -> Column:
 def near_pairs(atoms: DataFrame, key: str, place: str, limit: float) -> DataFrame:
     """Ordered pairs of different atoms (key, id and others) whose `place` (x, y, z) is within limit: a's columns, b's with `2` after them, and d.
 
-    An atom meets those of the 27 cells around it.
+    An atom meets those of the 27 cells around it. Cells are gathered in blocks of BLOCK to a side, each with the cells next to it, so atoms are shuffled
+    once for a small chain and 3.4 times in space without end; pairs are made in their block and not shuffled. Places that are not finite are near nothing.
     """
-    cells = [F.floor(F.get(place, F.lit(i)) / limit).alias(f"_c{i}") for i in range(3)]
-    own = atoms.select("*", *cells)
-    steps = F.array(*(F.array(*(F.lit(s) for s in (i, j, k))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
-    far = own.select(key, *(F.col(c).alias(f"{c}2") for c in atoms.columns if c != key), *(f"_c{i}" for i in range(3)), F.explode(steps).alias("_s"))
-    far = far.select(key, *(f"{c}2" for c in atoms.columns if c != key), *((F.col(f"_c{i}") + F.get("_s", F.lit(i))).alias(f"_c{i}") for i in range(3)))
-    met = merged(own).join(far, [key, "_c0", "_c1", "_c2"]).where("id <> id2").withColumn("d", apart(F.col(place), F.col(f"{place}2")))
-    return met.where(F.col("d") <= limit).drop("_c0", "_c1", "_c2")
+    rest, at, of = [c for c in atoms.columns if c != key], [f"_c{i}" for i in range(3)], [f"_b{i}" for i in range(3)]
+    block = lambda c: F.floor((c + BLOCK // 2) / BLOCK)  # noqa: E731  the origin is in the middle of a block
+    cell = lambda i: F.floor(F.greatest(F.lit(-FARTHEST), F.least(F.lit(FARTHEST), F.get(place, F.lit(i)) / limit)))
+    own = atoms.where(reduce(lambda a, b: a & b, (F.abs(F.get(place, F.lit(i))) < float("inf") for i in range(3))))
+    own = own.select(key, F.struct(*rest).alias("_a"), *(cell(i).alias(c) for i, c in enumerate(at)))
+    for c, b in zip(at, of):
+        own = own.select("*", F.explode(F.sequence(block(F.col(c) - 1), block(F.col(c) + 1))).alias(b))
+    cells = own.repartition(key, *of).groupBy(key, *of, *at).agg(F.collect_list("_a").alias("_atoms"))
+    met = cells.groupBy(key, *of).agg(F.collect_list(F.struct(*at, "_atoms")).alias("_cells"))
+    met = met.select(key, *of, "_cells", F.explode("_cells").alias("_m")).where(reduce(lambda a, b: a & b, (block(F.col(f"_m.{c}")) == F.col(b) for c, b in zip(at, of))))
+    met = met.select(key, "_m", F.explode("_cells").alias("_n")).where(reduce(lambda a, b: a & b, (F.abs(F.col(f"_m.{c}") - F.col(f"_n.{c}")) <= 1 for c in at)))
+    met = met.select(key, F.col("_n._atoms").alias("_n"), F.explode("_m._atoms").alias("_a")).select(key, "_n", "_a.*")
+    met = met.select(key, *rest, F.explode("_n").alias("_b")).select(key, *rest, *(F.col(f"_b.{c}").alias(f"{c}2") for c in rest))
+    return met.where("id <> id2").withColumn("d", apart(F.col(place), F.col(f"{place}2"))).where(F.col("d") <= limit)
 
 
 def _seeds(n: int, most: int = 48) -> np.ndarray:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import residues
-from ..sources.places import stored
+from ..sources.places import freed, stored
 from . import chains
 from .chains import apart, near_pairs, within
 from .relational import merged
@@ -63,7 +63,7 @@ def clash(atoms: DataFrame, pred_pairs: DataFrame, key: str, overlap: float) ->
     return sizes.join(hits, key, "left").select(key, (1 / (1 + 10.0 * F.coalesce("hits", F.lit(0)) / F.col("m"))).alias("clash"))
 
 
-def burial(atoms: DataFrame, true_pairs: DataFrame, key: str, reach: float) -> DataFrame:
+def burial(atoms: DataFrame, key: str, reach: float) -> DataFrame:
     """key, res, burial: 0.25 + 0.75 * the least of 1 and a twentieth of the residues within reach, CB to CB (CA where there is none).
 
     Chains with fewer than two such places have 1 throughout; residues without one are not listed.
@@ -72,11 +72,10 @@ def burial(atoms: DataFrame, true_pairs: DataFrame, key: str, reach: float) -> D
     has_cb = [r["type"] for r in no_cb.collect()]  # fewer than 20
     central = lambda t, s: F.when((s == 4) & t.isin(has_cb), 0).when(s == chains.CA_SLOT, 1)
     order = central(F.col("type"), F.col("slot"))
-    chosen = atoms.where(order.isNotNull()).groupBy(key, "res").agg(F.min_by("slot", order).alias("slot"))
+    chosen = atoms.where(order.isNotNull()).groupBy(key, F.col("res").alias("id")).agg(F.min_by("t", order).alias("t"))
     size = chosen.groupBy(key).agg(F.count(F.lit(1)).alias("places"))
-    near = true_pairs.where((F.col("d") <= reach) & F.col("slot").isin(1, 4) & F.col("slot2").isin(1, 4)).select(key, "res", "slot", "res2", "slot2")
-    near = near.join(chosen, [key, "res", "slot"]).join(chosen.select(key, F.col("res").alias("res2"), F.col("slot").alias("slot2")), [key, "res2", "slot2"])
-    n = near.groupBy(key, "res").agg(F.count(F.lit(1)).alias("n"))
+    n = near_pairs(chosen, key, "t", reach).groupBy(key, F.col("id").alias("res")).agg(F.count(F.lit(1)).alias("n"))
+    chosen = chosen.select(key, F.col("id").alias("res"))
     out = chosen.join(size, key).join(n, [key, "res"], "left")
     return out.select(key, "res", F.when(F.col("places") < 2, 1.0).otherwise(0.25 + 0.75 * F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / 20)).alias("burial"))
 
@@ -114,23 +113,27 @@ def gdt_counts(atoms: DataFrame, key: str, slot: int = chains.CA_SLOT) -> DataFr
     return points.groupBy(key).applyInPandas(score, f"`{key}` {points.schema[key].dataType.simpleString()}, gdt_ha double, gdt_ts double")
 
 
-def components(pred: DataFrame, true: DataFrame, types: DataFrame, key: str, cutoff: float = 15.0, contact: float = 5.0, reach: float = 10.0, radius: float = 6.0, overlap: float = 0.4) -> DataFrame:
-    """key, score and its components, for every chain of types.
+def components(pred: DataFrame, true: DataFrame, types: DataFrame, key: str, cutoff: float = 15.0, contact: float = 5.0, reach: float = 10.0, radius: float = 6.0, overlap: float = 0.4, wanted: tuple[str, ...] = ("score", *EMPTY)) -> DataFrame:
+    """key, score and its components, for every chain of types; columns that are not wanted are not worked out.
 
     Atoms that one table lacks take no part. Where there is nothing to score, the components that count what is found are 0 and those that count what
     is wrong are 1 (EMPTY). contact has to be at least twice the largest radius less the overlap, and no distance above cutoff but contact is looked at.
     """
     if contact < 2 * max(residues.RADII.values()) - overlap or cutoff < max(reach, radius, contact):
         raise ValueError("contact or cutoff is too small for the other distances")
-    atoms = stored(matched(pred, true, types, key), "atoms")
+    with freed(types.sparkSession):
+        atoms = stored(matched(pred, true, types, key), "atoms")
     own = atoms.select(key, "id", "res", "slot", "p", "t", "radius")
-    true_pairs, pred_pairs = near_pairs(own, key, "t", cutoff), near_pairs(own, key, "p", contact)
+    true_pairs, pred_pairs = near_pairs(own.drop("radius"), key, "t", cutoff), near_pairs(own.drop("t"), key, "p", contact)
     p, t = (atoms.select(key, "res", "slot", *(F.get(c, F.lit(i)).alias(a) for i, a in enumerate("xyz"))) for c in "pt")
     lengths = types.groupBy(key).agg((F.max("res") + 1).alias("n_res"))
     parts = [
         gdt_counts(atoms, key), lddts(true_pairs, key, cutoff), cad(atoms, true_pairs, pred_pairs, key, contact), chains.spheres(atoms, true_pairs, key, radius, SPHERES),
-        sidechain(chi_angles(atoms, key), burial(atoms, true_pairs, key, reach), key), clash(atoms, pred_pairs, key, overlap),
+        sidechain(chi_angles(atoms, key), burial(atoms, key, reach), key), clash(atoms, pred_pairs, key, overlap),
         chains.backbone_score(p, t, key), chains.dipdiff(p, t, key, lengths=lengths),
     ]
-    out = reduce(lambda a, b: a.join(b, key, "left"), parts, lengths.select(key)).fillna(EMPTY)
-    return out.select(key, reduce(lambda a, b: a + b, (w * F.col(c) for c, w in WEIGHTS.items())).alias("score"), *EMPTY)
+    needed = {*wanted, *(WEIGHTS if "score" in wanted else ())}
+    parts = [x for x in parts if needed & {*x.columns}]
+    out = reduce(lambda a, b: a.join(b, key, "left"), parts, lengths.select(key))
+    out = out.fillna({c: v for c, v in EMPTY.items() if c in out.columns})
+    return out.select(key, *(reduce(lambda a, b: a + b, (w * F.col(c) for c, w in WEIGHTS.items())).alias(c) if c == "score" else c for c in wanted))

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.places import stored
+from ..sources.places import freed, stored
 
 #: Characters of a passage that its key is made of, and runs given out at once.
 GRAM, BATCH = 16, 100_000
@@ -46,18 +44,6 @@ def _runs(text: str, size: int, turn: int, turns: int) -> tuple[np.ndarray, list
     return keys[starts[now]], [text[i:j] for i, j in zip(starts[now].tolist(), ends[now].tolist())]
 
 
-@contextmanager
-def _freed(spark: SparkSession) -> Iterator[None]:
-    """What is shuffled inside is deleted as soon as its job has ended."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def shared(df: DataFrame, node: str, text: str, size: int, turns: int = 3) -> DataFrame:
     """Pairs node, least that link all nodes whose texts share a passage of size characters at any place (a shorter text: all of it).
 
@@ -65,7 +51,7 @@ def shared(df: DataFrame, node: str, text: str, size: int, turns: int = 3) -> Da
     taken apart into passages. Passages are compared as text, not by their keys. Runs are about seven times as large as compressed texts, so
     the keys are dealt to turns; each reads all texts, stores its pairs and frees what it shuffled. Null texts share nothing.
     """
-    with _freed(df.sparkSession):
+    with freed(df.sparkSession):
         done = [stored(_turn(df, node, text, size, turn, turns), "passages") for turn in range(turns)]
     return reduce(DataFrame.unionByName, done)
 

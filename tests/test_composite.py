@@ -153,3 +153,12 @@ def test_batched_superpositions_are_the_plain_ones():
         t = np.cumsum(rng.normal(0, 3, (n, 3)), 0)
         p = t + rng.normal(0, 1, (n, 3)) * rng.choice([0.2, 3], (n, 1))
         assert chains.within(p, t, (0.5, 2.0)) == [plain_gdt(p, t, 0.5), plain_gdt(p, t, 2.0)]
+
+
+def test_only_what_is_wanted_is_worked_out(spark):
+    made = {"a": chain(np.random.default_rng(11), 12, 0.4)}
+    whole = composite.components(*frames(spark, made), "key").first().asDict()
+    some = composite.components(*frames(spark, made), "key", wanted=("cad", "lddt_ca"))
+    assert some.columns == ["key", "cad", "lddt_ca"] and "InPandas" not in some._jdf.queryExecution().executedPlan().toString()
+    got = some.first().asDict()
+    assert all(np.isclose(got[c], whole[c]) for c in ("cad", "lddt_ca"))

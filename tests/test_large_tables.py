@@ -54,3 +54,40 @@ def test_quantiles_read_their_rows_before_the_last_plan(spark):
     assert "ExistingRDD" not in plan(out)  # the values were counted by turns; what is left are small tables
     got = {(r["k"], r["share"]): r["quantile"] for r in out.collect()}
     assert all(got["a", s] == pytest.approx(float(np.quantile(values, s)), rel=1e-12) for s in (0.0, 0.01, 0.5, 1.0)) and got[None, 0.5] == 2.0
+
+
+def shuffled(spark, job):
+    """What a job gives, and the rows that it shuffles."""
+    sc = spark.sparkContext
+
+    def stages():
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before, out = stages(), job()
+    return out, sum(n for k, n in stages().items() if k not in before)
+
+
+def test_near_pairs_shuffle_each_atom_of_a_small_chain_once(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, i, *map(float, rng.normal(0, 1, 3))) for k in range(20) for i in range(10)]
+    atoms = spark.createDataFrame(rows, "k int, id int, x double, y double, z double").select("k", "id", F.array("x", "y", "z").alias("p"))
+    got, n = shuffled(spark, lambda: chains.near_pairs(atoms, "k", "p", 15.0).select("k", "id", "id2").collect())
+    assert len(got) == len({tuple(r) for r in got}) == 20 * 90 and n == 200  # 28 rows an atom before
+    clashes = atoms.select("k", F.col("id").alias("res"), F.lit(1).alias("slot"), *(F.get("p", F.lit(i)).alias(c) for i, c in enumerate("xyz")), F.lit(1.5).alias("radius"))
+    got, n = shuffled(spark, lambda: chains.clash_pairs(clashes, "k", 0.4, 10.0).collect())
+    want = sum(k == l and b - a > 1 and np.linalg.norm(np.subtract(p, q)) < 2.6 for k, a, *p in rows for l, b, *q in rows)
+    assert len(got) == want and n == 200
+
+
+def test_near_pairs_of_many_blocks(spark):
+    rng = np.random.default_rng(8)
+    place = np.concatenate([rng.uniform(-9, 9, (400, 3)), np.repeat([[2.0, -6.0, 0.0]], 3, 0), rng.uniform(-1, 1, (5, 3)) + 1e9])
+    rows = [("a", i, list(map(float, p))) for i, p in enumerate(place)] + [("b", i, list(map(float, p))) for i, p in enumerate(place[:50])]
+    far = [1e300, float("inf"), float("nan"), None]
+    rows += [("a", 1000 + i, [x, 0.0, 0.0]) for i, x in enumerate([*far, 1e300])] + [("a", 2000, None), ("a", 2001, [])]
+    got = chains.near_pairs(spark.createDataFrame(rows, "k string, id int, p array<double>"), "k", "p", 1.0).collect()
+    apart = np.linalg.norm(place[:, None] - place[None], axis=2)
+    want = {(k, i, j) for k, n in (("a", len(place)), ("b", 50)) for i in range(n) for j in range(n) if i != j and apart[i, j] <= 1} | {("a", 1000, 1004), ("a", 1004, 1000)}
+    assert sorted((r["k"], r["id"], r["id2"]) for r in got) == sorted(want) and len(want) > 100
+    assert all(r["d"] == pytest.approx(apart[r["id"], r["id2"]]) for r in got if r["id"] < 1000)
