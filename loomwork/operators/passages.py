@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.places import freed, stored
@@ -30,10 +30,11 @@ def _keys(text: str, size: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _runs(text: str, size: int, turn: int, turns: int) -> tuple[np.ndarray, list[str]]:
-    """Key and text of each run of passages with one key, of size passages at most; a text shorter than a passage is one itself. Only keys of this turn."""
-    if len(text) < size:
-        return (np.array([len(text)]), [text]) if len(text) % turns == turn else (np.array([], np.int64), [])
+def _runs(text: str | None, size: int, turn: int, turns: int) -> tuple[np.ndarray, list[str]]:
+    """Key and text of each run of passages with one key, of size passages at most; a text shorter than a passage, or null, is one itself. Only keys of this turn."""
+    n = len(text or "")
+    if n < size:
+        return (np.array([n]), [text]) if n % turns == turn else (np.array([], np.int64), [])
     keys = _keys(text, size)
     starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
     parts = -(-np.diff(np.append(starts, len(keys))) // size)
@@ -58,7 +59,43 @@ def shared(df: DataFrame, node: str, text: str, size: int, turns: int = 3) -> Da
 
 def _turn(df: DataFrame, node: str, text: str, size: int, turn: int, turns: int) -> DataFrame:
     """Distinct pairs of shared() by the passages whose keys are of this turn."""
-    own = df.where(F.col(node).isNotNull() & F.col(text).isNotNull()).select(F.col(node).alias("node"), F.col(text).alias("text"))
+    rows = _dealt(df.where(F.col(node).isNotNull() & F.col(text).isNotNull()), node, text, size, turn, turns)
+    same = Window.partitionBy("key", "run").orderBy("node")
+    alike = Window.partitionBy("key")
+    rows = rows.select("*", F.first("node").over(same).alias("least"), F.row_number().over(same).alias("nth"))
+    rows = rows.select("*", (F.min("run").over(alike) != F.max("run").over(alike)).alias("several"))
+    # a run that stood before links its node at once, and the first of each kind is taken apart
+    rows = rows.where("node <> least OR (nth = 1 AND several)").select("node", "key", "least", F.explode(F.when(F.col("nth") == 1, _passages(size)).otherwise(F.array(F.lit(None).cast("string")))).alias("passage"))
+    first = F.first("node").over(Window.partitionBy("key", "passage").orderBy("node"))
+    return rows.select("node", F.when(F.col("passage").isNull(), F.col("least")).otherwise(first).alias("least")).where("node <> least").distinct().withColumnRenamed("node", node)
+
+
+def in_several(df: DataFrame, group: str, text: str, size: int, turns: int = 3) -> DataFrame:
+    """passage and n of each passage of size characters, at any place (a shorter text: all of it), that texts of several groups have; n is how many groups.
+
+    Keys are dealt to turns as in `shared`. Keys that one group alone has are left out before runs are taken apart. Null texts count as one passage, null.
+    """
+    with freed(df.sparkSession):
+        done = [stored(_several(df, group, text, size, turn, turns), "passages") for turn in range(turns)]
+    return reduce(DataFrame.unionByName, done)
+
+
+def _several(df: DataFrame, group: str, text: str, size: int, turn: int, turns: int) -> DataFrame:
+    """in_several() by the passages whose keys are of this turn."""
+    alike = Window.partitionBy("key")
+    rows = _dealt(df, group, text, size, turn, turns).select("*", (F.min("node").over(alike) != F.max("node").over(alike)).alias("several"))
+    rows = rows.where("several").select("key", "run", "node").distinct().select("key", "node", F.explode(_passages(size)).alias("passage"))
+    return rows.groupBy("key", "passage").agg(F.count_distinct("node").alias("n")).where("n > 1").select("passage", "n")
+
+
+def _passages(size: int) -> Column:
+    """The passages of a run."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length("run") - (size - 1), F.lit(1))), lambda i: F.substring("run", i, F.lit(size)))
+
+
+def _dealt(df: DataFrame, node: str, text: str, size: int, turn: int, turns: int) -> DataFrame:
+    """node, key and run of all texts, by key."""
+    own = df.select(F.col(node).alias("node"), F.col(text).alias("text"))
 
     def each(batches):
         for b in batches:
@@ -72,13 +109,4 @@ def _turn(df: DataFrame, node: str, text: str, size: int, turn: int, turns: int)
                     yield pa.RecordBatch.from_arrays([b["node"].take(pa.array(at, pa.int32())), pa.array(np.concatenate(keys), pa.int64()), pa.array(runs, pa.string())], ["node", "key", "run"])
                     at, keys, runs = [], [], []
 
-    rows = own.mapInArrow(each, f"node {own.schema['node'].dataType.simpleString()}, key long, run string").repartition("key")
-    same = Window.partitionBy("key", "run").orderBy("node")
-    alike = Window.partitionBy("key")
-    rows = rows.select("*", F.first("node").over(same).alias("least"), F.row_number().over(same).alias("nth"))
-    rows = rows.select("*", (F.min("run").over(alike) != F.max("run").over(alike)).alias("several"))
-    passages = F.transform(F.sequence(F.lit(1), F.greatest(F.length("run") - (size - 1), F.lit(1))), lambda i: F.substring("run", i, F.lit(size)))
-    # a run that stood before links its node at once, and the first of each kind is taken apart
-    rows = rows.where("node <> least OR (nth = 1 AND several)").select("node", "key", "least", F.explode(F.when(F.col("nth") == 1, passages).otherwise(F.array(F.lit(None).cast("string")))).alias("passage"))
-    first = F.first("node").over(Window.partitionBy("key", "passage").orderBy("node"))
-    return rows.select("node", F.when(F.col("passage").isNull(), F.col("least")).otherwise(first).alias("least")).where("node <> least").distinct().withColumnRenamed("node", node)
+    return own.mapInArrow(each, f"node {own.schema['node'].dataType.simpleString()}, key long, run string").repartition("key")

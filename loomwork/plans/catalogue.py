@@ -298,11 +298,10 @@ def hash_split_counts(t):
     return t("documents").groupBy(_split().alias("split"), "lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH d AS (SELECT sha256(text) AS digest, {SPLIT_SQL} AS split FROM documents)
-SELECT digest, count(DISTINCT split) AS n_splits FROM d GROUP BY 1 HAVING count(DISTINCT split) > 1""")
+@query(f"""WITH d AS (SELECT text, {SPLIT_SQL} AS split FROM documents), p AS (SELECT text, split, unnest(range(1, greatest(length(text) - 38, 2))) AS i FROM d)
+SELECT substr(text, i, 40) AS passage, count(DISTINCT split) AS n_splits FROM p GROUP BY 1 HAVING count(DISTINCT split) > 1""")
 def attribute_leakage(t):
-    d = t("documents").select(F.sha2("text", 256).alias("digest"), _split().alias("split"))
-    return d.groupBy("digest").agg(F.count_distinct("split").alias("n_splits")).where("n_splits > 1")
+    return passages.in_several(t("documents").select("text", _split().alias("split")), "split", "text", 40).withColumnRenamed("n", "n_splits")
 
 
 @query("SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0")
