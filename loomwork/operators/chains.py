@@ -143,12 +143,12 @@ def near_pairs(atoms: DataFrame, key: str, place: str, limit: float) -> DataFram
     """Ordered pairs of different atoms (key, id and others) whose `place` (x, y, z) is within limit: a's columns, b's with `2` after them, and d.
 
     An atom meets those of the 27 cells around it. Cells are gathered in blocks of BLOCK to a side, each with the cells next to it, so atoms are shuffled
-    once for a small chain and 3.4 times in space without end; pairs are made in their block and not shuffled. Places that are not finite are near nothing.
+    once for a small chain and 3.4 times in space without end; pairs are made in their block and not shuffled. Places that are not finite, and those without a key, are near nothing.
     """
     rest, at, of = [c for c in atoms.columns if c != key], [f"_c{i}" for i in range(3)], [f"_b{i}" for i in range(3)]
     block = lambda c: F.floor((c + BLOCK // 2) / BLOCK)  # noqa: E731  the origin is in the middle of a block
     cell = lambda i: F.floor(F.greatest(F.lit(-FARTHEST), F.least(F.lit(FARTHEST), F.get(place, F.lit(i)) / limit)))
-    own = atoms.where(reduce(lambda a, b: a & b, (F.abs(F.get(place, F.lit(i))) < float("inf") for i in range(3))))
+    own = atoms.where(reduce(lambda a, b: a & b, (F.abs(F.get(place, F.lit(i))) < float("inf") for i in range(3)), F.col(key).isNotNull()))
     own = own.select(key, F.struct(*rest).alias("_a"), *(cell(i).alias(c) for i, c in enumerate(at)))
     for c, b in zip(at, of):
         own = own.select("*", F.explode(F.sequence(block(F.col(c) - 1), block(F.col(c) + 1))).alias(b))

@@ -85,7 +85,7 @@ def test_near_pairs_of_many_blocks(spark):
     place = np.concatenate([rng.uniform(-9, 9, (400, 3)), np.repeat([[2.0, -6.0, 0.0]], 3, 0), rng.uniform(-1, 1, (5, 3)) + 1e9])
     rows = [("a", i, list(map(float, p))) for i, p in enumerate(place)] + [("b", i, list(map(float, p))) for i, p in enumerate(place[:50])]
     far = [1e300, float("inf"), float("nan"), None]
-    rows += [("a", 1000 + i, [x, 0.0, 0.0]) for i, x in enumerate([*far, 1e300])] + [("a", 2000, None), ("a", 2001, [])]
+    rows += [("a", 1000 + i, [x, 0.0, 0.0]) for i, x in enumerate([*far, 1e300])] + [("a", 2000, None), ("a", 2001, []), (None, 1, [0.0] * 3), (None, 2, [0.0] * 3)]
     got = chains.near_pairs(spark.createDataFrame(rows, "k string, id int, p array<double>"), "k", "p", 1.0).collect()
     apart = np.linalg.norm(place[:, None] - place[None], axis=2)
     want = {(k, i, j) for k, n in (("a", len(place)), ("b", 50)) for i in range(n) for j in range(n) if i != j and apart[i, j] <= 1} | {("a", 1000, 1004), ("a", 1004, 1000)}
