@@ -83,7 +83,7 @@ def in_several(df: DataFrame, group: str, text: str, size: int, turns: int = 3)
 def _several(df: DataFrame, group: str, text: str, size: int, turn: int, turns: int) -> DataFrame:
     """in_several() by the passages whose keys are of this turn."""
     alike = Window.partitionBy("key")
-    rows = _dealt(df, group, text, size, turn, turns).select("*", (F.min("node").over(alike) != F.max("node").over(alike)).alias("several"))
+    rows = _dealt(df, group, text, size, turn, turns, once=True).select("*", (F.min("node").over(alike) != F.max("node").over(alike)).alias("several"))
     rows = rows.where("several").select("key", "run", "node").distinct().select("key", "node", F.explode(_passages(size)).alias("passage"))
     return rows.groupBy("key", "passage").agg(F.count_distinct("node").alias("n")).where("n > 1").select("passage", "n")
 
@@ -93,8 +93,8 @@ def _passages(size: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length("run") - (size - 1), F.lit(1))), lambda i: F.substring("run", i, F.lit(size)))
 
 
-def _dealt(df: DataFrame, node: str, text: str, size: int, turn: int, turns: int) -> DataFrame:
-    """node, key and run of all texts, by key."""
+def _dealt(df: DataFrame, node: str, text: str, size: int, turn: int, turns: int, once: bool = False) -> DataFrame:
+    """node, key and run of all texts, by key; with once, a run that a node has again within the runs given out at once is left out."""
     own = df.select(F.col(node).alias("node"), F.col(text).alias("text"))
 
     def each(batches):
@@ -106,7 +106,8 @@ def _dealt(df: DataFrame, node: str, text: str, size: int, turn: int, turns: int
                 keys.append(k)
                 runs += r
                 if len(runs) >= BATCH or i == len(b) - 1:
-                    yield pa.RecordBatch.from_arrays([b["node"].take(pa.array(at, pa.int32())), pa.array(np.concatenate(keys), pa.int64()), pa.array(runs, pa.string())], ["node", "key", "run"])
+                    out = pa.Table.from_arrays([b["node"].take(pa.array(at, pa.int32())), pa.array(np.concatenate(keys), pa.int64()), pa.array(runs, pa.string())], ["node", "key", "run"])
+                    yield from (out.group_by(out.column_names, use_threads=False).aggregate([]) if once else out).to_batches()
                     at, keys, runs = [], [], []
 
     return own.mapInArrow(each, f"node {own.schema['node'].dataType.simpleString()}, key long, run string").repartition("key")

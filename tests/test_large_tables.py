@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.operators import chains, projections, records
+from loomwork.operators import chains, passages, projections, records
 from loomwork.plans import catalogue
 
 
@@ -91,3 +91,10 @@ def test_near_pairs_of_many_blocks(spark):
     want = {(k, i, j) for k, n in (("a", len(place)), ("b", 50)) for i in range(n) for j in range(n) if i != j and apart[i, j] <= 1} | {("a", 1000, 1004), ("a", 1004, 1000)}
     assert sorted((r["k"], r["id"], r["id2"]) for r in got) == sorted(want) and len(want) > 100
     assert all(r["d"] == pytest.approx(apart[r["id"], r["id2"]]) for r in got if r["id"] < 1000)
+
+
+def test_a_line_that_all_texts_have_is_not_shuffled_for_each(spark):
+    line = "a line that stands in every text, word for word"
+    texts = spark.createDataFrame([("xy"[i % 2], line) for i in range(4000)], "g string, text string").coalesce(2)
+    got, n = shuffled(spark, lambda: passages.in_several(texts, "g", "text", 40).collect())
+    assert {r["passage"]: r["n"] for r in got} == {line[i : i + 40]: 2 for i in range(len(line) - 39)} and n < 200
